@@ -74,7 +74,7 @@ def quantile_within(df: DataFrame, value: str, q: float, name: str, unique: str,
     counts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     spot = (F.col("__n") - 1) * F.lit(float(q))
     lower, weight = F.floor(spot) + 1, spot - F.floor(spot)
-    with_n = ranked.join(counts, list(keys)) if keys else ranked.join(F.broadcast(counts))
+    with_n = ranked.join(counts, list(keys)) if keys else ranked.withColumn("__n", counts.scalar())
     picked = with_n.where((F.col("__r") == lower) | (F.col("__r") == lower + 1))
     low = F.max(F.when(F.col("__r") == lower, F.col(value)))
     high = F.max(F.when(F.col("__r") == lower + 1, F.col(value)))
