@@ -51,14 +51,19 @@ def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``; inside a lambda a plain reference is evaluated per element."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def last_wins_map(pairs: Column, key: str, value: str) -> Column:
     """Map from an array of structs; the last value of a repeated key is kept."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p[key]))
-    values = F.transform(
-        keys,
-        lambda k: F.element_at(F.filter(pairs, lambda p: p[key] == k), -1)[value],
-    )
-    return F.map_from_arrays(keys, values)
+    def build(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda p: p[key]))
+        values = F.transform(keys, lambda k: F.element_at(F.filter(rows, lambda p: p[key] == k), -1)[value])
+        return F.map_from_arrays(keys, values)
+
+    return bind(pairs, build)
 
 
 def canonical_json(mapping: Column) -> Column:

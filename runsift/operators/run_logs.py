@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runsift.constants import RY_TO_EV
 from runsift.functions.numeric import blank_to_null
 from runsift.functions.text import (
-    NUMBER, all_matches, base_name, first_match, first_of, join_parts, last_double, last_int, last_match,
+    NUMBER, all_matches, base_name, bind, first_match, first_of, join_parts, last_double, last_int, last_match,
     last_wins_map, max_int, single_spaces,
 )
 
@@ -23,7 +23,11 @@ WALL = r"PWSCF\s*:\s*.*?CPU\s+([^\n]+?WALL)"
 MESH = r"K_POINTS\s+automatic\s*\n\s*([0-9]+\s+[0-9]+\s+[0-9]+(?:\s+[0-9]+\s+[0-9]+\s+[0-9]+)?)"
 MESH_COUNT = r"number of k points=\s*(\d+)"
 SPECIES_LINE = r"PseudoPot\.\s+#\s*\d+\s+for\s+([A-Za-z][a-z]?)\s+read from file:\s+(\S+)"
-NEXT_CARDS = ("ATOMIC_POSITIONS", "K_POINTS", "CELL_PARAMETERS")
+SPECIES_BLOCK = (
+    r"(?im)^[^\S\n]*ATOMIC_SPECIES[^\n]*\n"
+    r"((?:(?![^\S\n]*(?:ATOMIC_SPECIES|ATOMIC_POSITIONS|K_POINTS|CELL_PARAMETERS))[^\S\n]*\S[^\n]*(?:\n|\z))*+)"
+)
+SPECIES_ROW = r"(?m)^[^\S\n]*(\S+)[^\S\n]+\S+[^\S\n]+(\S+)"
 
 
 def settings_text(input_text: Column, output_text: Column) -> Column:
@@ -75,26 +79,11 @@ def failure_reason(text: Column) -> Column:
 
 
 def _block_species(text: Column) -> Column:
-    """Rows of the species blocks: a fold over the lines that remembers whether it is inside a block."""
-    lines = F.transform(F.split(text, r"\r\n|\r|\n"), F.trim)
-    start = F.struct(
-        F.lit(False).alias("inside"),
-        F.array().cast("array<struct<symbol:string,file:string>>").alias("rows"))
-
-    def step(state: Column, line: Column) -> Column:
-        upper = F.upper(line)
-        opens = upper.startswith("ATOMIC_SPECIES")
-        closes = (line == "") | upper.startswith(NEXT_CARDS[0]) | upper.startswith(NEXT_CARDS[1]) | upper.startswith(
-            NEXT_CARDS[2])
-        tokens = F.split(line, r"\s+")
-        inside = opens | (state["inside"] & ~closes)
-        takes = ~opens & inside & (F.size(tokens) >= 3)
-        row = F.struct(tokens[0].alias("symbol"), F.get(tokens, F.lit(2)).alias("file"))
-        return F.struct(
-            inside.alias("inside"),
-            F.when(takes, F.concat(state["rows"], F.array(row))).otherwise(state["rows"]).alias("rows"))
-
-    return F.aggregate(lines, start, step, lambda s: s["rows"])
+    """Rows of the species blocks. A block ends at a blank line or the next card; rows need three tokens."""
+    body = F.array_join(F.regexp_extract_all(text, F.lit(SPECIES_BLOCK), F.lit(1)), "\n")
+    return bind(body, lambda b: F.zip_with(
+        all_matches(b, SPECIES_ROW, 1, ignore_case=False), all_matches(b, SPECIES_ROW, 2, ignore_case=False),
+        lambda s, f: F.struct(s.alias("symbol"), f.alias("file"))))
 
 
 def _listed_species(text: Column) -> Column:
@@ -105,8 +94,7 @@ def _listed_species(text: Column) -> Column:
 
 def species_files(text: Column) -> Column:
     """Map from species to file, from the input block, else from the output listing."""
-    block = F.when(F.upper(text).contains("ATOMIC_SPECIES"), _block_species(text))
-    pairs = F.when(F.size(block) > 0, block).otherwise(_listed_species(text))
+    pairs = bind(_block_species(text), lambda rows: F.when(F.size(rows) > 0, rows).otherwise(_listed_species(text)))
     return last_wins_map(pairs, "symbol", "file")
 
 
