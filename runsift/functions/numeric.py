@@ -44,7 +44,8 @@ def general_text(c: Column, digits: int = 6) -> Column:
     """Shortest general notation with the given significant digits, without trailing zeros."""
     text = F.format_string(f"%.{digits}g", c.cast("double"))
     text = F.regexp_replace(text, r"(\.[0-9]*?)0+(e|$)", "$1$2")
-    return F.regexp_replace(text, r"\.(e|$)", "$1")
+    # format_string writes the word null for a null value.
+    return F.when(c.isNotNull(), F.regexp_replace(text, r"\.(e|$)", "$1"))
 
 
 def is_true(c: Column) -> Column:

@@ -62,12 +62,11 @@ def _aliases(spark, d):
 
 
 def report_best_version(spark, d):
-    reports = composed_reports(spark, d)
-    keyed = P.attach_keys(
-        reports.withColumn("shown", F.col("path")).withColumn("path", F.col("file")), _aliases(spark, d), _dimension(spark, d))
-    scored = keyed.select("key", F.col("shown").alias("path"), "modified", "event_id",
-                          P.content_score(F.col("path"), F.col("text")).alias("score"))
-    return P.best_version(scored).select("key", "event_id", "score")
+    reports = composed_reports(spark, d).withColumn("shown", F.col("path")).withColumn("path", F.col("file"))
+    scored = reports.withColumn("score", P.content_score(F.col("path"), F.col("text")))
+    keyed = P.attach_keys(scored, _aliases(spark, d), _dimension(spark, d))
+    narrow = keyed.select("key", F.col("shown").alias("path"), "modified", "event_id", "score")
+    return P.best_version(narrow).select("key", "event_id", "score")
 
 
 def report_params(spark, d):
