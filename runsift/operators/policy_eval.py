@@ -57,7 +57,7 @@ def best_known(pools: DataFrame, keys: Sequence[str] = POOL_KEYS, key: str = "ca
     """Best successful candidate with a known outcome in each pool."""
     known = (F.col("true_failure") == 0) & F.col("known_energy_ev").isNotNull()
     best = F.min(F.struct("known_energy_ev", key))
-    return pools.where(known).groupBy(*keys).agg(best.alias("b")).select(*keys, F.col(f"b.{key}").alias("best_id"))
+    return pools.where(known).groupBy(*keys).agg(best.alias("__b")).select(*keys, F.col(f"__b.{key}").alias("best_id"))
 
 
 def topk_metrics(selected: DataFrame, best: DataFrame, ks: Sequence[int] = K.TOP_K,
@@ -148,10 +148,10 @@ def single_trial(candidates: DataFrame, ks: Sequence[int] = K.TOP_K, seed: int =
         F.sum(1 - F.col("true_failure")).cast("long").alias("known_successes_selected"),
         ratio(F.sum(1 - F.col("true_failure")), F.count(F.lit(1))).alias("failure_avoidance_rate"),
         *_shared_metrics(k),
-        best.alias("b"),
-    ).select("*", F.col(f"b.{key}").alias("best_candidate_id"),
-             F.col("b.material_id").alias("best_candidate_material_id"),
-             F.col("b.known_energy_ev").alias("best_candidate_energy_ev")).drop("b")
+        best.alias("__b"),
+    ).select("*", F.col(f"__b.{key}").alias("best_candidate_id"),
+             F.col("__b.material_id").alias("best_candidate_material_id"),
+             F.col("__b.known_energy_ev").alias("best_candidate_energy_ev")).drop("__b")
 
 
 def single_trial_verdict(rows: DataFrame, k: int = 10) -> DataFrame:

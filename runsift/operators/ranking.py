@@ -296,8 +296,8 @@ def grid_proposal(scored: DataFrame, system: str, kappa: float = 1.0) -> DataFra
     best = F.min(F.struct(bound.alias("score"), "point_id", "p1", "p2", "predicted_value", "uncertainty"))
     return (
         scored.where(F.col("predicted_value").isNotNull())
-        .groupBy(system).agg(best.alias("b"), F.min("predicted_value").alias("coarse_min"))
-        .select(system, "b.*", F.greatest(F.lit(0.0), F.col("coarse_min") - F.col("b.predicted_value"))
+        .groupBy(system).agg(best.alias("__b"), F.min("predicted_value").alias("coarse_min"))
+        .select(system, "__b.*", F.greatest(F.lit(0.0), F.col("coarse_min") - F.col("__b.predicted_value"))
                 .alias("predicted_improvement"))
         .withColumn("candidate_id", parameter_id("p1", "p2"))
     )
@@ -310,15 +310,15 @@ def parameter_id(*params: str) -> Column:
 
 def best_observed(df: DataFrame, system: str, value: str, point: str) -> DataFrame:
     best = F.min(F.struct(F.col(value), F.col(point)))
-    return df.where(F.col(value).isNotNull()).groupBy(system).agg(best.alias("b")).select(
-        system, F.col(f"b.{point}").alias("best_point"), F.col(f"b.{value}").alias("best_value"))
+    return df.where(F.col(value).isNotNull()).groupBy(system).agg(best.alias("__b")).select(
+        system, F.col(f"__b.{point}").alias("best_point"), F.col(f"__b.{value}").alias("best_value"))
 
 
 def nearest_to_target(df: DataFrame, system: str, value: str, point: str, target: str) -> DataFrame:
     gap = F.abs(F.col(value) - F.col(target))
     best = F.min(F.struct(gap.alias("gap"), F.col(point), F.col(value)))
-    return df.where(F.col(value).isNotNull()).groupBy(system).agg(best.alias("b")).select(
-        system, F.col(f"b.{point}").alias("nearest_point"), F.col(f"b.{value}").alias("nearest_value"))
+    return df.where(F.col(value).isNotNull()).groupBy(system).agg(best.alias("__b")).select(
+        system, F.col(f"__b.{point}").alias("nearest_point"), F.col(f"__b.{value}").alias("nearest_value"))
 
 
 def reachable_target(df: DataFrame, system: str, value: str, requested: float) -> DataFrame:

@@ -42,4 +42,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder, so later steps read one fixed copy."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # The alias gives the stored copy attribute ids of its own, so it can be joined with its source.
+    return df.checkpoint(eager=True).toDF(*df.columns)
