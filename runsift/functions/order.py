@@ -67,19 +67,21 @@ def running_within(df: DataFrame, order: Sequence[Column], values: Mapping[str,
 
 
 def quantile_within(df: DataFrame, value: str, q: float, name: str, unique: str,
-                    keys: Sequence[str] = ()) -> DataFrame:
-    """Exact quantile with linear interpolation, one row per key; null values are left out."""
-    present = df.where(F.col(value).isNotNull()).select(*keys, unique, value)
-    ranked = rank_within(present, [F.col(value), F.col(unique)], "__r", keys)
-    counts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+                    keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Exact quantile with linear interpolation, one row per key; null values are left out.
+
+    ``weight`` counts equal rows that were merged before.
+    """
+    times = F.col(weight) if weight else F.lit(1).cast("long")
+    present = df.where(F.col(value).isNotNull()).select(*keys, unique, value, times.alias("__w"))
+    summed = running_within(present, [F.col(value), F.col(unique)], {"__cum": ("sum", F.col("__w"))}, keys)
+    counts = present.groupBy(*keys).agg(F.sum("__w").alias("__n"))
+    with_n = summed.join(counts, list(keys)) if keys else summed.withColumn("__n", counts.select("__n").scalar())
     spot = (F.col("__n") - 1) * F.lit(float(q))
-    lower, weight = F.floor(spot) + 1, spot - F.floor(spot)
-    with_n = ranked.join(counts, list(keys)) if keys else ranked.withColumn("__n", counts.scalar())
-    picked = with_n.where((F.col("__r") == lower) | (F.col("__r") == lower + 1))
-    low = F.max(F.when(F.col("__r") == lower, F.col(value)))
-    high = F.max(F.when(F.col("__r") == lower + 1, F.col(value)))
-    w = F.max(weight)
-    return picked.groupBy(*keys).agg((low + F.coalesce((high - low) * w, F.lit(0.0))).alias(name))
+    lower, part = F.floor(spot) + 1, spot - F.floor(spot)
+    low = F.min(F.when(F.col("__cum") >= lower, F.col(value)))
+    high = F.min(F.when(F.col("__cum") >= lower + 1, F.col(value)))
+    return with_n.groupBy(*keys).agg((low + F.coalesce((high - low) * F.max(part), F.lit(0.0))).alias(name))
 
 
 def hash_order(seed: Column | int, *ids: str) -> Column:
