@@ -87,55 +87,51 @@ def merge_batch(labels: DataFrame, batch: DataFrame, dims: Sequence[str], keys:
 def overlap_screen(members: DataFrame, structure: str, limit: float = K.MIN_PAIR_DISTANCE) -> DataFrame:
     """Structures in which two members are closer than ``limit``, nearest periodic image included.
 
-    ``members``: structure, x, y, z and box lengths lx, ly, lz (null for an open direction). Space is cut
-    into cells whose diagonal is below the limit, so two members in one cell already overlap: such cells
-    are only counted, and no pair is formed. The other cells hold one member each and meet their
-    neighbours within reach, a number fixed by the limit.
+    ``members``: structure, x, y, z and box lengths lx, ly, lz (null for an open direction). Two members
+    in one fine cell, whose diagonal is below the limit, already overlap: such cells are only counted and
+    no pair is formed. The other fine cells hold one member each, so a coarse cell holds a number of them
+    that geometry fixes. Members meet in coarse cells; one side also enters the cells within the limit.
     """
-    side = limit / (3.0 ** 0.5) * 0.999
+    fine, coarse = limit / (3.0 ** 0.5) * 0.999, 4.0 * limit
     staged = members
-    for a in ("x", "y", "z"):
-        box = F.col(f"l{a}")
-        cells = F.greatest(F.ceil(box / side), F.lit(1))
-        inside = F.when(box.isNull(), F.col(a)).otherwise(F.pmod(F.col(a), box))
-        width = F.when(box.isNull(), F.lit(side)).otherwise(box / cells)
-        staged = staged.withColumns({
-            f"__p{a}": inside, f"__n{a}": cells, f"__w{a}": width,
-            f"__c{a}": F.floor(inside / width),
-            f"__r{a}": F.ceil(F.lit(limit) / width).cast("int")})
+    for a in "xyz":
+        box, p = F.col(f"l{a}"), F.col(f"__p{a}")
+        many = F.ceil(box / fine)
+        width = F.when(box.isNull(), F.lit(fine)).otherwise(box / many)
+        staged = staged.withColumn(f"__p{a}", F.when(box.isNull(), F.col(a)).otherwise(F.pmod(F.col(a), box)))
         staged = staged.withColumn(
-            f"__c{a}", F.when(box.isNull(), F.col(f"__c{a}")).otherwise(F.least(F.col(f"__c{a}"), cells - 1)))
+            f"__c{a}", F.when(box.isNull(), F.floor(p / width)).otherwise(F.least(F.floor(p / width), many - 1)))
     cell = [f"__c{a}" for a in "xyz"]
-    kept = [f"{p}{a}" for p in ("__p", "__n", "__r", "l") for a in "xyz"]
-    per_cell = staged.groupBy(structure, *cell).agg(
-        F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in kept])
-    crowded = per_cell.groupBy(structure).agg(
-        F.sum("__m").cast("long").alias("n_members"), F.max("__m").alias("__most"))
+    kept = [f"{p}{a}" for p in ("__p", "l") for a in "xyz"]
+    per_cell = staged.groupBy(structure, *cell).agg(F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in kept])
+    crowded = per_cell.groupBy(structure).agg(F.sum("__m").cast("long").alias("n_members"), F.max("__m").alias("__most"))
     single = per_cell.where("__m = 1")
-    near = single
-    for a in "xyz":
-        near = near.withColumn(f"__s{a}", F.explode(F.sequence(-F.col(f"__r{a}"), F.col(f"__r{a}"))))
-    # Closeness is mutual, so one half of the neighbour cells is enough.
-    sx, sy, sz = (F.col(f"__s{a}") for a in "xyz")
-    near = near.where((sx > 0) | ((sx == 0) & ((sy > 0) | ((sy == 0) & (sz > 0)))))
+    home, reach = {}, {}
     for a in "xyz":
-        moved = F.col(f"__c{a}") + F.col(f"__s{a}")
-        near = near.withColumn(
-            f"__t{a}", F.when(F.col(f"l{a}").isNull(), moved).otherwise(F.pmod(moved, F.col(f"__n{a}"))))
-    probe = near.select(structure, *[f"__t{a}" for a in "xyz"], *cell, *[f"__p{a}" for a in "xyz"], *[f"l{a}" for a in "xyz"])
+        box, p = F.col(f"l{a}"), F.col(f"__p{a}")
+        cells = F.greatest(F.floor(box / coarse), F.lit(1))
+        width = F.when(box.isNull(), F.lit(coarse)).otherwise(box / cells)
+
+        def place(x: Column, box=box, cells=cells, width=width) -> Column:
+            at = F.floor(x / width)
+            return F.when(box.isNull(), at).otherwise(F.pmod(at, cells))
+
+        home[f"__h{a}"] = place(p)
+        reach[f"__h{a}"] = F.array_distinct(F.array(place(p - limit), place(p), place(p + limit)))
+    own = single.select(structure, *cell, *kept, *[c.alias(n) for n, c in home.items()])
     other = single.select(
-        F.col(structure).alias("__os"), *[F.col(f"__c{a}").alias(f"__o{a}") for a in "xyz"],
-        *[F.col(f"__p{a}").alias(f"__q{a}") for a in "xyz"])
-    match = (F.col(structure) == F.col("__os"))
-    for a in "xyz":
-        match = match & (F.col(f"__t{a}") == F.col(f"__o{a}"))
-    itself = (F.col("__cx") == F.col("__ox")) & (F.col("__cy") == F.col("__oy")) & (F.col("__cz") == F.col("__oz"))
+        structure, *[F.col(f"__c{a}").alias(f"__o{a}") for a in "xyz"], *[F.col(f"__p{a}").alias(f"__q{a}") for a in "xyz"],
+        *[c.alias(n) for n, c in reach.items()])
+    for n in reach:
+        other = other.withColumn(n, F.explode(n))
+    # Closeness is mutual, so each pair is looked at from one side.
+    before = F.struct(*cell) < F.struct(*[F.col(f"__o{a}") for a in "xyz"])
     squares = F.lit(0.0)
     for a in "xyz":
         gap = F.col(f"__p{a}") - F.col(f"__q{a}")
         image = F.when(F.col(f"l{a}").isNull(), gap).otherwise(gap - F.col(f"l{a}") * F.round(gap / F.col(f"l{a}")))
         squares = squares + image * image
-    close = probe.join(other, match).where(~itself & (F.sqrt(squares) < limit)).select(structure).distinct()
+    close = own.join(other, [structure, *home]).where(before & (F.sqrt(squares) < limit)).select(structure).distinct()
     flagged = crowded.join(close.withColumn("__close", F.lit(1)), structure, "left")
     return flagged.select(
         structure, "n_members",
