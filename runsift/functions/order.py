@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from runsift.session import materialize
 
 _POS, _SLICE, _FIRST, _BEFORE = "__pos", "__slice", "__first", "__before"
+BROADCAST_ROWS = 100_000
 
 
 def sorted_slices(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -28,21 +29,31 @@ def sorted_slices(df: DataFrame, order: Sequence[Column], keys: Sequence[str] =
     return materialize(placed.withColumn(_SLICE, F.shiftright(F.col(_POS), 33)))
 
 
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow table only after counting that it is small; a larger one joins by exchange."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def _with_slice_totals(placed: DataFrame, keys: Sequence[str], totals: Mapping[str, Column],
-                       combine: Mapping[str, str]) -> DataFrame:
+                       combine: Mapping[str, str], whole: str | None = None) -> DataFrame:
     by = [*keys, _SLICE]
     per_slice = placed.groupBy(*by).agg(F.min(_POS).alias(_FIRST), *[c.alias(n) for n, c in totals.items()])
     # One row per (key, slice): a key has at most as many rows here as there are slices.
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum(_BEFORE).over(Window.partitionBy(*keys)).cast("long").alias(whole)] if whole else []
     carried = per_slice.select(
-        *by, _FIRST, *[getattr(F, combine[n])(n).over(earlier).alias(n) for n in totals])
-    return placed.join(carried, by)
+        *by, _FIRST, *[getattr(F, combine[n])(n).over(earlier).alias(n) for n in totals], *extra)
+    return placed.join(small_side(carried), by)
 
 
-def rank_within(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Row numbers 1, 2, 3, ... inside each key, in the given order. Keys must not be null."""
+def rank_within(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = (),
+                total: str | None = None) -> DataFrame:
+    """Row numbers 1, 2, 3, ... inside each key, in the given order; ``total`` names the rows per key.
+
+    Keys must not be null.
+    """
     placed = sorted_slices(df, order, keys)
-    joined = _with_slice_totals(placed, keys, {_BEFORE: F.count(F.lit(1))}, {_BEFORE: "sum"})
+    joined = _with_slice_totals(placed, keys, {_BEFORE: F.count(F.lit(1))}, {_BEFORE: "sum"}, total)
     rank = F.col(_POS) - F.col(_FIRST) + F.coalesce(F.col(_BEFORE), F.lit(0)) + 1
     return joined.withColumn(name, rank.cast("long")).drop(_POS, _SLICE, _FIRST, _BEFORE)
 

@@ -11,6 +11,7 @@ from runsift import constants as K
 from runsift.functions.numeric import ratio
 from runsift.functions.order import top_rows
 from runsift.operators.ranking import collapse_near, drop_near_known
+from runsift.session import materialize
 
 
 def reuse_key(system: str, params: Sequence[str], settings: Sequence[str]) -> Column:
@@ -103,7 +104,9 @@ def overlap_screen(members: DataFrame, structure: str, limit: float = K.MIN_PAIR
             f"__c{a}", F.when(box.isNull(), F.floor(p / width)).otherwise(F.least(F.floor(p / width), many - 1)))
     cell = [f"__c{a}" for a in "xyz"]
     kept = [f"{p}{a}" for p in ("__p", "l") for a in "xyz"]
-    per_cell = staged.groupBy(structure, *cell).agg(F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in kept])
+    # Three steps read the cells, so they are stored once.
+    per_cell = materialize(
+        staged.groupBy(structure, *cell).agg(F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in kept]))
     crowded = per_cell.groupBy(structure).agg(F.sum("__m").cast("long").alias("n_members"), F.max("__m").alias("__most"))
     single = per_cell.where("__m = 1")
     home, reach = {}, {}

@@ -15,6 +15,8 @@ from runsift.functions.numeric import ratio_or_zero, to_double
 from runsift.functions.order import hash_order, rank_within, top_rows
 from runsift.session import materialize
 
+SPREAD_BELOW = 5_000_000
+
 
 def threshold_slice(predictions: DataFrame, threshold: float) -> DataFrame:
     return predictions.where(F.abs(F.col("threshold") - F.lit(threshold)) <= 1e-12)
@@ -67,11 +69,13 @@ def draw(base: DataFrame, n_trials: int, first_seed: int, size: int, key: str,
     if want == 0:
         return base.withColumns({"trial_id": F.lit(0), "seed": F.lit(0), "draw": F.lit(0).cast("long")}).limit(0)
     share = (want + 10.0 * want ** 0.5 + 20.0) / n
-    wide = base.withColumn("trial_id", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1)))).withColumn(
+    # A small table often sits in one file split; every row is hashed once per trial, so spread it first.
+    spread = base.repartition(base.sparkSession.sparkContext.defaultParallelism, key) if n <= SPREAD_BELOW else base
+    wide = spread.withColumn("trial_id", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1)))).withColumn(
         "seed", F.col("trial_id") + first_seed).withColumn("__h", hash_order(F.col("seed"), key))
     while True:
-        bound = "z" if share >= 1.0 else format(int(share * 16 ** 12), "012x")
-        near = materialize(wide.where(F.substring("__h", 1, 12) <= bound))
+        bound = "z" if share >= 1.0 else format(int(share * 16 ** 12), "012x") + "f" * 20
+        near = materialize(wide.where(F.col("__h") <= bound))
         full = near.groupBy("trial_id").count().where(F.col("count") >= want).count()
         if full == n_trials or share >= 1.0:
             break
@@ -91,21 +95,28 @@ def draw_with_replacement(base: DataFrame, n_trials: int, first_seed: int, size:
     return draws.withColumn("__row", picked).join(numbered, "__row").drop("__row")
 
 
+def class_sizes(base: DataFrame) -> dict[int, int]:
+    """Rows with true_failure 0 and 1."""
+    found = {r["true_failure"]: r["count"] for r in base.groupBy("true_failure").count().collect()}
+    return {0: found.get(0, 0), 1: found.get(1, 0)}
+
+
 def normal_pool(base: DataFrame, n_trials: int = K.TRIALS, size: int = K.POOL_SIZE, seed: int = K.BASE_SEED,
-                key: str = "candidate_id") -> DataFrame:
-    return _named(draw(base, n_trials, seed + K.SEED_OFFSETS["normal_pool"], size, key), "normal_pool")
+                key: str = "candidate_id", sizes: dict[int, int] | None = None) -> DataFrame:
+    first = seed + K.SEED_OFFSETS["normal_pool"]
+    return _named(draw(base, n_trials, first, size, key, sum(sizes.values()) if sizes else None), "normal_pool")
 
 
 def enriched_pool(base: DataFrame, n_trials: int = K.TRIALS, size: int = K.POOL_SIZE, seed: int = K.BASE_SEED,
-                  key: str = "candidate_id") -> DataFrame:
+                  key: str = "candidate_id", sizes: dict[int, int] | None = None) -> DataFrame:
     """Failures make up 60 percent where there are enough of them."""
     first = seed + K.SEED_OFFSETS["failure_enriched_pool"]
-    counts = {r["true_failure"]: r["count"] for r in base.groupBy("true_failure").count().collect()}
-    failures = min(round(size * K.ENRICHED_FRACTION), counts.get(1, 0))
-    successes = min(size - failures, counts.get(0, 0))
+    sizes = sizes or class_sizes(base)
+    failures = min(round(size * K.ENRICHED_FRACTION), sizes[1])
+    successes = min(size - failures, sizes[0])
     failed, passed = base.where("true_failure = 1"), base.where("true_failure = 0")
-    both = draw(failed, n_trials, first, failures, key, counts.get(1, 0)).unionByName(
-        draw(passed, n_trials, first, successes, key, counts.get(0, 0)))
+    both = draw(failed, n_trials, first, failures, key, sizes[1]).unionByName(
+        draw(passed, n_trials, first, successes, key, sizes[0]))
     return _named(both, "failure_enriched_pool")
 
 
@@ -125,8 +136,9 @@ def group_pool(base: DataFrame, n_trials: int = K.TRIALS, target: int = K.GROUP_
 
 
 def top_uncertainty_pool(base: DataFrame, n_trials: int = K.TRIALS, size: int = K.POOL_SIZE,
-                         seed: int = K.BASE_SEED, key: str = "candidate_id") -> DataFrame:
-    n = base.count()
+                         seed: int = K.BASE_SEED, key: str = "candidate_id",
+                         sizes: dict[int, int] | None = None) -> DataFrame:
+    n = sum(sizes.values()) if sizes else base.count()
     top = max(1, int(n * K.TOP_FRACTION))
     ranked = rank_within(base, [F.col("uncertainty").desc(), F.col(key)], "__u").where(F.col("__u") <= top)
     first = seed + K.SEED_OFFSETS["high_uncertainty_pool"]
@@ -135,7 +147,9 @@ def top_uncertainty_pool(base: DataFrame, n_trials: int = K.TRIALS, size: int =
 
 def all_pools(base: DataFrame, n_trials: int = K.TRIALS, smallest: int = max(K.TOP_K)) -> DataFrame:
     """Every mode and trial in one table, without pools smaller than the largest k."""
-    made = [f(base, n_trials) for f in (normal_pool, enriched_pool, group_pool, top_uncertainty_pool)]
+    sizes = class_sizes(base)
+    made = [f(base, n_trials, sizes=sizes) for f in (normal_pool, enriched_pool, top_uncertainty_pool)]
+    made.append(group_pool(base, n_trials))
     pools = made[0]
     for more in made[1:]:
         pools = pools.unionByName(more)

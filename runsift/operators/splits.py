@@ -12,21 +12,20 @@ from runsift.functions.order import hash_order, rank_within
 def stratified_split(rows: DataFrame, label: str, record: str, seed: int = K.BASE_SEED,
                      share: float = K.TEST_SHARE) -> DataFrame:
     """The share of each class that comes first in hash order is the test set."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = rank_within(rows.withColumn("__h", hash_order(seed, record)), [F.col("__h"), F.col(record)], "__r", [label])
+    hashed = rows.withColumn("__h", hash_order(seed, record))
+    ranked = rank_within(hashed, [F.col("__h"), F.col(record)], "__r", [label], total="__n")
     limit = F.floor(F.col("__n") * share + 0.5)
-    return ranked.join(counts, label).withColumn("is_test", (F.col("__r") <= limit).cast("int")).drop("__r", "__n", "__h")
+    return ranked.withColumn("is_test", (F.col("__r") <= limit).cast("int")).drop("__r", "__n", "__h")
 
 
 def group_splits(rows: DataFrame, group: str, n_splits: int = K.GROUP_SPLITS, seed: int = K.BASE_SEED,
                  share: float = K.TEST_SHARE) -> DataFrame:
     """One row per (split, group): a share of the groups, not of the rows, is the test set."""
     groups = rows.select(group).distinct()
-    total = groups.agg(F.count(F.lit(1))).scalar()
     spread = groups.withColumn("split_id", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     hashed = spread.withColumn("__h", hash_order(F.col("split_id") + seed, group))
-    ranked = rank_within(hashed, [F.col("__h"), F.col(group)], "__r", ["split_id"])
-    return ranked.withColumn("is_test", (F.col("__r") <= F.ceil(total * F.lit(share))).cast("int")).select(
+    ranked = rank_within(hashed, [F.col("__h"), F.col(group)], "__r", ["split_id"], total="__n")
+    return ranked.withColumn("is_test", (F.col("__r") <= F.ceil(F.col("__n") * F.lit(share))).cast("int")).select(
         "split_id", group, "is_test")
 
 

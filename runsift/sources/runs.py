@@ -29,12 +29,18 @@ def scan_text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFr
         F.make_valid_utf8("value").alias("text"))
 
 
-def scan_runs(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """All runs below the roots. The four file kinds come from one scan and meet in one exchange."""
+def scan_runs(spark: SparkSession, roots: Sequence[str], empty_outputs: DataFrame | None = None) -> DataFrame:
+    """All runs below the roots. The four file kinds come from one scan and meet in one exchange.
+
+    Spark's file listing leaves out files of length zero. Runs with an empty output are failures worth
+    keeping, so their paths can be given as ``empty_outputs`` (path), for example from a store inventory.
+    """
     names = ",".join([OUTPUT_NAME, INPUT_NAME, *DIAGNOSTIC_NAMES])
-    files = scan_text(spark, roots, "{" + names + "}").select(
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run_dir"), base_name(F.col("path")).alias("file_name"), "text")
-    return assemble_runs(files)
+    files = scan_text(spark, roots, "{" + names + "}").select("path", "text")
+    if empty_outputs is not None:
+        files = files.unionByName(empty_outputs.select("path", F.lit("").alias("text")))
+    return assemble_runs(files.select(
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run_dir"), base_name(F.col("path")).alias("file_name"), "text"))
 
 
 def assemble_runs(files: DataFrame) -> DataFrame:

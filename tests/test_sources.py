@@ -49,6 +49,16 @@ def test_overlapping_roots_and_file_roots_give_one_run(spark, tree):
     assert scan_runs(spark, [single]).count() == 1
 
 
+def test_empty_outputs_can_be_named(spark, tree, tmp_path):
+    empty = tmp_path / "qe_runs" / "mg_pid1" / "espresso.pwo"
+    empty.parent.mkdir(parents=True)
+    empty.write_text("")
+    (empty.parent / "CRASH").write_text("Error in routine x")
+    named = spark.createDataFrame([(str(empty),)], "path string")
+    rows = {r["material_id"]: r for r in L.parse_runs(scan_runs(spark, [tree], named)).collect()}
+    assert rows["mg"]["failure_reason"] == "qe_error" and len(rows) == 3
+
+
 def test_csv_round_trip(spark, tree, tmp_path):
     records = L.parse_runs(scan_runs(spark, [tree]), tree).withColumn("extra", F.lit("dropped"))
     out = str(tmp_path / "records_csv")
