@@ -172,7 +172,7 @@ def approximate_distances(test: DataFrame, train: DataFrame, key: str, vector: s
     def spread(df: DataFrame, key_name: str) -> DataFrame:
         hashed = lsh.transform(df)
         buckets = F.transform("hashes", lambda h: F.element_at(vector_to_array(h), 1).cast("long"))
-        return hashed.select(key_name, "vec", F.posexplode(buckets).alias("table", "bucket"))
+        return materialize(hashed.select(key_name, "vec", F.posexplode(buckets).alias("table", "bucket")))
 
     left = spread(asked.withColumn("features", array_to_vector("vec")), "query_id")
     best = _block_nearest(left, spread(refs, "ref_id"), ["table", "bucket"], False)

@@ -153,7 +153,8 @@ def all_pools(base: DataFrame, n_trials: int = K.TRIALS, smallest: int = max(K.T
     pools = made[0]
     for more in made[1:]:
         pools = pools.unionByName(more)
-    return size_gate(pools, smallest)
+    # The pools are read several times and hold far fewer rows than the base, unless a whole group is large.
+    return size_gate(materialize(pools), smallest)
 
 
 def size_gate(pools: DataFrame, smallest: int) -> DataFrame:

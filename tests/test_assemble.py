@@ -105,11 +105,12 @@ def test_gate_and_case_selection(spark):
 def test_quality_verdict(spark):
     rows = spark.createDataFrame([("a", "m", 2, 5, 1.0), ("b", "m", 2, -1, 20.0), ("c", "n", 1, None, 90.0)],
                                  "key string, category string, dim int, savings_abs int, pct_error_param1 double")
-    out = Q.verdict([Q.row_count_check(rows, "rows", 3), Q.required_columns_check(rows, "cols", ["key", "category"]),
-                     Q.savings_check(rows, "saves"), Q.category_error_check(rows, "error", ["m"]),
-                     Q.category_error_check(rows, "none", ["q"])])
+    out = Q.verdict([
+        (rows, [Q.row_count("rows", 3), Q.required_columns("cols", ["key", "category"]), Q.enough_savings("saves")]),
+        (rows, [Q.category_error("error", ["m"]), Q.category_error("none", ["q"]), Q.row_count("same", rows)])])
     got = {r["check_name"]: r["passed"] for r in out.collect()}
-    assert got == {"rows": 1, "cols": 1, "saves": 0, "error": 0, "none": 1, "overall": 0}
+    assert got == {"rows": 1, "cols": 1, "saves": 0, "error": 0, "none": 1, "same": 1, "overall": 0}
+    assert {r["check_name"]: r["measured"] for r in out.collect()}["overall"] == 2.0
 
 
 def _systems(spark, seed):
