@@ -9,6 +9,7 @@ simply spread over a third of the slices.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,13 @@ def sorted_slices(df: DataFrame, order: Sequence[Column], keys: Sequence[str] =
     return materialize(placed.withColumn(_SLICE, F.shiftright(F.col(_POS), 33)))
 
 
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], check_size: bool = False) -> DataFrame:
+    """Inner join in which a null key matches a null key, so no row is lost."""
+    named = right.select(*[F.col(k).alias(f"__on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys])
+    return left.join(small_side(named) if check_size else named, condition).drop(*[f"__on_{k}" for k in keys])
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a narrow table only after counting that it is small; a larger one joins by exchange."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -43,15 +51,12 @@ def _with_slice_totals(placed: DataFrame, keys: Sequence[str], totals: Mapping[s
     extra = [F.sum(_BEFORE).over(Window.partitionBy(*keys)).cast("long").alias(whole)] if whole else []
     carried = per_slice.select(
         *by, _FIRST, *[getattr(F, combine[n])(n).over(earlier).alias(n) for n in totals], *extra)
-    return placed.join(small_side(carried), by)
+    return match_keys(placed, carried, by, check_size=True)
 
 
 def rank_within(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = (),
                 total: str | None = None) -> DataFrame:
-    """Row numbers 1, 2, 3, ... inside each key, in the given order; ``total`` names the rows per key.
-
-    Keys must not be null.
-    """
+    """Row numbers 1, 2, 3, ... inside each key, in the given order; ``total`` names the rows per key."""
     placed = sorted_slices(df, order, keys)
     joined = _with_slice_totals(placed, keys, {_BEFORE: F.count(F.lit(1))}, {_BEFORE: "sum"}, total)
     rank = F.col(_POS) - F.col(_FIRST) + F.coalesce(F.col(_BEFORE), F.lit(0)) + 1
@@ -84,10 +89,11 @@ def quantile_within(df: DataFrame, value: str, q: float, name: str, unique: str,
     ``weight`` counts equal rows that were merged before.
     """
     times = F.col(weight) if weight else F.lit(1).cast("long")
-    present = df.where(F.col(value).isNotNull()).select(*keys, unique, value, times.alias("__w"))
+    present = df.where(F.col(value).isNotNull()).select(
+        *dict.fromkeys([*keys, unique, value]), times.alias("__w"))
     summed = running_within(present, [F.col(value), F.col(unique)], {"__cum": ("sum", F.col("__w"))}, keys)
     counts = present.groupBy(*keys).agg(F.sum("__w").alias("__n"))
-    with_n = summed.join(counts, list(keys)) if keys else summed.withColumn("__n", counts.select("__n").scalar())
+    with_n = match_keys(summed, counts, keys) if keys else summed.withColumn("__n", counts.select("__n").scalar())
     spot = (F.col("__n") - 1) * F.lit(float(q))
     lower, part = F.floor(spot) + 1, spot - F.floor(spot)
     low = F.min(F.when(F.col("__cum") >= lower, F.col(value)))

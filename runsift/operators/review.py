@@ -50,7 +50,7 @@ def species_profile(species: str) -> Column:
 def build_batch(plan: DataFrame, systems: DataFrame, settings: Sequence[str]) -> DataFrame:
     """The fixed review columns; nothing that only a run could know, and a sentinel for what was not computed.
 
-    ``systems`` also has key, family, species (map), reason texts come from ``plan.reason``.
+    ``systems`` also has key, family, source and species (map); reason texts come from ``plan.reason``.
     """
     valued = plan_values(plan, systems)
     numbered = rank_within(valued, [F.col("position")], "__n", ["module"])
@@ -59,7 +59,7 @@ def build_batch(plan: DataFrame, systems: DataFrame, settings: Sequence[str]) ->
         F.concat_ws("_", F.lit("dryrun"), "module", F.col("__n").cast("string")).alias("candidate_id"),
         F.col("key").alias("material_id"), F.coalesce(F.nullif("family", F.lit("")), blank).alias("material_family"),
         F.array_join(F.array_sort(F.map_keys("species")), ",").alias("formula_composition"),
-        F.concat(F.lit("generated_models/"), F.col("module"), F.lit(".py:ActiveSystem.builder")).alias("structure_source"),
+        F.col("source").alias("structure_source"),
         "candidate_variables", blank.alias("predicted_value"), blank.alias("uncertainty_lcb_score"),
         blank.alias("failure_risk"), blank.alias("acquisition_score"), F.col("reason").alias("selection_reason"),
         F.col("category").alias("selection_category"), settings_profile(settings).alias("DFT_settings_profile"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsift import constants as K
-from runsift.functions.order import hash_order, rank_within
+from runsift.functions.order import hash_order, match_keys, rank_within
 
 
 def stratified_split(rows: DataFrame, label: str, record: str, seed: int = K.BASE_SEED,
@@ -32,11 +32,11 @@ def group_splits(rows: DataFrame, group: str, n_splits: int = K.GROUP_SPLITS, se
 def group_split(rows: DataFrame, group: str, seed: int = K.BASE_SEED, share: float = K.TEST_SHARE) -> DataFrame:
     """Rows with is_test for a single hold-out of whole groups."""
     table = group_splits(rows, group, 1, seed, share).select(group, "is_test")
-    return rows.join(table, group)
+    return match_keys(rows, table, [group])
 
 
 def with_test_splits(rows: DataFrame, group: str, n_splits: int = K.GROUP_SPLITS, seed: int = K.BASE_SEED) -> DataFrame:
     """Rows with the ids of the splits that hold them out; the rows are not copied per split."""
     table = group_splits(rows, group, n_splits, seed)
     held = table.groupBy(group).agg(F.array_sort(F.collect_list(F.when(F.col("is_test") == 1, F.col("split_id")))).alias("test_splits"))
-    return rows.join(held, group)
+    return match_keys(rows, held, [group])

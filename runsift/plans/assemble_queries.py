@@ -114,7 +114,7 @@ def _review_systems(spark, d):
         "module", F.concat(F.lit("sys"), b).alias("key"), F.when(b.cast("int") % 3 == 0, "").otherwise("metal").alias("family"),
         F.array(variable("a", F.col("lo"), F.col("hi")), variable("c", F.lit(1.0), F.lit(3.0))).alias("variables"),
         F.create_map(F.lit("Si"), F.lit("Si.upf"), F.lit("Mg"), F.concat(F.lit("Mg"), b, F.lit(".upf"))).alias("species"),
-        (b.cast("int") + 40).alias("ecutwfc"), F.lit("mv").alias("smearing"))
+        F.concat(F.lit("systems/"), "module").alias("source"), (b.cast("int") + 40).alias("ecutwfc"), F.lit("mv").alias("smearing"))
 
 
 def review_batch(spark, d):
@@ -177,7 +177,7 @@ p as (select p.*, s.*, (p_partkey % 97) / 100e0 + 0.003e0 as f, row_number() ove
   from part p join s on s.p_brand = p.p_brand)
 select 'dryrun_' || p_brand || '_' || n as candidate_id, 'sys' || b as material_id,
   case when cast(b as integer) % 3 = 0 then 'not_computed' else 'metal' end as material_family, 'Mg,Si' as formula_composition,
-  'generated_models/' || p_brand || '.py:ActiveSystem.builder' as structure_source,
+  'systems/' || p_brand as structure_source,
   'a=' || printf('%.4f', lo + f * (hi - lo)) || case when p_partkey % 2 = 1 then '; c=' || printf('%.4f', 1e0 + (1e0 - f) * 2e0) else '' end as candidate_variables,
   'not_computed' as predicted_value, 'not_computed' as uncertainty_lcb_score, 'not_computed' as failure_risk, 'not_computed' as acquisition_score,
   'reason for ' || cat as selection_reason, cat as selection_category, 'ecutwfc=' || (cast(b as integer) + 40) || ';smearing=mv' as "DFT_settings_profile",

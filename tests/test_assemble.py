@@ -114,9 +114,9 @@ def test_quality_verdict(spark):
 
 
 def _systems(spark, seed):
-    return spark.createDataFrame([("m", "key_m", "", [("a", 1.0, 3.0, [seed])], {"Si": "Si.upf", "C": "C.upf"}, 40)],
+    return spark.createDataFrame([("m", "key_m", "", [("a", 1.0, 3.0, [seed])], {"Si": "Si.upf", "C": "C.upf"}, "here", 40)],
                                  "module string, key string, family string, variables array<struct<name:string,lo:double,hi:double,"
-                                 "seeds:array<double>>>, species map<string,string>, ecutwfc int")
+                                 "seeds:array<double>>>, species map<string,string>, source string, ecutwfc int")
 
 
 def test_review_batch(spark):

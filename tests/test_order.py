@@ -39,6 +39,13 @@ def test_running_values(frame, rows):
     assert np.allclose(got["m"], want.groupby("k")["v"].cummin())
 
 
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
+    got = rank_within(df, [F.col("v")], "r", ["k"], total="n").collect()
+    assert sorted((str(x["k"]), x["v"], x["r"], x["n"]) for x in got) == [("None", 1, 1, 2), ("None", 2, 2, 2), ("a", 3, 1, 1)]
+    assert quantile_within(df, "v", 0.5, "q", "v", ["k"]).count() == 2
+
+
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.95, 1.0])
 def test_quantile(frame, rows, q):
     got = quantile_within(frame, "v", q, "x", "id", ["k"]).toPandas().set_index("k")["x"].sort_index()

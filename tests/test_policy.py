@@ -76,6 +76,13 @@ def test_missing_risk_is_zero_and_only_ev_counts(spark):
     assert (rows[1]["uncertainty"], rows[2]["uncertainty"], rows[2]["known_energy_ev"]) == (0.0, 1.0, -5.0)
 
 
+def test_model_slice(spark):
+    rows = spark.createDataFrame([("e", "m", 0.1, i) for i in range(5)] + [("e", "x", 0.1, 9), ("e", "m", 0.2, 8)],
+                                 "experiment string, model string, threshold double, record_id int")
+    got = P.model_slice(rows, "e", "m", 0.1, 3, [F.col("record_id")]).collect()
+    assert [r["record_id"] for r in got] == [0, 1, 2]
+
+
 def test_zero_span_and_single_trial_spread(spark, trials):
     same = spark.createDataFrame([(1.0,), (1.0,)], "u double")
     assert {r["u"] for r in P.min_max_normalise(same, "u").collect()} == {0.0}
