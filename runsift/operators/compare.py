@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import percent_error, ratio
+from runsift.functions.order import match_keys
 
 
 def join_references(dimension: DataFrame, results: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def first_hit(scan: DataFrame, case: str, position: str, value: str, tol: float
     """Position of the first value within ``tol`` of the case minimum; the whole grid when there is none."""
     low = scan.groupBy(case).agg(F.min(value).alias("__low"), F.count(F.lit(1)).alias("grid_size"))
     hit = F.min(F.when(F.col(value) <= F.col("__low") + tol, F.col(position)))
-    return scan.join(low, case).groupBy(case, "grid_size").agg(F.coalesce(hit, F.col("grid_size")).alias("n_to_minimum"))
+    return match_keys(scan, low, [case]).groupBy(case, "grid_size").agg(F.coalesce(hit, F.col("grid_size")).alias("n_to_minimum"))
 
 
 def mean_savings(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import ratio_or_zero, to_double
-from runsift.functions.order import hash_order, rank_within, top_rows
+from runsift.functions.order import hash_order, match_keys, rank_within, top_rows
 from runsift.session import materialize
 
 SPREAD_BELOW = 5_000_000
@@ -130,8 +130,8 @@ def group_pool(base: DataFrame, n_trials: int = K.TRIALS, target: int = K.GROUP_
     before = F.sum("__n").over(
         Window.partitionBy("trial_id").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1))
     chosen = drawn.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < target)
-    # At most n_trials * target rows.
-    pool = base.join(F.broadcast(chosen.select(group, "trial_id", "seed", "draw")), group)
+    # At most n_trials * target rows, so the count finds it small unless those are raised a lot.
+    pool = match_keys(base, chosen.select(group, "trial_id", "seed", "draw"), [group], check_size=True)
     return _named(pool, "heldout_material_pool")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import clean_risk, clip01, general_text
-from runsift.functions.order import rank_within, top_rows
+from runsift.functions.order import match_keys, rank_within, top_rows
 
 
 def _col(x: Column | float) -> Column:
@@ -183,7 +183,7 @@ def rank_with_fallback(df: DataFrame, system: str, ordinal: str = "ordinal", bet
     """Risk-aware ranks for a system with any known risk, the plain bound otherwise."""
     clean = clean_candidates(df)
     known = clean.groupBy(system).agg(F.bool_or(F.col("failure_risk").isNotNull()).alias("has_risk"))
-    joined = clean.join(known, system)
+    joined = match_keys(clean, known, [system])
     scored = score_candidates(joined, beta=beta, gamma=F.when(F.col("has_risk"), F.lit(float(gamma))).otherwise(0.0))
     return add_ranks(scored, [system], ordinal)
 

@@ -16,7 +16,9 @@ DIAGNOSTIC_NAMES = ("espresso.err", "CRASH")
 
 
 def plain_path(uri: Column) -> Column:
-    return F.regexp_replace(uri, r"^file:/+", "/")
+    """Path text from the scan's file address, which is percent-encoded; a plus sign stays a plus sign."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^file:/+", "/")
 
 
 def scan_text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from runsift.functions.numeric import blank_to_null, is_true, to_double
 from runsift.schemas import RUN_RECORD
+from runsift.sources.sinks import fixed_columns
 
 
 def text_columns(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", False)
-    return reader.schema(schema).csv(paths if isinstance(paths, str) else list(paths))
+    """Named columns of CSV files with a header, all as text; a column the files lack is null."""
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("inferSchema", False)
+    return fixed_columns(reader.csv(paths if isinstance(paths, str) else list(paths)), columns)
 
 
 def typed_records(rows: DataFrame) -> DataFrame:

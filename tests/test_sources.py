@@ -72,6 +72,20 @@ def test_csv_round_trip(spark, tree, tmp_path):
     assert sorted(map(str, back.select(keep).collect())) == sorted(map(str, records.select(keep).collect()))
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('smearing,material_id,extra\nmp,"a,b",1\n,c,2\n')
+    rows = text_columns(spark, str(tmp_path / "r.csv"), ["material_id", "smearing", "kpoints"]).collect()
+    assert [tuple(r) for r in rows] == [("a,b", "mp", None), ("c", None, None)]
+
+
+def test_paths_with_special_characters(spark, tmp_path):
+    run = tmp_path / "a+b %41 c" / "qe_runs_x y" / "run1"
+    run.mkdir(parents=True)
+    (run / "espresso.pwo").write_text("JOB DONE.")
+    row = L.parse_runs(scan_runs(spark, [str(tmp_path)]), str(tmp_path)).first()
+    assert row["material_id"] == "x y" and row["qe_output_path"] == "a+b %41 c/qe_runs_x y/run1/espresso.pwo"
+
+
 def test_bad_map_text_is_an_empty_map(spark):
     rows = spark.createDataFrame([tuple("{oops" if c == "pseudopotentials" else "" for c in COLUMNS)], COLUMNS)
     assert typed_records(rows).first()["pseudopotentials"] == {}
