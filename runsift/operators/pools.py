@@ -88,9 +88,9 @@ def draw_with_replacement(base: DataFrame, n_trials: int, first_seed: int, size:
     numbered = rank_within(base, [F.col(key)], "__row")
     n = numbered.count()
     spark = base.sparkSession
-    draws = spark.range(n_trials).select(
-        F.col("id").cast("int").alias("trial_id"), (F.col("id") + first_seed).cast("int").alias("seed"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size).cast("long"))).alias("draw"))
+    draws = spark.range(n_trials * size).select(
+        F.floor(F.col("id") / size).cast("int").alias("trial_id"), (F.col("id") % size + 1).alias("draw"),
+    ).withColumn("seed", F.col("trial_id") + first_seed)
     picked = F.conv(F.substring(hash_order(F.col("seed"), "draw"), 1, 8), 16, 10).cast("long") % n + 1
     return draws.withColumn("__row", picked).join(numbered, "__row").drop("__row")
 

@@ -67,7 +67,7 @@ def asm_first_success(spark, d):
 
 
 def asm_label_gate(spark, d):
-    labels = A.first_successes(_trials(spark, d), _outcomes(spark, d), "system").where("seed_id % 40 < 3")
+    labels = A.first_successes(_trials(spark, d), _outcomes(spark, d), "system").where("energy < 0.06")
     return A.label_gate(labels, "system", "dim")
 
 
@@ -155,7 +155,7 @@ select o_orderkey, round(case when o_orderpriority like '1%' then (o_totalprice
   else o_totalprice - coalesce(ref, 0) end, 7) as value from orders left join s on l_orderkey = o_orderkey""",
     "asm_seed_trials": f"with {_TRIALS} select seed_id, trial, t1, t2 from tr",
     "asm_first_success": f"with {_TRIALS} select system, seed_id, trial, t1, energy from succ",
-    "asm_label_gate": f"""with {_TRIALS}, l as (select distinct system, dim, t1, coalesce(t2, 0) as t2 from succ where seed_id % 40 < 3)
+    "asm_label_gate": f"""with {_TRIALS}, l as (select distinct system, dim, t1, coalesce(t2, 0) as t2 from succ where energy < 0.06e0)
 select system, cast(dim as integer) as dim, count(*) as n_labels, case when count(*) >= case when dim = 1 then 3 else 5 end then 1 else 0 end as enough
 from l group by system, dim""",
     "asm_pair_distance": """

@@ -126,18 +126,19 @@ def path_ids(spark, d):
 
 
 def log_sidecars(spark, d):
-    """Orders are outputs, line items one and two are the optional diagnostics."""
+    """Orders are outputs, line items one and two are the optional diagnostics, other items are other files."""
     orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
     folder = lambda c: F.concat(F.lit("/runs/"), F.col(c).cast("string"))
     outputs = orders.select(
         folder("o_orderkey").alias("run_dir"), F.lit("espresso.pwo").alias("file_name"),
         F.when(F.col("o_orderstatus") == "F", "JOB DONE.").when(F.col("o_orderstatus") == "O", "").otherwise("running")
         .alias("text"))
-    inputs = orders.where("o_orderkey % 2 = 0").select(
+    inputs = orders.where("o_totalprice > 200000").select(
         folder("o_orderkey").alias("run_dir"), F.lit("espresso.pwi").alias("file_name"), F.lit("&control").alias("text"))
-    notes = items.where("l_linenumber <= 2").select(
+    notes = items.select(
         folder("l_orderkey").alias("run_dir"),
-        F.when(F.col("l_linenumber") == 1, "espresso.err").otherwise("CRASH").alias("file_name"),
+        F.when(F.col("l_linenumber") == 1, "espresso.err").when(F.col("l_linenumber") == 2, "CRASH").otherwise("notes.txt")
+        .alias("file_name"),
         F.when(F.col("l_returnflag") == "R", "atoms # 1 and # 2 overlap")
         .when(F.col("l_returnflag") == "A", "").otherwise("Error in routine x").alias("text"))
     runs = assemble_runs(outputs.unionByName(inputs).unionByName(notes))
@@ -214,12 +215,12 @@ from p left join q on p.event_id = q.event_id""",
     "log_sidecars": """
 with n as (select l_orderkey, l_linenumber, max(case l_returnflag when 'R' then 'atoms # 1 and # 2 overlap' when 'A' then ''
     else 'Error in routine x' end) as t from lineitem where l_linenumber <= 2 group by 1, 2),
-r as (select o_orderkey, case o_orderstatus when 'F' then 'JOB DONE.' when 'O' then '' else 'running' end as o, a.t as a, b.t as b
+r as (select o_orderkey, o_totalprice, case o_orderstatus when 'F' then 'JOB DONE.' when 'O' then '' else 'running' end as o, a.t as a, b.t as b
   from orders left join n a on a.l_orderkey = o_orderkey and a.l_linenumber = 1
   left join n b on b.l_orderkey = o_orderkey and b.l_linenumber = 2),
 x as (select *, concat_ws(chr(10), nullif(o, ''), nullif(a, ''), nullif(b, '')) as output_text from r)
 select '/runs/' || o_orderkey || '/espresso.pwo' as output_path,
-  case when o_orderkey % 2 = 0 then '/runs/' || o_orderkey || '/espresso.pwi' end as input_path, output_text,
+  case when o_totalprice > 200000 then '/runs/' || o_orderkey || '/espresso.pwi' end as input_path, output_text,
   case when output_text like '%JOB DONE%' then null when output_text like '%overlap%' then 'geometry_overlap'
     when output_text like '%Error in routine%' then 'qe_error' else 'job_not_completed' end as failure_reason from x""",
     "quarantine_split": f"""with {LABELLED_SQL} select doc_id, source, failure_reason,

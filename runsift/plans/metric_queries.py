@@ -25,9 +25,7 @@ def metric_sweep(spark, d):
 
 
 def metric_auc(spark, d):
-    # The last split is given one class only, so its area is null.
-    rows = scored(spark, d).where("split_id <> 6 or true_failure = 1")
-    return _rounded(M.roc_auc(rows, "true_failure", "risk", ["split_id"]), ["roc_auc"])
+    return _rounded(M.roc_auc(scored(spark, d), "true_failure", "risk", ["split_id"]), ["roc_auc"])
 
 
 def metric_auc_overall(spark, d):
@@ -35,7 +33,7 @@ def metric_auc_overall(spark, d):
 
 
 def metric_splits(spark, d):
-    rows = scored(spark, d).where("split_id <> 6 or true_failure = 1")
+    rows = scored(spark, d)
     sweep = M.threshold_sweep(rows, ["split_id"], "true_failure", "risk")
     joined = sweep.join(M.roc_auc(rows, "true_failure", "risk", ["split_id"]), "split_id")
     out = M.across_splits(joined, ["threshold"], ["recall", "precision", "f1", "roc_auc"])
@@ -81,7 +79,6 @@ _SWEEP = f"""
 sw as (select split_id, threshold, {_COUNTS.format(y="true_failure", p="risk >= threshold")}
   from {{rows}}, (values {_THRESHOLDS}) as t(threshold) group by split_id, threshold),
 swr as (select split_id, threshold, tn, fp, fn, tp, {_RATES} from sw)"""
-_PART = "part as (select * from sc where split_id <> 6 or true_failure = 1)"
 _AUC = """
 auc as (
   select a.split_id, sum(case when a.risk > b.risk then 1e0 when a.risk = b.risk then 0.5e0 else 0e0 end) / count(*) as roc_auc
@@ -91,14 +88,14 @@ ORACLES = {
     "metric_confusion": f"""with {SCORED_SQL}, c as (select split_id, {_COUNTS.format(y="true_failure", p="risk >= 0.5e0")} from sc group by split_id)
 select split_id, tn, fp, fn, tp, {_RATES} from c""",
     "metric_sweep": f"with {SCORED_SQL}, {_SWEEP.format(rows='sc')} select * from swr",
-    "metric_auc": f"""with {SCORED_SQL}, {_PART}, {_AUC.format(rows='part')}
-select s.split_id, round(roc_auc, 9) as roc_auc from (select distinct split_id from part) s left join auc on auc.split_id = s.split_id""",
+    "metric_auc": f"""with {SCORED_SQL}, {_AUC.format(rows='sc')}
+select s.split_id, round(roc_auc, 9) as roc_auc from (select distinct split_id from sc) s left join auc on auc.split_id = s.split_id""",
     "metric_auc_overall": f"""with {SCORED_SQL}, one as (select risk, true_failure from sc),
 r as (select true_failure, rank() over (order by risk) + (count(*) over (partition by risk) - 1) / 2e0 as mid from one)
 select round((sum(case when true_failure = 1 then mid end) - count(*) filter (where true_failure = 1)
     * (count(*) filter (where true_failure = 1) + 1) / 2e0)
   / (count(*) filter (where true_failure = 1) * cast(count(*) filter (where true_failure = 0) as double)), 9) as roc_auc from r""",
-    "metric_splits": f"""with {SCORED_SQL}, {_PART}, {_SWEEP.format(rows='part')}, {_AUC.format(rows='part')}
+    "metric_splits": f"""with {SCORED_SQL}, {_SWEEP.format(rows='sc')}, {_AUC.format(rows='sc')}
 select threshold, count(*) as n_splits, round(avg(recall), 6) as recall_mean, round(stddev_pop(recall), 6) as recall_std,
   round(avg(precision), 6) as precision_mean, round(stddev_pop(precision), 6) as precision_std, round(avg(f1), 6) as f1_mean,
   round(stddev_pop(f1), 6) as f1_std, round(avg(roc_auc), 6) as roc_auc_mean, round(stddev_pop(roc_auc), 6) as roc_auc_std

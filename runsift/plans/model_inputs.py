@@ -50,17 +50,17 @@ rr as (
 
 
 def scored(spark, d):
-    """Scored rows: true failure and a risk that leans towards it."""
+    """Scored rows: true failure and a risk that leans towards it; split 7 holds failures only."""
     failed = (F.col("event_type") == "error").cast("int")
     return table(spark, d, "events").select(
         F.col("event_id").alias("record_id"), failed.alias("true_failure"), (1 - failed).alias("success"),
-        (F.col("event_id") % 7).cast("int").alias("split_id"), F.col("user_id").cast("string").alias("material_id"),
+        F.when((failed == 1) & (F.col("value") > 200), 7).otherwise(F.col("event_id") % 7).cast("int").alias("split_id"), F.col("user_id").cast("string").alias("material_id"),
         F.round((props_k() / 100.0) * 0.6 + failed * 0.15, 4).alias("risk"))
 
 
 SCORED_SQL = """
 sc as (
-  select event_id as record_id, f as true_failure, 1 - f as success, cast(event_id % 7 as integer) as split_id,
+  select event_id as record_id, f as true_failure, 1 - f as success, cast(case when f = 1 and value > 200 then 7 else event_id % 7 end as integer) as split_id,
     cast(user_id as varchar) as material_id, round((k / 100e0) * 0.6e0 + f * 0.15e0, 4) as risk
   from (select *, case when event_type = 'error' then 1 else 0 end as f,
     cast(json_extract_string(props, '$.k') as integer) as k from events))"""

@@ -70,10 +70,10 @@ def pool_top_uncertainty(spark, d):
 
 
 def pool_replacement(spark, d):
-    """Twice as many draws as there are nations."""
-    base = table(spark, d, "nation").select(F.col("n_nationkey").alias("candidate_id"), "n_name")
-    return P.draw_with_replacement(base, K.TRIALS, K.BASE_SEED, 50, "candidate_id").select(
-        "trial_id", "draw", "candidate_id", "n_name")
+    """Twice as many draws as there are suppliers."""
+    base = table(spark, d, "supplier").select(F.col("s_suppkey").alias("candidate_id"), "s_name")
+    return P.draw_with_replacement(base, K.TRIALS, K.BASE_SEED, 2 * base.count(), "candidate_id").select(
+        "trial_id", "draw", "candidate_id", "s_name")
 
 
 def _rounded(df, *names):
@@ -283,11 +283,11 @@ select record_id as candidate_id, material_id, failure_label, true_failure, coal
     "pool_group": f"with {_BASE}, {_GROUP} {_PICK} (select 'heldout_material_pool' as pool_mode, * from p_group)",
     "pool_top_uncertainty": f"with {_BASE}, {_TOPU} {_PICK} (select 'high_uncertainty_pool' as pool_mode, * from p_top)",
     "pool_replacement": """
-with draws as (select cast(t.range as integer) as trial_id, d.range as draw from range(50) t, range(1, 51) d),
+with draws as (select cast(t.range as integer) as trial_id, d.range as draw from range(50) t, range(1, 2 * (select count(*) from supplier) + 1) d),
 picks as (select *, cast('0x' || substr(md5(cast(trial_id + 42 as varchar) || '|' || cast(draw as varchar)), 1, 8) as bigint)
-  % (select count(*) from nation) + 1 as rn from draws),
-numbered as (select n_nationkey, n_name, row_number() over (order by n_nationkey) as rn from nation)
-select trial_id, draw, n_nationkey as candidate_id, n_name from picks join numbered using (rn)""",
+  % (select count(*) from supplier) + 1 as rn from draws),
+numbered as (select s_suppkey, s_name, row_number() over (order by s_suppkey) as rn from supplier)
+select trial_id, draw, s_suppkey as candidate_id, s_name from picks join numbered using (rn)""",
     "policy_topk_metrics": f"with {_TRIALS} select "
     + _round_all(_METRICS, {"mean_failure_risk", "mean_acquisition_score", "mean_rank_shift"}) + " from met",
     "policy_single_trial": f"with {_SINGLE_ONLY} select " + _round_all(
