@@ -2,7 +2,7 @@
 
 Training runs in shards: in every epoch each shard goes through its own labelled texts one by one with per-coordinate
 learning rates, starting from the broadcast state, and the changes of a coordinate are averaged over the shards that
-touched it. The L1 term leaves few weights other than zero, and only those are broadcast for scoring. The state has at
+touched it. Coordinates of fewer than ``MIN_ROWS`` training rows are left out. The L1 term leaves few weights other than zero, and only those are broadcast for scoring. The state has at
 most 2**bits coordinates, whatever the corpus holds.
 """
 
@@ -22,7 +22,8 @@ BITS = 20
 SHARDS = 6
 EPOCHS = 6
 MAX_TRAINING_ROWS = 24_000
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.6, 1.0
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.5, 1.0
+MIN_ROWS = 3  # training rows that must hold a coordinate before it can get a weight
 SKIP = (1, 2)  # distance of the second word of a pair: neighbours, and over one word
 
 
@@ -42,7 +43,8 @@ def features(chunk: W.Chunk, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _present(rows: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique((rows.astype(np.int64) << bits) | at)
+    both = np.sort((rows.astype(np.int64) << bits) | at)
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
     return both >> bits, both & ((1 << bits) - 1)
 
 
@@ -55,23 +57,36 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def _counter(bits: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for chunk in W.chunks(batch.column(0)):
+                total += np.bincount(_present(*features(chunk, bits), bits)[1], minlength=1 << bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "rows"])
+    return run
+
+
 def _epoch(shared, bits: int, turn: int):
     """One pass over a shard: changes of z and n at the coordinates it touched. The last coordinate is the bias."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = (1 << bits) + 1
         z, n = np.zeros(size), np.zeros(size)
-        at, z_at, n_at = shared.value
+        at, z_at, n_at, allowed, weight = shared.value
         z[at], n[at] = z_at, n_at
         z_old, n_old, touched = z.copy(), n.copy(), np.zeros(size, bool)
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             for chunk in W.chunks(batch.column(0)):
-                rows, idx = _present(*features(chunk, bits), bits)
+                rows, idx = features(chunk, bits)
+                rows, idx = _present(rows[allowed[idx]], idx[allowed[idx]], bits)
                 cut = np.searchsorted(rows, np.arange(chunk.rows + 1))
                 for r in np.random.default_rng(turn).permutation(chunk.rows):
                     own = np.append(idx[cut[r]:cut[r + 1]], size - 1)
                     w = _weights(z[own], n[own])
-                    g = _sigmoid(w.sum()) - labels[chunk.first + r]
+                    y = labels[chunk.first + r]
+                    g = (_sigmoid(w.sum()) - y) * (weight if y else 1.0)
                     root = np.sqrt(n[own])
                     n[own] += g * g
                     z[own] += g - (np.sqrt(n[own]) - root) / ALPHA * w
@@ -90,13 +105,18 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", bits: i
     """
     rows = store(labelled.where(F.col(label).isNotNull()).select(
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.col(label).cast("double").alias("y"))
-        .repartition(shards, F.xxhash64("text", "y") % shards))
+        .repartition(shards))
     spark = labelled.sparkSession
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
+    n_pos, n_all = rows.agg(F.sum("y"), F.count("y")).first()
+    weight = max(1.0, ((n_all - n_pos) / n_pos) ** 0.5) if n_pos else 1.0  # half-way to balanced classes
+    seen = rows.mapInArrow(_counter(bits), "at long, rows long").groupBy("at").agg(F.sum("rows").alias("rows"))
+    allowed = np.zeros(1 << bits, bool)
+    allowed[seen.where(F.col("rows") >= MIN_ROWS).select("at").toPandas()["at"]] = True
     for turn in range(epochs):
         at = np.flatnonzero(n)
-        shared = spark.sparkContext.broadcast((at, z[at], n[at]))
+        shared = spark.sparkContext.broadcast((at, z[at], n[at], allowed, weight))
         moved = rows.mapInArrow(_epoch(shared, bits, turn), "at long, dz double, dn double").groupBy("at").agg(
             F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toPandas()
         z[moved["at"]] += moved["dz"]
