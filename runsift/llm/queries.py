@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import decontaminate, near_text, toxicity
+from runsift.llm import decontaminate, mixing, near_text, pii, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,5 +32,15 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_decontamination)}
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    return mixing.mix(docs.select("doc_id", "source", "text"), labels).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op7_pii, op8_source_mixing)}
 ORACLES: dict[str, str] = {}

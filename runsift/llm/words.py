@@ -22,20 +22,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _table(inside: np.ndarray) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[inside] = True
-    return out
+def _table(inside: list[int]) -> bytes:
+    return bytes(b in set(inside) for b in range(256))
+
+
+def look_up(data: np.ndarray, table: bytes) -> np.ndarray:
+    """Each byte replaced by its entry in a 256-byte table."""
+    return np.frombuffer(data.tobytes().translate(table), np.uint8)
 
 
 #: Anything but space and the five ASCII controls from tab to carriage return.
-NON_BLANK = _table(np.array([b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D]))
+NON_BLANK = _table([b for b in range(256) if b != 0x20 and not 0x09 <= b <= 0x0D])
 #: ASCII letters and digits, and every byte of a character beyond ASCII.
-ALNUM = _table(np.array([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]))
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 0x20
-_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_LOWER_BYTE = _BYTE[LOWER]
+ALNUM = _table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
+LOWER = bytes(range(256)).lower()
 _BASE = 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
@@ -88,7 +88,7 @@ def prefix_hash(values: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Prefix sums of value * base**position, with a leading zero; all modulo 2**64."""
     sums = np.empty(len(values) + 1, _U)
     sums[0] = 0
-    np.cumsum(values * _power(base, len(values))[:len(values)], out=sums[1:])
+    np.cumsum((values.astype(_U) + _U(0x9E3779B97F4A7C15)) * _power(base, len(values))[:len(values)], out=sums[1:])
     return sums
 
 
@@ -98,11 +98,11 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return (sums[ends] - sums[starts]) * _power(inverse, len(sums))[starts]
 
 
-def words(chunk: Chunk, table: np.ndarray) -> Words:
+def words(chunk: Chunk, table: bytes) -> Words:
     """Words are maximal runs of bytes in ``table``; A-Z and a-z hash alike."""
     data, offsets = chunk.data, chunk.offsets
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = table[data]
+    inside[1:-1] = look_up(data, table)
     begins = inside[1:-1] & ~inside[:-2]
     ends = inside[1:-1] & ~inside[2:]
     filled = offsets[:-1] < offsets[1:]
@@ -110,7 +110,7 @@ def words(chunk: Chunk, table: np.ndarray) -> Words:
     begins[head] = inside[1:-1][head]
     ends[tail] = inside[1:-1][tail]
     starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = mix(span_hash(prefix_hash(_LOWER_BYTE[data]), starts, stops))
+    hashes = mix(span_hash(prefix_hash(look_up(data, LOWER)), starts, stops))
     return Words(hashes, starts, stops, np.searchsorted(starts, offsets))
 
 
@@ -133,6 +133,6 @@ def row_of(found: Words) -> np.ndarray:
     return np.repeat(np.arange(len(found.rows) - 1), np.diff(found.rows))
 
 
-def of_text(text: bytes, table: np.ndarray) -> Words:
+def of_text(text: bytes, table: bytes) -> Words:
     data = np.frombuffer(text, np.uint8)
     return words(Chunk(0, data, np.array([0, len(data)])), table)
