@@ -140,11 +140,12 @@ def solve(cells: DataFrame, targets: dict[str, float], steps: int = STEPS, ridge
 
 
 def mix(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-        targets: dict[str, float] | None = None, limit: int = MAX_TRAINING_ROWS) -> DataFrame:
+        targets: dict[str, float] | None = None, limit: int = MAX_TRAINING_ROWS,
+        with_text: bool = True) -> DataFrame:
     """The input's rows with ``n_tokens``, ``domain`` (likeliest), ``p_<domain>``, ``rate``, ``expected_tokens``.
 
     Null texts hold no tokens; they get the posterior of an empty text. Without labelled rows the posterior is even
-    over domains. Rows with a null key are mixed but not learned from. Clashing columns are replaced.
+    over domains. ``with_text=False`` leaves the text out. Rows with a null key are mixed but not learned from. Clashing columns are replaced.
     Runs jobs while the plan is built.
     """
     targets = targets or TARGETS
@@ -157,7 +158,8 @@ def mix(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     words = lexicon(sample.withColumn("toxic", F.col("domain").endswith("t1").cast("int")))
     model = classifier(features(sample, words))
     bins = [f"b_{n}" for n in EDGES]
-    measured = store(features(docs, words, text))
+    measured = features(docs, words, text)
+    measured = store(measured if with_text else measured.drop(text))
     summed = measured.groupBy(*bins).agg(F.sum("n_tokens").cast("double").alias("tokens"))
     cells = store(with_posterior(store(summed.coalesce(1)), model))  # at most one row per bin combination
     p = [f"p_{d}" for d in TARGETS]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import decontaminate, mixing, near_text, pii, toxicity
+from runsift.llm import decontaminate, mixing, near_text, near_vectors, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,9 +38,18 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
-    return mixing.mix(docs.select("doc_id", "source", "text"), labels).drop("text")
+    return mixing.mix(docs.select("doc_id", "source", "text"), labels, with_text=False)
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(_table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(_table(spark, folder, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op7_pii, op8_source_mixing)}
+    op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op7_pii, op8_source_mixing, op9_secrets,
+    op10_near_vectors)}
 ORACLES: dict[str, str] = {}
