@@ -1,8 +1,8 @@
 """Near-duplicate vectors: spherical-cap filters from structured random product codes, joined on filters, verified.
 
 A filter is a direction made of one code word per block of coordinates. A vector passes the filters whose direction it
-meets at ``alpha`` or more. They are decoded block by block: sums of two blocks that cannot reach ``alpha`` with the
-best word of the last block are cut before the third block is looked at. The cap gets narrower and the filters more
+meets at ``alpha`` or more. They are decoded block by block: a word of the first block that cannot reach ``alpha`` with the
+best word of the second is cut before that block is looked at. The cap gets narrower and the filters more
 as the table grows, so that about ``BUCKET`` unrelated vectors pass a filter while two vectors at the threshold share
 one with the probability ``RECALL``.
 """
@@ -23,7 +23,8 @@ from runsift.llm.links import components
 from runsift.llm.storage import store
 
 BUCKET = 8
-RECALL = 0.9995
+RECALL = 0.99995
+LEAST = 16  # a vector that passes fewer filters also takes its best ones up to this number
 HOT = 2048  # rows of a filter that one task compares with each other; more are cut into blocks
 SEED = 7
 
@@ -38,7 +39,7 @@ class Filters:
         xs = np.linspace(height, height + 8, 2001)
         tail = [1 - normal.cdf((height - cosine * x) / math.sqrt(1 - cosine ** 2)) for x in xs]
         both = float(np.sum(np.exp(-xs ** 2 / 2) / math.sqrt(2 * math.pi) * tail) * (xs[1] - xs[0]))
-        self.blocks = min(3, dims)
+        self.blocks = min(2, dims)
         self.words = max(2, math.ceil((math.log(1 / (1 - RECALL)) / both) ** (1 / self.blocks)))
         self.alpha = height / math.sqrt(dims)
         self.cuts = np.linspace(0, dims, self.blocks + 1).astype(int)
@@ -49,8 +50,19 @@ class Filters:
             # A block's share of the direction's length follows its number of coordinates.
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt((b - a) / dims))
 
+    def _best(self, scores: list[np.ndarray], r: int) -> np.ndarray:
+        """The ``LEAST`` filters that a vector meets best; they combine the best words of each block."""
+        total, ids = np.zeros(1), np.zeros(1, np.int64)
+        for s in scores:
+            top = np.argsort(-s[r], kind="stable")[:LEAST]
+            total = (total[:, None] + s[r][top][None, :]).ravel()
+            ids = (ids[:, None] * self.words + top[None, :]).ravel()
+            keep = np.argsort(-total, kind="stable")[:LEAST]
+            total, ids = total[keep], ids[keep]
+        return ids
+
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Ids of all filters that each unit vector passes."""
+        """Ids of all filters that each unit vector passes, or meets best if it passes few."""
         scores = [x[:, a:b] @ c.T for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True)]
         out = []
         for r in range(len(x)):
@@ -61,7 +73,10 @@ class Filters:
                 total, ids = total[able], ids[able]
                 total = (total[:, None] + scores[k][r][None, :]).ravel()
                 ids = (ids[:, None] * self.words + np.arange(self.words)[None, :]).ravel()
-            out.append(np.sort(ids[total >= self.alpha]).astype(np.int64))
+            passed = ids[total >= self.alpha]
+            if len(passed) < LEAST:
+                passed = np.union1d(passed, self._best(scores, r))
+            out.append(np.sort(passed).astype(np.int64))
         return out
 
 
