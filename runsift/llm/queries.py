@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import decontaminate, mixing, near_text, near_vectors, pii, secrets, toxicity
+from runsift.llm import decontaminate, language, mixing, near_text, near_vectors, pii, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "pages"), _table(spark, folder, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, folder, "documents"), width=2)
 
@@ -32,6 +36,13 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), labels)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -50,6 +61,6 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op7_pii, op8_source_mixing, op9_secrets,
+    op1_language_id, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_quality, op7_pii, op8_source_mixing, op9_secrets,
     op10_near_vectors)}
 ORACLES: dict[str, str] = {}
