@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.llm import decontaminate, language, mixing, near_text, near_vectors, pii, quality, secrets, toxicity
+from runsift.llm import decontaminate, language, mixing, near_text, near_vectors, pii, quality, repeats, secrets, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeats(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -61,6 +65,6 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_quality, op7_pii, op8_source_mixing, op9_secrets,
+    op1_language_id, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_quality, op6_suffix_repeats, op7_pii, op8_source_mixing, op9_secrets,
     op10_near_vectors)}
 ORACLES: dict[str, str] = {}
