@@ -4,9 +4,10 @@
 2. A class keeps the k smallest hashes. Two sets that reach the threshold share at least half of what they keep,
    except with a chance below 1e-7, so of each sketch only the rarest values are listed: as many as still
    guarantee one common listed value. Frequent shingles are thereby never listed by texts that hold rarer ones.
-3. Inverted lists of these values propose pairs. A list first pairs all its members with one hub; links found merge
-   classes into components; then only members of different components are paired. So a group of thousands of copies
-   costs a few comparisons a member, and no link between two components is lost.
+3. Inverted lists of these values propose pairs. A list first pairs its members with one hub, then with more and more;
+   links found merge classes into components, and only members of different components are paired. What is left after
+   the hubs is paired in full, so a group of thousands of copies costs a few comparisons a member and no link between
+   two components is lost.
 4. The union sketch of a pair estimates its similarity; what passes is compared on the full sets.
 """
 
@@ -25,7 +26,7 @@ from runsift.llm.storage import store, without
 
 SKETCH = 64
 ESTIMATE_PCT = 50  # of the union sketch; seven tenths of a threshold of 0.8 lie well above it
-HUB_ROUNDS = 3
+HUBS = (1, 8, 64, 512)  # expected hubs of a list, round by round, before all that is left is paired
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -98,13 +99,22 @@ def _close_in_size(pct: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * pct
 
 
-def _pairs_with_hub(lists: DataFrame, pct: int, turn: int) -> DataFrame:
-    """Pair each member with its list's hub: the smallest id at first, then a hashed choice."""
-    pick = F.struct(F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn)), F.col("id").alias("hub"),
-                    F.col("n").alias("nh"), F.col("root").alias("rh"))
-    hubs = store(lists.groupBy("value").agg(F.min(pick).alias("h"), F.count(F.lit(1)).alias("members"))
-                 .select("value", "h.hub", "h.nh", "h.rh", "members").where("members > 1"))
-    pairs = lists.join(hubs, "value").where("root <> rh").select(
+def _hubs(lists: DataFrame, number: int) -> DataFrame:
+    """Hubs of each list: its smallest id, or about ``number`` members by a hash of the id."""
+    if number == 1:
+        first = F.struct("id", "n", "root")
+        return lists.groupBy("value").agg(F.min(first).alias("h")).select("value", "h.*")
+    sizes = store(lists.groupBy("value").agg(F.count(F.lit(1)).alias("members")))
+    chance = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(1 << 20)) * F.col("members")
+    return lists.join(sizes, "value").where(chance < number << 20).select("value", "id", "n", "root")
+
+
+def _pairs_with_hub(lists: DataFrame, pct: int, number: int) -> DataFrame:
+    """Pair each member with those hubs of its list that lie in another component."""
+    hubs = store(_hubs(lists, number).select(
+        "value", F.col("id").alias("hub"), F.col("n").alias("nh"), F.col("root").alias("rh")))
+    whose = F.col("id") != F.col("hub")
+    pairs = lists.join(hubs, "value").where("root <> rh").where(whose).select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"),
         F.col("n").alias("na"), F.col("nh").alias("nb"))
     return pairs.where(_close_in_size(pct)).select("a", "b").distinct()
@@ -167,12 +177,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         F.col("id").alias("a"), F.col("rep").alias("b")))
     lists = listed.withColumn("root", F.col("id"))
     tested, roots = None, store(components(edges))
-    for turn in range(HUB_ROUNDS + 1):
+    for turn, number in enumerate((*HUBS, None)):
         total, rows = _across(lists)
         if total == 0:
             break
-        last = turn > 0 and total <= 4 * rows or turn == HUB_ROUNDS
-        pairs = _pairs_across(lists, similarity_pct) if last else _pairs_with_hub(lists, similarity_pct, turn)
+        last = number is None or turn > 0 and total <= rows
+        pairs = _pairs_across(lists, similarity_pct) if last else _pairs_with_hub(lists, similarity_pct, number)
         pairs = store(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         tested = pairs if tested is None else tested.union(pairs)
         edges = store(edges.union(_links(pairs, sketches, sets, similarity_pct, k)).distinct())

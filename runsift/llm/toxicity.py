@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from runsift.llm import words as W
 from runsift.llm.storage import store, without
 
-BITS = 20
+BITS = 18
 SHARDS = 6
 EPOCHS = 6
 MAX_TRAINING_ROWS = 24_000
