@@ -1,8 +1,8 @@
 """Near-duplicate documents: bottom-k sketches of one hash function, inverted lists, exact check.
 
 1. Every text becomes its set of word shingles (63-bit hashes); documents with equal sets are one class.
-2. A class keeps the k smallest hashes. Two sets that reach the threshold share at least half of what they keep,
-   except with a chance below 1e-7, so of each sketch only the rarest values are listed: as many as still
+2. A class keeps the k smallest hashes. Two sets that reach 0.8 share at least three fifths of what they keep,
+   except with a chance of 4e-5 at most, so of each sketch only the rarest values are listed: as many as still
    guarantee one common listed value. Frequent shingles are thereby never listed by texts that hold rarer ones.
 3. Inverted lists of these values propose pairs. A list first pairs its members with one hub, then with more and more;
    links found merge classes into components, and only members of different components are paired. What is left after
@@ -25,8 +25,8 @@ from runsift.llm.links import components
 from runsift.llm.storage import store, without
 
 SKETCH = 64
-ESTIMATE_PCT = 50  # of the union sketch; seven tenths of a threshold of 0.8 lie well above it
-HUBS = (1, 8, 64, 512)  # expected hubs of a list, round by round, before all that is left is paired
+ESTIMATE_PCT = 60  # of the union sketch: a pair at a similarity of 0.8 falls below it with a chance of 4e-5
+HUBS = (1, 16)  # expected hubs of a list, round by round, before all that is left is paired
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -80,7 +80,7 @@ def _setter(width: int):
 
 
 def _listed(sketches: DataFrame, k: int) -> DataFrame:
-    """The rarest values of each sketch that can decide a pair: value, id, n."""
+    """The rarest values of each sketch that can decide a pair: value, id, n, and all values listed for the id."""
     rows = sketches.select("id", "n", F.explode("sketch").alias("value"))
     shared = store(rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     kept = F.least(F.col("n"), F.lit(k))
@@ -90,9 +90,9 @@ def _listed(sketches: DataFrame, k: int) -> DataFrame:
         .groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("common"))
         .withColumn("take", (F.size("common") - needed + 1).cast("int"))
         .where("take > 0")
-        .select("id", "n", F.explode(F.slice("common", F.lit(1), F.col("take"))).alias("c"))
+        .withColumn("listed", F.transform(F.slice("common", F.lit(1), F.col("take")), lambda c: c["value"]))
     )
-    return store(per_id.select(F.col("c.value").alias("value"), "id", "n"))
+    return store(per_id.select(F.explode("listed").alias("value"), "id", "n", "listed"))
 
 
 def _close_in_size(pct: int):
@@ -121,10 +121,14 @@ def _pairs_with_hub(lists: DataFrame, pct: int, number: int) -> DataFrame:
 
 
 def _pairs_across(lists: DataFrame, pct: int) -> DataFrame:
-    """Pair members of one list that lie in different components."""
-    a = lists.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    return a.join(b, "value").where("a < b and ra <> rb").where(_close_in_size(pct)).select("a", "b").distinct()
+    """Pair members of one list that lie in different components, in the first list that they share."""
+    a = lists.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
+                     F.col("listed").alias("la"))
+    b = lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
+                     F.col("listed").alias("lb"))
+    here = F.array_min(F.array_intersect("la", "lb")) == F.col("value")
+    return a.join(b, "value").where("a < b and ra <> rb").where(_close_in_size(pct)).where(here).select(
+        "a", "b").distinct()
 
 
 def _across(lists: DataFrame) -> tuple[int, int]:
@@ -190,7 +194,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         if last:
             break
         lists = store(listed.join(roots, "id", "left").select(
-            "value", "id", "n", F.coalesce("root", "id").alias("root")))
+            "value", "id", "n", "listed", F.coalesce("root", "id").alias("root")))
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
     return made.join(store(named), ["n", "f1", "f2"], "left").select(
