@@ -90,7 +90,7 @@ def _listed(sketches: DataFrame, k: int) -> DataFrame:
         .groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("common"))
         .withColumn("take", (F.size("common") - needed + 1).cast("int"))
         .where("take > 0")
-        .withColumn("listed", F.transform(F.slice("common", F.lit(1), F.col("take")), lambda c: c["value"]))
+        .withColumn("listed", F.transform(F.slice("common", F.lit(1), F.greatest("take", F.lit(0))), lambda c: c["value"]))
     )
     return store(per_id.select(F.explode("listed").alias("value"), "id", "n", "listed"))
 
