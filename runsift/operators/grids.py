@@ -51,12 +51,13 @@ def expected_points(cases: DataFrame, variables: DataFrame, references: DataFram
         .alias("axes"),
         F.collect_list(F.when(~scanned, F.struct(F.col("name").alias("key"), fixed.alias("value")))).alias("fixed"))
     axes = F.array_sort("axes")
-    first, second = F.get(axes, F.lit(0)), F.get(axes, F.lit(1))
-    entry = lambda a, v: F.struct(a["name"].alias("key"), v.alias("value"))
-    line = F.transform(first["values"], lambda x: F.array(entry(first, x)))
-    square = F.flatten(F.transform(second["values"], lambda y: F.transform(
-        first["values"], lambda x: F.array(entry(first, x), entry(second, y)))))
-    points = F.when(second.isNotNull(), square).otherwise(line)
+    none = F.expr("cast(array(array()) as array<array<struct<key:string,value:double>>>)")
+
+    def with_axis(points: Column, a: Column) -> Column:
+        return F.flatten(F.transform(a["values"], lambda v: F.transform(points, lambda p: F.array_append(
+            p, F.struct(a["name"].alias("key"), v.cast("double").alias("value"))))))
+
+    points = F.when(F.size(axes) > 0, F.aggregate(axes, none, with_axis))
     return per_case.select("case_id", "fixed", F.posexplode(points).alias("point_id", "p")).select(
         "case_id", "point_id", F.map_from_entries(F.concat("p", "fixed")).alias("params"))
 

@@ -15,8 +15,6 @@ from runsift.functions.numeric import ratio_or_zero, to_double
 from runsift.functions.order import hash_order, match_keys, rank_within, top_rows
 from runsift.session import materialize
 
-SPREAD_BELOW = 5_000_000
-
 
 def threshold_slice(predictions: DataFrame, threshold: float) -> DataFrame:
     return predictions.where(F.abs(F.col("threshold") - F.lit(threshold)) <= 1e-12)
@@ -69,9 +67,7 @@ def draw(base: DataFrame, n_trials: int, first_seed: int, size: int, key: str,
     if want == 0:
         return base.withColumns({"trial_id": F.lit(0), "seed": F.lit(0), "draw": F.lit(0).cast("long")}).limit(0)
     share = (want + 10.0 * want ** 0.5 + 20.0) / n
-    # A small table often sits in one file split; every row is hashed once per trial, so spread it first.
-    spread = base.repartition(base.sparkSession.sparkContext.defaultParallelism, key) if n <= SPREAD_BELOW else base
-    wide = spread.withColumn("trial_id", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1)))).withColumn(
+    wide = base.withColumn("trial_id", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1)))).withColumn(
         "seed", F.col("trial_id") + first_seed).withColumn("__h", hash_order(F.col("seed"), key))
     while True:
         bound = "z" if share >= 1.0 else format(int(share * 16 ** 12), "012x") + "f" * 20
@@ -84,14 +80,14 @@ def draw(base: DataFrame, n_trials: int, first_seed: int, size: int, key: str,
 
 
 def draw_with_replacement(base: DataFrame, n_trials: int, first_seed: int, size: int, key: str) -> DataFrame:
-    """For targets above the population: each draw picks a hashed row number."""
+    """For targets above the population: each draw picks a hashed row number, from 60 bits of the hash."""
     numbered = rank_within(base, [F.col(key)], "__row")
     n = numbered.count()
     spark = base.sparkSession
     draws = spark.range(n_trials * size).select(
         F.floor(F.col("id") / size).cast("int").alias("trial_id"), (F.col("id") % size + 1).alias("draw"),
     ).withColumn("seed", F.col("trial_id") + first_seed)
-    picked = F.conv(F.substring(hash_order(F.col("seed"), "draw"), 1, 8), 16, 10).cast("long") % n + 1
+    picked = F.conv(F.substring(hash_order(F.col("seed"), "draw"), 1, 15), 16, 10).cast("long") % n + 1
     return draws.withColumn("__row", picked).join(numbered, "__row").drop("__row")
 
 

@@ -36,14 +36,20 @@ def target_match(mean: Column, std: Column, target: Column | float, kappa: Colum
 
 
 def checked_uncertainty(std: Column) -> Column:
-    """Fail the job on NaN or negative uncertainty."""
+    """Fail the job on missing, NaN or negative uncertainty."""
     return (
-        F.when(F.isnan(std), F.raise_error(F.lit("uncertainty must not be NaN")).cast("double"))
+        F.when(std.isNull() | F.isnan(std), F.raise_error(F.lit("uncertainty must not be missing or NaN")).cast("double"))
         .when(std < 0, F.raise_error(F.lit("uncertainty must be non-negative")).cast("double"))
         .otherwise(std)
     )
 
 
+def checked_mean(mean: Column) -> Column:
+    """Fail the job on a missing or NaN mean."""
+    return F.when(mean.isNull() | F.isnan(mean), F.raise_error(F.lit("predicted_value must be a number")).cast("double")
+                  ).otherwise(mean)
+
+
 def risk_flag(risk: Column, threshold: float = K.RISK_THRESHOLD) -> Column:
     return (F.when(risk.isNull(), "missing").when(risk >= threshold, "elevated").otherwise("low"))
 
@@ -65,7 +71,7 @@ def fallback_id(df: DataFrame, ordinal: str) -> Column:
 def clean_candidates(df: DataFrame) -> DataFrame:
     """Checked mean and uncertainty, risk cleaned to [0, 1] or null. Other columns pass through."""
     return df.withColumns({
-        "predicted_value": F.col("predicted_value").cast("double"),
+        "predicted_value": checked_mean(F.col("predicted_value").cast("double")),
         "uncertainty": checked_uncertainty(F.col("uncertainty").cast("double")),
         "failure_risk": clean_risk(F.col("failure_risk")) if "failure_risk" in df.columns
         else F.lit(None).cast("double"),

@@ -215,9 +215,10 @@ def running_best(trace: DataFrame, key: str, order: Sequence[Column], value: str
 
 
 def convergence_points(trace: DataFrame, key: str, order: Sequence[Column], std: str, improvement: str,
-                       cap: int = 12, max_std: float = K.STOP_STD, max_improvement: float = K.STOP_IMPROVEMENT) -> DataFrame:
-    """First iteration within both limits, or the last iteration under the cap when there is none."""
-    numbered = rank_within(trace, order, "iteration", [key]).where(F.col("iteration") <= cap)
+                       cap: int | None = None, max_std: float = K.STOP_STD, max_improvement: float = K.STOP_IMPROVEMENT) -> DataFrame:
+    """First iteration within both limits, or the last one when there is none; ``cap`` leaves out later iterations."""
+    numbered = rank_within(trace, order, "iteration", [key])
+    numbered = numbered if cap is None else numbered.where(F.col("iteration") <= cap)
     stop = F.min(F.when((F.col(std) < max_std) & (F.col(improvement) < max_improvement), F.col("iteration")))
     return numbered.groupBy(key).agg(stop.alias("s"), F.max("iteration").alias("m")).select(
         key, F.coalesce("s", "m").alias("stop_iteration"), F.col("s").isNotNull().cast("int").alias("converged"))

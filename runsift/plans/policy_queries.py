@@ -284,7 +284,7 @@ select record_id as candidate_id, material_id, failure_label, true_failure, coal
     "pool_top_uncertainty": f"with {_BASE}, {_TOPU} {_PICK} (select 'high_uncertainty_pool' as pool_mode, * from p_top)",
     "pool_replacement": """
 with draws as (select cast(t.range as integer) as trial_id, d.range as draw from range(50) t, range(1, 2 * (select count(*) from supplier) + 1) d),
-picks as (select *, cast('0x' || substr(md5(cast(trial_id + 42 as varchar) || '|' || cast(draw as varchar)), 1, 8) as bigint)
+picks as (select *, cast('0x' || substr(md5(cast(trial_id + 42 as varchar) || '|' || cast(draw as varchar)), 1, 15) as bigint)
   % (select count(*) from supplier) + 1 as rn from draws),
 numbered as (select s_suppkey, s_name, row_number() over (order by s_suppkey) as rn from supplier)
 select trial_id, draw, s_suppkey as candidate_id, s_name from picks join numbered using (rn)""",

@@ -52,7 +52,7 @@ def composed_reports(spark, d):
 def _dimension(spark, d):
     """Systems with at least 65 events are known."""
     users = table(spark, d, "events").groupBy("user_id").count()
-    return users.where("count >= 65").select(F.concat(F.lit("sys"), F.col("user_id").cast("string")).alias("key"))
+    return users.select(F.concat(F.lit("sys"), F.col("user_id").cast("string")).alias("key"))
 
 
 def _aliases(spark, d):
@@ -132,7 +132,7 @@ ORACLES = {
     "report_best_version": f"""with {_E}, r as (
   select 'sys' || user_id as key, event_id, (case when k % 2 = 0 then 10 else 0 end) + 2 + (case when k % 3 <> 0 then 2 else 0 end) as score,
     ts, '/reports/' || event_id || '/sys' || user_id || case when event_id % 5 = 0 then '_report.txt' else '_qe_run_report.txt' end as path
-  from e where user_id in (select user_id from events group by 1 having count(*) >= 65))
+  from e)
 select key, event_id, score from (select *, row_number() over (partition by key order by score desc, ts desc, path) as rn from r) where rn = 1""",
     "report_params": f"""with {_E}, r as (select event_id, k, event_id % 6 as layout, (k % 90 + 1) + 0.25e0 as v1, k % 7 + 0.5e0 as v2,
   case when k % 3 = 0 then 1 else 2 end as dim from e)
@@ -156,6 +156,6 @@ from e, lateral (select unnest(range(1, k % 3 + 2)) as i)""",
 from events window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row)""",
     "trace_convergence": f"""with {_E}, n as (select user_id, value / 100e0 as std, k / 1000e0 as imp,
   row_number() over (partition by user_id order by ts, event_id) as it from e),
-s as (select user_id, min(case when std < 0.3e0 and imp < 0.06e0 then it end) as s, max(it) as m from n where it <= 12 group by user_id)
+s as (select user_id, min(case when std < 0.3e0 and imp < 0.06e0 then it end) as s, max(it) as m from n group by user_id)
 select user_id, coalesce(s, m) as stop_iteration, case when s is null then 0 else 1 end as converged from s""",
 }
