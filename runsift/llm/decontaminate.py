@@ -131,10 +131,16 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
     return out
 
 
+def _scan_renamed(docs: DataFrame, items: DataFrame, text: str, options: dict) -> tuple[DataFrame, list[str]]:
+    """Scan under neutral column names, so that no input column is replaced."""
+    plain = [f"__c{i}" for i in range(len(docs.columns))]
+    return scan(docs.toDF(*plain), items, plain[docs.columns.index(text)], **options), plain
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """Leave out documents in which a window of an item occurs."""
-    found = scan(docs.withColumn("__scanned", F.col(text)), items, "__scanned", **options)
-    return found.where(F.size("hit_spans") == 0).select(*[f"`{c}`" for c in docs.columns])
+    found, plain = _scan_renamed(docs, items, text, options)
+    return found.where(F.size("hit_spans") == 0).select(*plain).toDF(*docs.columns)
 
 
 def _cutter(text: int):
@@ -159,5 +165,7 @@ def _cutter(text: int):
 
 def cut_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """Cut the hit word runs out of the texts and keep all documents."""
-    found = scan(docs, items, text, **options).select(*[f"`{c}`" for c in docs.columns], "hit_spans")
-    return found.mapInArrow(_cutter(docs.columns.index(text)), docs.schema)
+    found, plain = _scan_renamed(docs, items, text, options)
+    cut = found.select(*plain, "hit_spans").mapInArrow(
+        _cutter(docs.columns.index(text)), docs.toDF(*plain).schema)
+    return cut.toDF(*docs.columns)

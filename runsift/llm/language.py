@@ -136,7 +136,7 @@ def identify(pages: DataFrame, texts: DataFrame, key: str = "page_id", url: str
     schema = facts.drop("__text").withColumn("text_log", F.expr("cast(null as array<double>)")).schema
     rows = store(facts.mapInArrow(_likelihood(shared, 5), schema).withColumn("first", _normal(F.col("text_log"))))
 
-    whole = _soft_counts(rows, n).first()["c_all"] or [0.0] * n
+    whole = [v or 0.0 for v in _soft_counts(rows, n).first()["c_all"]]
     total = sum(whole)
     base = F.array(*[F.lit((v + 1.0) / (total + n)) for v in whole])
     out = rows
