@@ -9,9 +9,9 @@ from runsift.operators import grids, ranking, reports
 def test_three_scanned_axes(spark):
     cases = spark.createDataFrame([("c", ["x", "y", "z"], 3)], "case_id string, scan_variables array<string>, points_per_variable int")
     variables = spark.createDataFrame(
-        [("c", n, 0.0, 2.0, [0.5]) for n in "xyzw"], "case_id string, name string, lo double, hi double, seeds array<double>")
-    references = spark.createDataFrame([("c", {"x": 1.0}, None, None)],
-                                       "case_id string, best_params map<string,double>, report_spin boolean, spin boolean")
+        [("c", n, 0.0, 2.0, False) for n in "xyzw"], "case_id string, name string, lo double, hi double, spin boolean")
+    references = spark.createDataFrame([("c", {"x": 1.0}, None)],
+                                       "case_id string, best_params map<string,double>, spin boolean")
     points = grids.expected_points(cases, variables, references).orderBy("point_id").collect()
     assert len(points) == 27
     assert len({tuple(sorted(p["params"].items())) for p in points}) == 27
