@@ -50,4 +50,3 @@ def test_fitted_queries_run(spark, data_dir, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert not [n for n in QUERIES if n.startswith("op") or n == "pipeline"]
