@@ -13,8 +13,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    both = store(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                 .union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
+        edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
 

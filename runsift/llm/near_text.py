@@ -1,14 +1,16 @@
 """Near-duplicate documents: bottom-k sketches of one hash function, inverted lists, exact check.
 
 1. Every text becomes its set of word shingles (63-bit hashes); documents with equal sets are one class.
-2. A class keeps the k smallest hashes. Two sets that reach 0.8 share at least three fifths of what they keep,
-   except with a chance of 4e-5 at most, so of each sketch only the rarest values are listed: as many as still
-   guarantee one common listed value. Frequent shingles are thereby never listed by texts that hold rarer ones.
+2. A class keeps the k smallest hashes. How many of them two similar sets have in common follows a hypergeometric
+   law, whose lower bound (``_least_common``) is missed with a chance below 1e-5. Of each sketch only the rarest values
+   are listed: as many as still guarantee one common listed value. Frequent shingles are thereby never listed by texts
+   that hold rarer ones.
 3. Inverted lists of these values propose pairs. A list first pairs its members with one hub, then with more and more;
    links found merge classes into components, and only members of different components are paired. What is left after
    the hubs is paired in full, so a group of thousands of copies costs a few comparisons a member and no link between
    two components is lost.
-4. The union sketch of a pair estimates its similarity; what passes is compared on the full sets.
+4. The union sketch of a pair estimates its similarity, from more values than are listed, since these cost no list
+   rows; what passes is compared on the full sets. In the last round the estimate is a condition of the join.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from runsift.llm.links import components
 from runsift.llm.storage import store, without
 
 SKETCH = 64
-ESTIMATE_PCT = 60  # of the union sketch: a pair at a similarity of 0.8 falls below it with a chance of 4e-5
+ESTIMATE = 256  # values of a union sketch
+SAFE = 4.5  # standard deviations that a bound lies below its mean
 HUBS = (1, 16)  # expected hubs of a list, round by round, before all that is left is paired
 
 
@@ -79,12 +82,23 @@ def _setter(width: int):
     return run
 
 
-def _listed(sketches: DataFrame, k: int) -> DataFrame:
-    """The rarest values of each sketch that can decide a pair: value, id, n, and all values listed for the id."""
+def _least_common(whole, largest, k: int, pct: int):
+    """Of k smallest values, how many are common at the least if the similarity reaches ``pct`` per cent.
+
+    ``largest`` bounds the size of the sets the sketch is drawn from; up to k values the sketch is the whole set, and
+    the share of ``whole`` holds exactly. Beyond, the count is hypergeometric.
+    """
+    exact = F.ceil(whole * pct / 100)
+    spread = k * pct * (100 - pct) / 1e4 * (largest - k) / (largest - 1)
+    drawn = F.floor(k * pct / 100 - SAFE * F.sqrt(spread))
+    return F.when(largest <= k, exact).otherwise(F.greatest(F.lit(1), F.least(exact, drawn)))
+
+
+def _listed(sketches: DataFrame, k: int, pct: int) -> DataFrame:
+    """The rarest values of each sketch that can decide a pair: value, id, n, and the values listed before it."""
     rows = sketches.select("id", "n", F.explode("sketch").alias("value"))
     shared = store(rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    kept = F.least(F.col("n"), F.lit(k))
-    needed = F.ceil(kept * F.lit(ESTIMATE_PCT) / 100)
+    needed = _least_common(F.col("n"), F.floor(F.col("n") * 100 / pct), k, pct)
     per_id = (
         rows.join(shared.hint("shuffle_hash"), "value")
         .groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("common"))
@@ -92,7 +106,8 @@ def _listed(sketches: DataFrame, k: int) -> DataFrame:
         .where("take > 0")
         .withColumn("listed", F.transform(F.slice("common", F.lit(1), F.greatest("take", F.lit(0))), lambda c: c["value"]))
     )
-    return store(per_id.select(F.explode("listed").alias("value"), "id", "n", "listed"))
+    return store(per_id.select("id", "n", "listed", F.posexplode("listed").alias("at", "value"))
+                 .select("value", "id", "n", F.slice("listed", F.lit(1), F.col("at")).alias("prior")))
 
 
 def _close_in_size(pct: int):
@@ -116,37 +131,50 @@ def _pairs_with_hub(lists: DataFrame, pct: int, number: int) -> DataFrame:
     whose = F.col("id") != F.col("hub")
     pairs = lists.join(hubs, "value").where("root <> rh").where(whose).select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"),
-        F.col("n").alias("na"), F.col("nh").alias("nb"))
-    return pairs.where(_close_in_size(pct)).select("a", "b").distinct()
+        F.least("n", "nh").alias("na"), F.greatest("n", "nh").alias("nb"))
+    return pairs.where(_close_in_size(pct)).distinct()
+
 
+def _likely(pct: int):
+    """Whether the union sketch of ``sa`` and ``sb`` lets a pair of sizes ``na`` and ``nb`` reach ``pct``."""
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, ESTIMATE)
+    common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+    return common >= _least_common(F.size(union), F.floor(F.least("na", "nb") * 100 / pct), ESTIMATE, pct)
 
-def _pairs_across(lists: DataFrame, pct: int) -> DataFrame:
-    """Pair members of one list that lie in different components, in the first list that they share."""
-    a = lists.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"),
-                     F.col("listed").alias("la"))
-    b = lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"),
-                     F.col("listed").alias("lb"))
-    here = F.array_min(F.array_intersect("la", "lb")) == F.col("value")
-    return a.join(b, "value").where("a < b and ra <> rb").where(_close_in_size(pct)).where(here).select(
-        "a", "b").distinct()
+
+def _pairs_across(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Likely pairs of one list whose members lie in different components, in the first list that they share."""
+    mixed = store(lists.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+                  .where("lo < hi").select("value"))
+    wide = lists.join(mixed, "value", "left_semi").join(_sketches(sets), "id")
+    sides = [wide.select("value", *[F.col(c).alias(new + side) for c, new in (
+        ("id", ""), ("n", "n"), ("root", "r"), ("prior", "p"), ("sketch", "s"))]) for side in "ab"]
+    return (sides[0].join(sides[1], "value").where("a < b and ra <> rb").where(_close_in_size(pct))
+            .where(~F.arrays_overlap("pa", "pb")).where(_likely(pct)).select("a", "b"))
 
 
 def _across(lists: DataFrame) -> tuple[int, int]:
-    """How many pairs ``_pairs_across`` would propose at most, and the rows of the lists."""
+    """How many pairs ``_pairs_across`` would compare at most, and the rows of the lists."""
     by_root = lists.groupBy("value", "root").agg(F.count(F.lit(1)).alias("c"))
     per_list = by_root.groupBy("value").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
     row = per_list.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, pct: int, k: int) -> DataFrame:
-    """Estimate on union sketches, then compare full sets."""
-    a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    common = F.array_intersect(union, F.array_intersect("sa", "sb"))
-    likely = store(pairs.join(a, "a").join(b, "b")
-                   .where(F.size(common) * 100 >= F.size(union) * ESTIMATE_PCT).select("a", "b"))
+def _sketches(sets: DataFrame) -> DataFrame:
+    """The smallest hashes of each set by their upper 31 bits, which keep the order."""
+    return sets.select("id", F.transform(
+        F.slice("shingles", 1, ESTIMATE), lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
+
+
+def _estimated(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs that their union sketches let pass."""
+    a, b = (_sketches(sets).select(F.col("id").alias(x), F.col("sketch").alias("s" + x)) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_likely(pct)).select("a", "b")
+
+
+def _links(likely: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Compare full sets."""
     fa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     fb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -159,18 +187,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     """One row per input row: ``key``, ``n_shingles``, ``component_id`` (smallest key reachable by links), ``kept``.
 
     Two documents are linked if 100 * |A & B| >= similarity_pct * |A | B| on their sets of ``width``-word shingles.
-    ``similarity_pct`` must be at least 75, for which the estimate is safe. Null, empty and wordless texts have no
+    ``similarity_pct`` must be at least 50, for which the bounds are safe. Null, empty and wordless texts have no
     shingle and are linked with nothing. Rows with one key are one document. A null key is never linked: its
     component is null and it is kept. Other columns of the input are ignored.
     """
-    if similarity_pct < 75:
-        raise ValueError("similarity_pct must be 75 or more")
+    if similarity_pct < 50:
+        raise ValueError("similarity_pct must be 50 or more")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     made = store(texts.mapInArrow(_sketcher(width, k), "id long, n long, f1 long, f2 long, sketch array<long>"))
     classes = store(made.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     sketches = store(made.join(classes.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"]).select(
         "id", "n", "sketch"))
-    listed = _listed(sketches, k)
+    listed = _listed(sketches, k, similarity_pct)
     wanted = store(listed.select("id").distinct())
     sets = store(texts.join(wanted, "id", "left_semi").mapInArrow(_setter(width), "id long, shingles array<long>"))
 
@@ -180,21 +208,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     edges = store(made.join(several, "id", "left_semi").join(classes, ["n", "f1", "f2"]).select(
         F.col("id").alias("a"), F.col("rep").alias("b")))
     lists = listed.withColumn("root", F.col("id"))
-    tested, roots = None, store(components(edges))
+    roots = store(components(edges))
     for turn, number in enumerate((*HUBS, None)):
         total, rows = _across(lists)
         if total == 0:
             break
         last = number is None or turn > 0 and total <= rows
-        pairs = _pairs_across(lists, similarity_pct) if last else _pairs_with_hub(lists, similarity_pct, number)
-        pairs = store(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = store(edges.union(_links(pairs, sketches, sets, similarity_pct, k)).distinct())
+        likely = store(_pairs_across(lists, sets, similarity_pct) if last else _estimated(
+            store(_pairs_with_hub(lists, similarity_pct, number)), sets, similarity_pct))
+        edges = store(edges.union(_links(likely, sets, similarity_pct)).distinct())
         roots = store(components(edges))
         if last:
             break
         lists = store(listed.join(roots, "id", "left").select(
-            "value", "id", "n", "listed", F.coalesce("root", "id").alias("root")))
+            "value", "id", "n", "prior", F.coalesce("root", "id").alias("root")))
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("root", "rep").alias("root"))
     return made.join(store(named), ["n", "f1", "f2"], "left").select(
