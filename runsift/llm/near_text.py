@@ -89,7 +89,7 @@ def _least_common(whole, largest, k: int, pct: int):
     the share of ``whole`` holds exactly. Beyond, the count is hypergeometric.
     """
     exact = F.ceil(whole * pct / 100)
-    spread = k * pct * (100 - pct) / 1e4 * (largest - k) / (largest - 1)
+    spread = k * pct * (100 - pct) / 1e4 * (largest - k) / F.greatest(largest - 1, F.lit(1))
     drawn = F.floor(k * pct / 100 - SAFE * F.sqrt(spread))
     return F.when(largest <= k, exact).otherwise(F.greatest(F.lit(1), F.least(exact, drawn)))
 
@@ -137,9 +137,10 @@ def _pairs_with_hub(lists: DataFrame, pct: int, number: int) -> DataFrame:
 
 def _likely(pct: int):
     """Whether the union sketch of ``sa`` and ``sb`` lets a pair of sizes ``na`` and ``nb`` reach ``pct``."""
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, ESTIMATE)
-    common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    return common >= _least_common(F.size(union), F.floor(F.least("na", "nb") * 100 / pct), ESTIMATE, pct)
+    both, largest = F.array_intersect("sa", "sb"), F.floor(F.least("na", "nb") * 100 / pct)
+    possible = F.size(both) >= _least_common(F.greatest(F.size("sa"), F.size("sb")), largest, ESTIMATE, pct)
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, ESTIMATE)
+    return possible & (F.size(F.array_intersect(union, both)) >= _least_common(F.size(union), largest, ESTIMATE, pct))
 
 
 def _pairs_across(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
