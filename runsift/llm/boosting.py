@@ -1,4 +1,4 @@
-"""Small boosted trees for bounded samples: binned features, logistic loss, isotonic calibration."""
+"""Small boosted trees for weighted rows: binned features, logistic loss, isotonic calibration."""
 
 from __future__ import annotations
 
@@ -17,18 +17,28 @@ class Trees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(self.edges)], axis=1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1])) for f in range(x.shape[1])]
-        share = (y.sum() + 1) / (len(y) + 2)
+    def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
+        self.edges = [self._quantiles(x[:, f], w) for f in range(x.shape[1])]
+        share = ((w * y).sum() + 1) / (w.sum() + 2)
         self.base = float(np.log(share / (1 - share)))
         cells, margin = self._binned(x), np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(cells, p - y, p * (1 - p))
+            tree = self._grow(cells, w * (p - y), w * p * (1 - p))
             self.trees.append(tree)
             margin += self._apply(tree, cells)
         return self
 
+    @staticmethod
+    def _quantiles(values: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Edges are values of rows; few different ones are all edges, so rare values keep a cut of their own."""
+        known = np.unique(values)
+        if len(known) < BINS:
+            return known
+        order = np.argsort(values, kind="stable")
+        at = np.searchsorted(np.cumsum(w[order]), np.linspace(0, 1, BINS)[1:-1] * w.sum(), side="left")
+        return np.unique(values[order][np.clip(at, 0, len(order) - 1)])
+
     def _grow(self, cells: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple:
         nodes, node = [], np.zeros(len(g), np.int64)
         for level in range(self.depth):
@@ -67,11 +77,12 @@ class Trees:
 class Isotonic:
     """Pool adjacent violators: margin to probability."""
 
-    def fit(self, margin: np.ndarray, y: np.ndarray) -> Isotonic:
-        order = np.argsort(margin, kind="stable")
+    def fit(self, margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> Isotonic:
+        levels, at = np.unique(margin, return_inverse=True)  # equal margins are one block
+        total, right = np.bincount(at, w), np.bincount(at, w * y)
         blocks: list[list[float]] = []
-        for x, v in zip(margin[order], y[order], strict=True):
-            blocks.append([float(v), 1.0, float(x)])
+        for x, n, s in zip(levels.tolist(), total.tolist(), right.tolist(), strict=True):
+            blocks.append([s, n, x])
             while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
                 s, n, _ = blocks.pop()
                 blocks[-1][0] += s

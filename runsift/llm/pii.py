@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsift.llm import words as W
@@ -22,7 +22,8 @@ from runsift.llm.boosting import Isotonic, Trees
 from runsift.llm.storage import store, without
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TRAINING_ROWS = 20_000
+MAX_TRAINING_ROWS = 20_000  # different feature vectors; each counts all its proposals
+STEPS_PER_DOUBLING = (8, 4, 2, 1)  # rounding of features, tried in turn while there are more
 PRECISION = 0.95  # a threshold is the lowest probability from which proposals are right this often
 
 _LOCAL = re.compile(rb"[A-Za-z0-9._%+-]")
@@ -164,24 +165,30 @@ def propose(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Selector:
-    """Trees, calibration and one threshold per kind, fitted on a bounded sample of proposals."""
+    """Trees, calibration and one threshold per kind, fitted on feature rows that stand for many proposals each.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    Row i stands for ``learn[i]`` proposals of the trees and ``tune[i]`` of calibration and thresholds.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, learn: np.ndarray, tune: np.ndarray):
         self.limits = np.full(len(KINDS), np.inf)
         self.trees = self.scale = None
-        fold = np.arange(len(y)) % 3 == 0  # rows come in hash order
-        if min(len(np.unique(y[fold])), len(np.unique(y[~fold]))) < 2:
+        fold = tune > 0
+        if min(len(np.unique(y[fold])), len(np.unique(y[learn > 0]))) < 2:
             return
-        self.trees = Trees().fit(x[~fold], y[~fold])
-        self.scale = Isotonic().fit(self.trees.margin(x[fold]), y[fold])
-        p = self.scale.predict(self.trees.margin(x[fold]))
+        self.trees = Trees().fit(x[learn > 0], y[learn > 0], learn[learn > 0])
+        x, y, w = x[fold], y[fold], tune[fold]
+        margin = self.trees.margin(x)
+        self.scale = Isotonic().fit(margin, y, w)
+        p = self.scale.predict(margin)
         for k in range(len(KINDS)):
-            own = x[fold][:, 0] == k
-            order = np.argsort(-p[own], kind="stable")
-            right = np.cumsum(y[fold][own][order]) / np.arange(1, own.sum() + 1)
+            own = x[:, 0] == k
+            levels, at = np.unique(-p[own], return_inverse=True)
+            n = np.bincount(at, w[own], minlength=len(levels)).cumsum()
+            right = np.bincount(at, w[own] * y[own], minlength=len(levels)).cumsum() / n
             good = np.flatnonzero(right >= PRECISION)
             if len(good):
-                self.limits[k] = max(p[own][order][good[-1]], PRECISION)
+                self.limits[k] = max(-levels[good[-1]], PRECISION)
 
     def choose(self, spans: list[dict]) -> list[dict]:
         """Strict spans, and the added ones by falling probability that overlap nothing chosen before."""
@@ -198,14 +205,31 @@ class Selector:
         return sorted(chosen, key=lambda s: (s["start"], s["kind"], s["end"]))
 
 
+def _coarse(f: Column, steps: int) -> Column:
+    """Features but the kind rounded up to ``steps`` values per doubling."""
+    return F.transform(f, lambda v, i: F.when((i == 0) | (v < 1), v).otherwise(
+        F.pow(F.lit(2.0), F.ceil(F.log2(v) * steps) / steps)).cast("float"))
+
+
 def fit(proposed: DataFrame, limit: int = MAX_TRAINING_ROWS) -> Selector:
-    """Learn from at most ``limit`` proposals in hash order; strict ones are right, the others wrong."""
-    rows = proposed.select(F.explode("proposed").alias("s")).select("s.strict", "s.f").withColumn(
-        "h", F.xxhash64("f", "strict"))
-    # One task keeps at most ``limit`` rows, and so does the result.
-    sample = rows.orderBy("h").limit(limit).toPandas()
-    x = np.array(sample["f"].tolist(), np.float32).reshape(-1, FEATURES)
-    return Selector(x, sample["strict"].to_numpy(float))
+    """Learn from every proposal; strict ones are right, the others wrong.
+
+    Equal feature vectors of one class are one row that counts its proposals. Beyond ``limit`` such rows the features
+    are rounded more coarsely and the rows merged, which drops no proposal. About a third of every row's proposals
+    calibrate.
+    """
+    rows = proposed.select(F.explode("proposed").alias("s")).select("s.strict", "s.f")
+    groups = store(rows.groupBy("strict", "f").agg(F.count(F.lit(1)).alias("n")))
+    for steps in STEPS_PER_DOUBLING:
+        if groups.limit(limit + 1).count() <= limit:
+            break
+        groups = store(groups.groupBy("strict", _coarse(F.col("f"), steps).alias("f")).agg(F.sum("n").alias("n")))
+    turn = F.pmod(F.xxhash64("f", "strict"), F.lit(3))
+    tune = F.floor((F.col("n") + turn) / 3)
+    known = groups.select("strict", "f", tune.cast("double").alias("tune"),
+                          (F.col("n") - tune).cast("double").alias("learn")).orderBy("strict", "f").toPandas()
+    x = np.array(known["f"].tolist(), np.float32).reshape(-1, FEATURES)
+    return Selector(x, known["strict"].to_numpy(float), known["learn"].to_numpy(float), known["tune"].to_numpy(float))
 
 
 def _joined(spans: list[dict]) -> str:

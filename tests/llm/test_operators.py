@@ -228,3 +228,20 @@ def test_mixing(spark):
     for d in ("q1t0", "q1t1"):
         assert abs(sum(r["expected_tokens"] * r[f"p_{d}"] for r in rows) / total - 0.5) < 0.03
     assert mixing.mix(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_pii_learns_from_every_proposal(spark):
+    """Many copies of one vector with a low hash must not push the other kinds out of the fit."""
+    def span(kind, length, strict, n):
+        return [([(kind, 0, length, strict, [float(kind), float(length)] + [0.0] * (pii.FEATURES - 2))],)] * n
+
+    rows = [r for k in range(4) for r in span(k, 20 + k, True, 300) + span(k, 5 + k, False, 300)]
+    frame = spark.createDataFrame(rows, f"proposed {pii._SPAN_SQL}")
+    for limit in (50, 8):
+        selector = pii.fit(frame, limit)
+        assert np.isfinite(selector.limits).all()
+        want = {"kind": 2, "start": 0, "end": 22, "strict": False, "f": rows[-1][0][0][4]}
+        want["f"] = [2.0, 22.0] + [0.0] * (pii.FEATURES - 2)
+        assert len(selector.choose([want])) == 1
+        assert not selector.choose([{**want, "f": [2.0, 7.0] + want["f"][2:]}])
+    assert pii.fit(frame, 3).trees is not None
