@@ -2,9 +2,10 @@
 
 A naive Bayes classifier learned from the labelled table gives every document a posterior over domains. The rates are
 the nonnegative solution of a weighted least squares problem whose unknowns are one rate per document: the expected
-tokens of each domain, summed over documents, should equal its target. Projected gradient steps start from rate 1; a
-step needs only the sums per domain. Documents whose features fall in the same bins have the same posterior, hence the
-same rate in every step, so the steps run on one row per bin combination, whose number the bins bound.
+tokens of each domain, summed over documents, should equal its target. One multiplier per domain gives all rates, and
+Newton steps find the multipliers; a step needs only sums over domains and pairs of domains. Documents whose features
+fall in the same bins have the same posterior, hence the same rate, so the steps run on one row per bin combination,
+whose number the bins bound.
 
 Only DataFrame functions are used.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,32 +113,56 @@ def solve(cells: DataFrame, targets: dict[str, float], steps: int = STEPS, ridge
     """Add ``rate`` to rows of ``tokens`` and ``p_<domain>``.
 
     Minimises sum_k (S_k - T_k)^2 / (2 U_k) + ridge / 2 * sum tokens * (rate - 1)^2 with S_k = sum rate * tokens * p_k
-    over rate >= 0. T_k is the target share of all tokens and U_k the same, but one thousandth of all at least. The
-    gradient of a row is taken per token, so a step is rate - eta * (sum_k p_k (S_k - T_k) / U_k + ridge (rate - 1)).
+    over rate >= 0. T_k is the target share of all tokens and U_k the same, but one thousandth of all at least.
+
+    At the minimum rate = max(0, 1 - sum_k p_k y_k / ridge) with y_k = (S_k - T_k) / U_k, so only one number per domain
+    is unknown. They minimise the convex function sum_k (U_k y_k^2 / 2 + T_k y_k) + ridge / 2 * sum tokens * rate^2,
+    whose gradient is U_k y_k + T_k - S_k. Newton steps with halving go on until the gradient, in tokens, is at most
+    ``TOLERANCE`` of each U_k. One aggregation per trial. Raises if ``steps`` trials are not enough.
     """
     names = list(targets)
-    sums = [F.sum(F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in names]
-    natural = cells.agg(F.sum("tokens").alias("all"), *sums).first()
-    whole = float(natural["all"] or 0)
+    p = [F.col(f"p_{d}") for d in names]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     if not whole:
         return cells.withColumn("rate", F.lit(1.0))
-    share = sum(targets.values())
-    goal = {d: whole * targets[d] / share for d in names}
-    unit = {d: max(goal[d], whole * 1e-3) for d in names}
-    eta = 1.0 / (max((natural[d] or 0.0) / unit[d] for d in names) + ridge)
-    current = cells.withColumn("rate", F.lit(1.0))
-    for step in range(steps):
-        now = current.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
-        gap = {d: (float(now[d] or 0.0) - goal[d]) / unit[d] for d in names}
-        pull = reduce(lambda a, d: a + F.col(f"p_{d}") * F.lit(gap[d]), names, F.lit(0.0))
-        moved = F.greatest(F.lit(0.0), F.col("rate") - eta * (pull + ridge * (F.col("rate") - 1.0)))
-        if step and max(abs(gap[d] - before[d]) for d in names) < TOLERANCE / 10:
-            break
-        before = gap
-        current = current.withColumn("rate", moved)
-        if step % 6 == 5:
-            current = store(current)
-    return current
+    goal = np.array([targets[d] for d in names]) * whole / sum(targets.values())
+    unit = np.maximum(goal, whole * 1e-3)
+
+    def rate(y: np.ndarray) -> Column:
+        pull = reduce(lambda a, v: a + v[0] * F.lit(float(v[1])), zip(p, y, strict=True), F.lit(0.0))
+        return F.greatest(F.lit(0.0), 1.0 - pull / F.lit(ridge))
+
+    def measure(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, gradient and second derivatives at ``y``."""
+        r = F.col("rate")
+        used = F.when(r > 0, F.col("tokens")).otherwise(0.0)
+        row = cells.withColumn("rate", rate(y)).agg(
+            F.sum(F.col("tokens") * r * r), *[F.sum(F.col("tokens") * r * v) for v in p],
+            *[F.sum(used * p[i] * p[j]) for i, j in pairs]).first()
+        sums = np.array(row[1:1 + len(names)], float)
+        curve = np.diag(unit)
+        for (i, j), v in zip(pairs, row[1 + len(names):], strict=True):
+            curve[i, j] += v / ridge
+            curve[j, i] = curve[i, j]
+        return float((unit * y ** 2 / 2 + goal * y).sum() + ridge / 2 * row[0]), unit * y + goal - sums, curve
+
+    y = np.zeros(len(names))
+    value, slope, curve = measure(y)
+    move, size = -np.linalg.solve(curve, slope), 1.0
+    for _ in range(steps):
+        if np.all(np.abs(slope) <= TOLERANCE * unit):
+            return cells.withColumn("rate", rate(y))
+        trial = measure(y + size * move)
+        if trial[0] <= value + 1e-4 * size * float(slope @ move) or np.all(np.abs(trial[1]) <= TOLERANCE * unit):
+            y = y + size * move
+            value, slope, curve = trial
+            move, size = -np.linalg.solve(curve, slope), 1.0
+        else:
+            size /= 2
+    if np.all(np.abs(slope) <= TOLERANCE * unit):
+        return cells.withColumn("rate", rate(y))
+    raise RuntimeError(f"rates not found in {steps} steps: gradient {dict(zip(names, slope / unit, strict=True))}")
 
 
 def mix(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",

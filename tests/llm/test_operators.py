@@ -245,3 +245,19 @@ def test_pii_learns_from_every_proposal(spark):
         assert len(selector.choose([want])) == 1
         assert not selector.choose([{**want, "f": [2.0, 7.0] + want["f"][2:]}])
     assert pii.fit(frame, 3).trees is not None
+
+
+@pytest.mark.parametrize("shares", [(0.45, 0.20, 0.02, 0.33), (0.2, 0.33, 0.14, 0.33)])
+def test_mixing_rates_are_solved_with_a_hot_domain(spark, shares):
+    """A third of the tokens in a domain of target 0.005; every row meets the conditions of the minimum."""
+    names = list(mixing.TARGETS)
+    rows = [(1e6 * s, *[float(k == i) for k in range(4)]) for i, s in enumerate(shares)]
+    frame = spark.createDataFrame(rows, "tokens double, " + ", ".join(f"p_{d} double" for d in names))
+    got = mixing.solve(frame, mixing.TARGETS).collect()
+    whole = sum(r["tokens"] for r in got)
+    for k, d in enumerate(names):
+        row = next(r for r in got if r[f"p_{d}"] == 1)
+        goal = mixing.TARGETS[d] * whole
+        slope = (row["rate"] * row["tokens"] - goal) / max(goal, whole * 1e-3) + mixing.RIDGE * (row["rate"] - 1)
+        assert abs(slope) < 1e-3 if row["rate"] else slope > -1e-3
+        assert abs(row["rate"] * shares[k] - mixing.TARGETS[d]) < 0.1 * max(mixing.TARGETS[d], 0.02)
