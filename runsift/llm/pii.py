@@ -2,8 +2,10 @@
 
 Spans that pass their kind's strict rule are always kept. Looser generators add proposals of the same kinds: addresses
 with spelled-out signs, numbers with other separators, phones without a plus. The trees see only format and context,
-never the checksum or range that decides a strict span, and learn from strict spans against proposals that fail. A
-proposal that overlaps no strict span is added where its calibrated probability reaches the threshold of its kind.
+never the checksum or range that decides a span. A loose proposal is right if its form with the usual signs passes its
+kind's rule and, for the kinds whose rule many plain numbers pass (ip, phone), a word of the kind stands before it. It is
+wrong if that form fails; the others are unlabelled and teach nothing. A proposal that overlaps no strict span is added
+where its calibrated probability reaches the threshold of its kind.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ _HINTS = (rb"mail|contact|e-?mail", rb"\bip\b|host|server|addr", rb"card|visa|pa
           rb"phone|tel|call|mobile|fax")
 _HINT = [re.compile(h, re.I) for h in _HINTS]
 FEATURES = 17
+_AT = re.compile(rb" ?[\[(]at[\])] ?")
+_DOT = re.compile(rb" ?[\[(]dot[\])] ?")
+_ADDRESS = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?: ?\.(?: ?[A-Za-z0-9-]+))+")
 
 
 def _luhn(digits: bytes) -> bool:
@@ -118,6 +123,22 @@ def proposals(raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return strict, sorted(loose, key=lambda s: (s[1], s[0], s[2]))
 
 
+def _label(raw: bytes, kind: int, start: int, end: int) -> bool | None:
+    """Whether a loose proposal is right; None if its form passes but nothing near it says so."""
+    own = raw[start:end]
+    if kind == 0:
+        return bool(_ADDRESS.fullmatch(_DOT.sub(b".", _AT.sub(b"@", own)).rstrip(b".,;:!?)]}")))
+    runs = re.findall(rb"[0-9]+", own)
+    digits = b"".join(runs)
+    if kind == 1:
+        good = len(runs) == 4 and all(int(r) <= 255 for r in runs)
+    elif kind == 2:
+        return 14 <= len(digits) <= 19 and _luhn(digits)
+    else:
+        good = 10 <= len(digits) <= 15
+    return (True if _HINT[kind].search(raw[max(0, start - 32):start]) else None) if good else False
+
+
 def _code_points(raw: bytes, offsets: list[int]) -> list[int]:
     if raw.isascii():
         return offsets
@@ -126,14 +147,17 @@ def _code_points(raw: bytes, offsets: list[int]) -> list[int]:
 
 
 def _maybe(chunk: W.Chunk) -> np.ndarray:
-    """Rows with a digit or an at sign; no other row can hold a span."""
-    spot = np.flatnonzero(((chunk.data - np.uint8(48)) < 10) | (chunk.data == 64))
+    """Rows with a digit, an at sign or a spelled-out one; no other row can hold a span."""
+    d = chunk.data
+    spot = ((d - np.uint8(48)) < 10) | (d == 64)
+    spot[3:] |= ((d[:-3] == 91) | (d[:-3] == 40)) & (d[1:-2] == 97) & (d[2:-1] == 116) & ((d[3:] == 93) | (d[3:] == 41))
+    spot = np.flatnonzero(spot)
     return np.unique(np.searchsorted(chunk.offsets, spot, side="right") - 1)
 
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("strict", pa.bool_()),
-                   ("f", pa.list_(pa.float32()))])
-_SPAN_SQL = "array<struct<kind:int,start:bigint,end:bigint,strict:boolean,f:array<float>>>"
+                   ("label", pa.bool_()), ("f", pa.list_(pa.float32()))])
+_SPAN_SQL = "array<struct<kind:int,start:bigint,end:bigint,strict:boolean,label:boolean,f:array<float>>>"
 
 
 def _propose(text: int):
@@ -148,7 +172,7 @@ def _propose(text: int):
                     at = _code_points(raw, [x for s in spans for x in s[1:3]])
                     out[chunk.first + r] = [
                         {"kind": k, "start": at[2 * i], "end": at[2 * i + 1], "strict": b,
-                         "f": _features(raw, k, s, e)} for i, (k, s, e, b) in enumerate(spans)]
+                         "label": b or _label(raw, k, s, e), "f": _features(raw, k, s, e)} for i, (k, s, e, b) in enumerate(spans)]
             keep = [i for i in range(batch.num_columns) if i != text]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in keep], pa.array(out, pa.list_(_SPAN))],
@@ -212,24 +236,24 @@ def _coarse(f: Column, steps: int) -> Column:
 
 
 def fit(proposed: DataFrame, limit: int = MAX_TRAINING_ROWS) -> Selector:
-    """Learn from every proposal; strict ones are right, the others wrong.
+    """Learn from every labelled proposal.
 
     Equal feature vectors of one class are one row that counts its proposals. Beyond ``limit`` such rows the features
     are rounded more coarsely and the rows merged, which drops no proposal. About a third of every row's proposals
     calibrate.
     """
-    rows = proposed.select(F.explode("proposed").alias("s")).select("s.strict", "s.f")
-    groups = store(rows.groupBy("strict", "f").agg(F.count(F.lit(1)).alias("n")))
+    rows = proposed.select(F.explode("proposed").alias("s")).where("s.label is not null").select("s.label", "s.f")
+    groups = store(rows.groupBy("label", "f").agg(F.count(F.lit(1)).alias("n")))
     for steps in STEPS_PER_DOUBLING:
         if groups.limit(limit + 1).count() <= limit:
             break
-        groups = store(groups.groupBy("strict", _coarse(F.col("f"), steps).alias("f")).agg(F.sum("n").alias("n")))
-    turn = F.pmod(F.xxhash64("f", "strict"), F.lit(3))
+        groups = store(groups.groupBy("label", _coarse(F.col("f"), steps).alias("f")).agg(F.sum("n").alias("n")))
+    turn = F.pmod(F.xxhash64("f", "label"), F.lit(3))
     tune = F.floor((F.col("n") + turn) / 3)
-    known = groups.select("strict", "f", tune.cast("double").alias("tune"),
-                          (F.col("n") - tune).cast("double").alias("learn")).orderBy("strict", "f").toPandas()
+    known = groups.select("label", "f", tune.cast("double").alias("tune"),
+                          (F.col("n") - tune).cast("double").alias("learn")).orderBy("label", "f").toPandas()
     x = np.array(known["f"].tolist(), np.float32).reshape(-1, FEATURES)
-    return Selector(x, known["strict"].to_numpy(float), known["learn"].to_numpy(float), known["tune"].to_numpy(float))
+    return Selector(x, known["label"].to_numpy(float), known["learn"].to_numpy(float), known["tune"].to_numpy(float))
 
 
 def _joined(spans: list[dict]) -> str:
