@@ -1,17 +1,17 @@
 """Near-duplicate vectors: spherical-cap filters from structured random product codes, joined on filters, verified.
 
-A filter is a direction made of one code word per block of coordinates. A vector passes the filters whose direction it
-meets at ``alpha`` or more. They are decoded block by block: a word of the first block that cannot reach ``alpha`` with the
-best word of the second is cut before that block is looked at. The cap gets narrower and the filters more
-as the table grows, so that about ``BUCKET`` unrelated vectors pass a filter while two vectors at the threshold share
-one with the probability ``RECALL``.
+A filter is a rotation and a direction made of one code word per block of coordinates. A vector passes the filters whose
+direction its rotated form meets at ``alpha`` or more. They are decoded block by block: a word of the first block that
+cannot reach ``alpha`` with the best word of the second is cut before that block is looked at. The cap gets narrower and
+the words more as the table grows, so that about ``BUCKET`` unrelated vectors pass a filter. Under a uniformly random
+rotation every pair at the threshold has the same chance to share a filter, whatever its direction, and rotations are
+independent; so that chance is measured on drawn pairs and the number of rotations follows from ``RECALL``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,60 +24,92 @@ from runsift.llm.storage import store
 
 BUCKET = 8
 RECALL = 0.99995
-LEAST = 16  # a vector that passes fewer filters also takes its best ones up to this number
+PASSED = 2  # filters of one rotation that a vector passes on average
+CHANCE = 0.05  # caps are widened until a pair at the threshold shares a filter of one rotation this often
 HOT = 2048  # rows of a filter that one task compares with each other; more are cut into blocks
 SEED = 7
 
 
+def _tail(height: float, dims: int) -> float:
+    """Share of the unit sphere that meets a fixed direction at ``height`` or more."""
+    def area(top: float) -> float:
+        t = (np.arange(4000) + 0.5) * top / 4000
+        return float((np.sin(t) ** max(dims - 2, 0)).sum()) * top / 4000
+    return area(math.acos(height)) / area(math.pi)
+
+
 class Filters:
-    """Code words per block, and the cap height, for ``n`` vectors of ``dims`` coordinates."""
+    """Code words per block, cap height and rotations, for ``n`` vectors of ``dims`` coordinates."""
 
     def __init__(self, n: int, dims: int, cosine: float):
-        normal = NormalDist()
-        share = min(0.05, BUCKET / max(n, 1))
-        height = normal.inv_cdf(1 - share)
-        xs = np.linspace(height, height + 8, 2001)
-        tail = [1 - normal.cdf((height - cosine * x) / math.sqrt(1 - cosine ** 2)) for x in xs]
-        both = float(np.sum(np.exp(-xs ** 2 / 2) / math.sqrt(2 * math.pi) * tail) * (xs[1] - xs[0]))
+        draw = np.random.default_rng(SEED)
         self.blocks = min(2, dims)
-        self.words = max(2, math.ceil((math.log(1 / (1 - RECALL)) / both) ** (1 / self.blocks)))
-        self.alpha = height / math.sqrt(dims)
         self.cuts = np.linspace(0, dims, self.blocks + 1).astype(int)
-        draw = np.random.default_rng(SEED)
+        share, self.chance = min(0.05, BUCKET / max(n, 1)) / 2, 0.0
+        while self.chance < CHANCE and share < 0.5:
+            share = min(0.5, 2 * share)
+            self._draw_codes(draw, share, dims)
+            self.chance = self._measured(draw, dims, cosine)
+        if self.chance <= 0:
+            raise ValueError(f"vectors at cosine {cosine} hardly ever share a filter")
+        count = max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-min(self.chance, 1 - 1e-9))))
+        self.turns = []
+        for _ in range(count):
+            q, r = np.linalg.qr(draw.standard_normal((dims, dims)))
+            self.turns.append(q * np.sign(np.diag(r)))
+
+    def _draw_codes(self, draw: np.random.Generator, share: float, dims: int) -> None:
+        low, high = 0.0, 1.0
+        for _ in range(50):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _tail(mid, dims) > share else (low, mid)
+        self.alpha = low
+        self.words = max(2, math.ceil((PASSED / share) ** (1 / self.blocks)))
         self.codes = []
         for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
             c = draw.standard_normal((self.words, b - a))
             # A block's share of the direction's length follows its number of coordinates.
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) * math.sqrt((b - a) / dims))
 
-    def _best(self, scores: list[np.ndarray], r: int) -> np.ndarray:
-        """The ``LEAST`` filters that a vector meets best; they combine the best words of each block."""
-        total, ids = np.zeros(1), np.zeros(1, np.int64)
-        for s in scores:
-            top = np.argsort(-s[r], kind="stable")[:LEAST]
-            total = (total[:, None] + s[r][top][None, :]).ravel()
-            ids = (ids[:, None] * self.words + top[None, :]).ravel()
-            keep = np.argsort(-total, kind="stable")[:LEAST]
-            total, ids = total[keep], ids[keep]
-        return ids
+    def _measured(self, draw: np.random.Generator, dims: int, cosine: float) -> float:
+        """Chance, less three standard errors, that a pair at the threshold shares a filter of one rotation."""
+        x, z = draw.standard_normal((2, 4096, dims))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(z, axis=1, keepdims=True)
+        y = cosine * x + math.sqrt(max(0.0, 1 - cosine ** 2)) * z / length if dims > 1 else x
+        each = self.words ** self.blocks
+        (r, f), (q, g) = self._passed(x), self._passed(y)
+        p = len(np.unique(np.intersect1d(r * each + f, q * each + g) // each)) / len(x)
+        return p - 3 * math.sqrt(p * (1 - p) / len(x))
+
+    def _passed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and filters of one rotation, for rotated vectors."""
+        rows, filters = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(x), 64):
+            part = x[low:low + 64]
+            scores = [part[:, a:b] @ c.T for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True)]
+            rest = sum((s.max(axis=1) for s in scores[1:]), np.zeros(len(part)))
+            r, f = np.nonzero(scores[0] >= self.alpha - rest[:, None])
+            total = scores[0][r, f]
+            for s in scores[1:]:
+                total = total[:, None] + s[r]
+                k, w = np.nonzero(total >= self.alpha)
+                r, f, total = r[k], f[k] * self.words + w, total[k, w]
+            rows.append(r + low)
+            filters.append(f)
+        return np.concatenate(rows), np.concatenate(filters)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """Ids of all filters that each unit vector passes, or meets best if it passes few."""
-        scores = [x[:, a:b] @ c.T for a, b, c in zip(self.cuts[:-1], self.cuts[1:], self.codes, strict=True)]
-        out = []
-        for r in range(len(x)):
-            total, ids = scores[0][r], np.arange(self.words)
-            for k in range(1, self.blocks):
-                rest = sum(float(s[r].max()) for s in scores[k:])
-                able = total >= self.alpha - rest
-                total, ids = total[able], ids[able]
-                total = (total[:, None] + scores[k][r][None, :]).ravel()
-                ids = (ids[:, None] * self.words + np.arange(self.words)[None, :]).ravel()
-            passed = ids[total >= self.alpha]
-            if len(passed) < LEAST:
-                passed = np.union1d(passed, self._best(scores, r))
-            out.append(np.sort(passed).astype(np.int64))
-        return out
+        """Ids of all filters that each unit vector passes, in rising order."""
+        rows, ids = [], []
+        for t, turn in enumerate(self.turns):
+            r, f = self._passed(x @ turn)
+            rows.append(r)
+            ids.append(f + t * self.words ** self.blocks)
+        row, found = np.concatenate(rows), np.concatenate(ids)
+        order = np.lexsort((found, row))
+        return np.split(found[order], np.searchsorted(row[order], np.arange(1, len(x)))) if len(x) else []
 
 
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +143,7 @@ def _decoder(filters: Filters):
                 part = batch.slice(low, 512)
                 found = filters.decode(_unit(part.column(1))[0])
                 ends = np.cumsum([0, *map(len, found)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], ["id", "v", "filters"])
     return run
 

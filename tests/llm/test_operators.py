@@ -277,3 +277,15 @@ def test_pii_adds_loose_spans(spark):
         assert clean[i + 4] == texts[i + 4] and clean[i + 5] == texts[i + 5]
     spans = {r["doc_id"]: r["spans"] for r in pii.find(frame).collect()}
     assert spans[0].startswith("email:5:") and spans[1].startswith("phone:6:") and not spans[4]
+
+
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_planted_pairs_share_a_filter(n):
+    filters = near_vectors.Filters(n, 64, 0.9)
+    draw = np.random.default_rng(5)
+    x, z = draw.standard_normal((2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    shared = [len(np.intersect1d(a, b)) for a, b in zip(filters.decode(x), filters.decode(y), strict=True)]
+    assert min(shared) > 0
