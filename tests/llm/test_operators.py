@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from runsift.llm import (decontaminate, language, mixing, near_text, near_vectors, pii, quality, secrets, toxicity)
 
@@ -289,3 +290,13 @@ def test_planted_pairs_share_a_filter(n):
     y = 0.9 * x + math.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
     shared = [len(np.intersect1d(a, b)) for a, b in zip(filters.decode(x), filters.decode(y), strict=True)]
     assert min(shared) > 0
+
+
+def test_quality_edges_see_every_row(spark):
+    """21,000 copies of the vector with the lowest hash, and 24,000 different ones."""
+    n = len(quality.FEATURES)
+    varied = spark.range(24_000).selectExpr(
+        f"transform(sequence(1, {n}), i -> cast(pmod(xxhash64(id, i), 1000) as float)) as __f", "id % 2 = 0 as positive")
+    copies = varied.orderBy(F.xxhash64("__f")).limit(1).crossJoin(spark.range(21_000)).drop("id")
+    edges = quality.fit(varied.union(copies), 0.5, steps=0).edges
+    assert edges.shape == (n, quality.BINS - 1) and all(len(set(e)) > 5 for e in edges)
