@@ -113,14 +113,15 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", bits: i
     weight = max(1.0, ((n_all - n_pos) / n_pos) ** 0.5) if n_pos else 1.0  # half-way to balanced classes
     seen = rows.mapInArrow(_counter(bits), "at long, rows long").groupBy("at").agg(F.sum("rows").alias("rows"))
     allowed = np.zeros(1 << bits, bool)
-    allowed[seen.where(F.col("rows") >= MIN_ROWS).select("at").toPandas()["at"]] = True
+    allowed[seen.where(F.col("rows") >= MIN_ROWS).select("at").toArrow()["at"].to_numpy()] = True
     for turn in range(epochs):
         at = np.flatnonzero(n)
         shared = spark.sparkContext.broadcast((at, z[at], n[at], allowed, weight))
         moved = rows.mapInArrow(_epoch(shared, bits, turn), "at long, dz double, dn double").groupBy("at").agg(
-            F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toPandas()
-        z[moved["at"]] += moved["dz"]
-        n[moved["at"]] += moved["dn"]
+            F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()  # packed columns, no row objects in the driver
+        where = moved["at"].to_numpy()
+        z[where] += moved["dz"].to_numpy()
+        n[where] += moved["dn"].to_numpy()
         shared.destroy()
     w = _weights(z, n)
     at = np.flatnonzero(w)
