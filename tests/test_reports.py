@@ -70,5 +70,5 @@ def test_convergence_at_the_cap(spark):
     trace = spark.createDataFrame([("s", i, 0.5, 0.5) for i in range(20)] + [("t", 0, 0.5, 0.0), ("t", 1, 0.01, 0.0), ("t", 2, 0.0, 0.0)],
                                   "system string, i int, std double, improvement double")
     got = {r["system"]: (r["stop_iteration"], r["converged"]) for r in P.convergence_points(
-        trace, "system", [F.col("i")], "std", "improvement").collect()}
+        trace, "system", [F.col("i")], "std", "improvement", cap=12).collect()}
     assert got == {"s": (12, 0), "t": (2, 1)}
