@@ -57,6 +57,11 @@ def _positions(short: np.ndarray) -> Iterator[np.ndarray]:
         yield mix(short + _U(0x9E3779B97F4A7C15 * (j + 1) % (1 << 64))) >> _U(64 - BITS)
 
 
+def _mark(table: np.ndarray, short: np.ndarray) -> None:
+    for where in _positions(short):
+        np.bitwise_or.at(table, (where >> _U(3)).astype(np.int64), (_U(1) << (where & _U(7))).astype(np.uint8))
+
+
 def _merge(least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (BITS - 3), np.uint8)
@@ -69,8 +74,7 @@ def _merge(least: int):
                 k = k[order]
                 at = runs(k)
                 often = k[at][np.add.reduceat(c[order].astype(np.int64), at) >= least]
-                for where in _positions((_U(now) << _U(32)) | often.astype(_U)):
-                    np.bitwise_or.at(table, (where >> _U(3)).astype(np.int64), (_U(1) << (where & _U(7))).astype(np.uint8))
+                _mark(table, (_U(now) << _U(32)) | often.astype(_U))
             keys.clear()
             counts.clear()
 
@@ -120,6 +124,9 @@ class Filter:
             out &= (self.table[(where >> _U(3)).astype(np.int64)] >> (where & _U(7)).astype(np.uint8)) & 1 == 1
         return out
 
+    def put(self, hashes: np.ndarray) -> None:
+        _mark(self.table, hashes >> _U(32 - self.bits))
+
     def add(self, other: Filter) -> Filter:
         self.table |= other.table
         return self

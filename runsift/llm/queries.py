@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runsift.llm import (collocations, decontaminate, hard_negatives, language, mixing, near_text, near_vectors, pii,
-                         quality, repeats, secrets, toxicity)
+                         quality, repeats, secrets, suffix_tree, toxicity)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), F.col("key") % 100 == 0)
 
 
+def op13_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, folder, "documents"))
+
+
 COLLOCATIONS_SQL = r"""
 with pieces as (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex(
@@ -130,5 +134,5 @@ select anchor_id, positive_id, r::int as rank, negative_id, positive_score, nega
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_minhash_near_dedup, op3_toxicity, op4_decontamination, op5_quality, op6_suffix_repeats, op7_pii, op8_source_mixing, op9_secrets,
-    op10_near_vectors, op11_collocations, op12_hard_negatives)}
+    op10_near_vectors, op11_collocations, op12_hard_negatives, op13_suffix_tree_scores)}
 ORACLES: dict[str, str] = {"op11_collocations": COLLOCATIONS_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
