@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import ratio
-from runsift.functions.order import top_rows
-from runsift.operators.ranking import collapse_near, drop_near_known
+from runsift.operators.claims import first_at_point, settle_claims
+from runsift.operators.near import drop_near_known
 from runsift.session import materialize
 
 
@@ -57,13 +57,38 @@ def seed_trials(seeds: DataFrame, step: float = K.SEED_OFFSET_STEP) -> DataFrame
     return seeds.select("*", F.posexplode(trials).alias("trial", "__t")).select("*", "__t.t1", "__t.t2").drop("__t")
 
 
-def first_successes(trials: DataFrame, outcomes: DataFrame, system: str) -> DataFrame:
-    """First trial of each seed with a known value. ``outcomes``: system, t1, t2, energy."""
-    cell = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)) / K.DUPLICATE_TOLERANCE).cast("long")
+def trial_outcomes(trials: DataFrame, outcomes: DataFrame, system: str, tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
+    """Trials with the known value nearest to them, at most ``tol`` away in each variable; the least of equally near ones.
+
+    ``outcomes``: system, t1, t2, energy; a null energy is a failure. A missing variable counts as 0.
+    """
+    at = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("t1", "t2")}
     done = outcomes.where(F.col("energy").isNotNull()).groupBy(
-        system, cell("t1").alias("__c1"), cell("t2").alias("__c2")).agg(F.min("energy").alias("energy"))
-    tried = trials.withColumns({"__c1": cell("t1"), "__c2": cell("t2")}).join(done, [system, "__c1", "__c2"])
-    return top_rows(tried, [F.col("trial")], 1, "__r", [system, "seed_id"]).drop("__r", "__c1", "__c2")
+        F.col(system).alias("__system"), at["t1"].alias("__o1"), at["t2"].alias("__o2")).agg(F.min("energy").alias("__energy"))
+    width = F.lit(2.0 * tol)
+    cell = {f"__c{i}": F.floor(at[f"t{i}"] / width) for i in (1, 2)}
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    near = done.withColumn("__s", F.explode(steps)).withColumns({
+        "__n1": F.floor(F.col("__o1") / width) + F.col("__s.a"), "__n2": F.floor(F.col("__o2") / width) + F.col("__s.b")})
+    gap = F.greatest(F.abs(at["t1"] - F.col("__o1")), F.abs(at["t2"] - F.col("__o2")))
+    # Trials meet outcomes by position, so seeds that share one ask once.
+    places = trials.select(F.col(system).alias("__asks"), at["t1"].alias("t1"), at["t2"].alias("t2")).distinct().withColumns(cell)
+    values = places.join(near, (F.col("__asks") == F.col("__system")) & (F.col("__c1") == F.col("__n1"))
+                         & (F.col("__c2") == F.col("__n2")) & (gap <= tol)).groupBy("__asks", "t1", "t2").agg(
+        F.min(F.struct(gap.alias("gap"), F.col("__energy").alias("energy")))["energy"].alias("energy")).select(
+        "__asks", F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "energy")
+    return trials.join(values, (F.col(system) == F.col("__asks")) & (at["t1"] == F.col("__t1")) & (at["t2"] == F.col("__t2"))).drop(
+        "__asks", "__t1", "__t2")
+
+
+def first_successes(trials: DataFrame, outcomes: DataFrame, system: str, tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
+    """The label of each seed: its first trial with a known value that no earlier seed has taken already.
+
+    Seeds go by ``seed_id`` within a system. A seed whose trials all failed or are taken has no row.
+    """
+    tried = trial_outcomes(trials, outcomes, system, tol).withColumns(
+        {"__t1": F.coalesce("t1", F.lit(0.0)), "__t2": F.coalesce("t2", F.lit(0.0))})
+    return settle_claims(tried, [system], "seed_id", "trial", ["__t1", "__t2"], tol).drop("__t1", "__t2")
 
 
 def label_gate(labels: DataFrame, system: str, dim: str) -> DataFrame:
@@ -75,14 +100,18 @@ def label_gate(labels: DataFrame, system: str, dim: str) -> DataFrame:
         "enough", (F.col("n_labels") >= needed).cast("int"))
 
 
-def merge_batch(labels: DataFrame, batch: DataFrame, dims: Sequence[str], keys: Sequence[str],
-                value: str = "energy") -> DataFrame:
-    """Append batch results that have a value and are new."""
+def merge_batch(labels: DataFrame, batch: DataFrame, dims: Sequence[str], keys: Sequence[str], order: Sequence[str],
+                value: str = "energy", tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
+    """Append batch results that have a value and are new, in the order of the batch.
+
+    New means farther than ``tol``, in some dimension, from all labels and from every result appended before. ``order``
+    names the batch columns that give its order; of two results at one place the first stays.
+    """
     got = batch.where(F.col(value).isNotNull())
-    fresh = drop_near_known(got, labels, dims, keys)
-    rest = [c for c in labels.columns if c not in keys]
-    best = [F.col(c) for c in (value, *dims)]
-    return labels.unionByName(collapse_near(fresh, dims, keys, best, rest).select(*labels.columns))
+    fresh = drop_near_known(got, labels, dims, keys, tol)
+    turn = F.struct(*order, *dims)
+    single = first_at_point(fresh, keys, dims, [turn]).withColumns({"__turn": turn, "__trial": F.lit(0)})
+    return labels.unionByName(settle_claims(single, keys, "__turn", "__trial", dims, tol).select(*labels.columns))
 
 
 def overlap_screen(members: DataFrame, structure: str, limit: float = K.MIN_PAIR_DISTANCE) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from runsift import constants as K
 from runsift.functions.numeric import clean_risk, clip01, general_text
 from runsift.functions.order import match_keys, rank_within, top_rows
+from runsift.operators.claims import first_at_point, settle_claims
+from runsift.operators.near import drop_near_known
 
 
 def _col(x: Column | float) -> Column:
@@ -202,53 +203,21 @@ def apply_risk_scorer(df: DataFrame, scorer: Callable[[DataFrame], DataFrame] |
     return scored.withColumn("failure_risk", clean_risk(F.col("failure_risk")))
 
 
-def drop_near_known(points: DataFrame, known: DataFrame, dims: Sequence[str], keys: Sequence[str] = (),
-                    tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
-    """Points with no known point within ``tol`` in every dimension (left anti join on cells)."""
-    return _near_join(points, known, dims, keys, tol, "left_anti")
-
-
-def keep_near_known(points: DataFrame, known: DataFrame, dims: Sequence[str], keys: Sequence[str] = (),
-                    tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
-    return _near_join(points, known, dims, keys, tol, "left_semi")
-
-
-def _near_join(points, known, dims, keys, tol, how):
-    # Cells are two tolerances wide, so a match is in the same or a neighbouring cell.
-    width = F.lit(2.0 * tol)
-    cell = {f"__c{i}": F.floor(F.col(d).cast("double") / width) for i, d in enumerate(dims)}
-    left = points.withColumns(cell)
-    renamed = known.select(*keys, *[F.col(d).cast("double").alias(f"__k{i}") for i, d in enumerate(dims)]).distinct()
-    steps = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(dims))])
-    right = renamed.withColumn("__s", F.explode(steps)).select(
-        *[F.col(k).alias(f"__key_{k}") for k in keys],
-        *[f"__k{i}" for i in range(len(dims))],
-        *[(F.floor(F.col(f"__k{i}") / width) + F.col("__s")[i]).alias(f"__n{i}") for i in range(len(dims))])
-    match = [F.col(k) == F.col(f"__key_{k}") for k in keys]
-    match += [F.col(f"__c{i}") == F.col(f"__n{i}") for i in range(len(dims))]
-    match += [F.abs(F.col(d) - F.col(f"__k{i}")) <= tol for i, d in enumerate(dims)]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    return left.join(right, condition, how).drop(*cell)
-
-
-def collapse_near(points: DataFrame, dims: Sequence[str], keys: Sequence[str], best: Sequence[Column],
-                  columns: Sequence[str], tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
-    """Keep the best point of each tolerance cell, for batches whose points may coincide."""
-    cells = [F.round(F.col(d) / F.lit(tol)).alias(f"__c{i}") for i, d in enumerate(dims)]
-    grouped = points.groupBy(*keys, *cells).agg(
-        F.min_by(F.struct(*columns), F.struct(*best)).alias("__b"))
-    return grouped.select(*keys, "__b.*")
-
-
 def high_uncertainty(points: DataFrame, known: DataFrame, system: str, dims: Sequence[str], point_id: str,
                      threshold: float = K.QUERY_THRESHOLD, n: int = K.QUERY_LABELS,
                      tol: float = K.DUPLICATE_TOLERANCE) -> DataFrame:
-    """At most n new points per system with uncertainty above the threshold, most uncertain first."""
+    """At most n new points per system with uncertainty above the threshold, most uncertain first.
+
+    New means farther than the tolerance from known points and from those chosen before. Equal uncertainty goes by
+    ``point_id``.
+    """
+    order = [F.col("uncertainty").desc(), F.col(point_id)]
     wanted = points.where(F.col("uncertainty") > threshold)
     fresh = drop_near_known(wanted, known, dims, [system], tol)
-    return top_rows(fresh, [F.col("uncertainty").desc(), F.col(point_id)], n, "query_rank", [system])
+    turn = F.struct(-F.col("uncertainty"), F.col(point_id), *dims)
+    single = first_at_point(fresh, [system], dims, [turn]).withColumns({"__turn": turn, "__trial": F.lit(0)})
+    chosen = settle_claims(single, [system], "__turn", "__trial", dims, tol)
+    return top_rows(chosen.drop("__turn", "__trial"), order, n, "query_rank", [system])
 
 
 def candidate_grid(systems: DataFrame, n: int = K.GRID_CANDIDATES) -> DataFrame:

@@ -50,11 +50,12 @@ def _trials(spark, d):
 
 
 def _outcomes(spark, d):
-    events = table(spark, d, "events").where("value < 2.0")
+    """Every event is one try; errors gave no value."""
     two = F.col("user_id") % 2 == 1
-    return events.select(
-        F.col("event_type").alias("system"), (props_k() / 100.0).alias("t1"), F.when(two, F.lit(0.5)).alias("t2"),
-        F.col("value").alias("energy"))
+    return table(spark, d, "events").select(
+        F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("user_id") % 5 + 1).cast("int")).alias("system"),
+        (props_k() / 100.0).alias("t1"), F.when(two, F.lit(0.5)).alias("t2"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("energy"))
 
 
 def asm_seed_trials(spark, d):
@@ -67,7 +68,7 @@ def asm_first_success(spark, d):
 
 
 def asm_label_gate(spark, d):
-    labels = A.first_successes(_trials(spark, d), _outcomes(spark, d), "system").where("energy < 0.06")
+    labels = A.first_successes(_trials(spark, d), _outcomes(spark, d), "system")
     return A.label_gate(labels, "system", "dim")
 
 
@@ -88,8 +89,8 @@ def asm_merge(spark, d):
         (F.col("p_size") / 50.0).alias("p1"), F.col("p_retailprice").alias("energy"))
     batch = table(spark, d, "events").select(
         F.col("event_type").alias("system"), (F.col("value") / 100.0).alias("p1"),
-        F.when(props_k() % 4 != 0, F.col("value")).alias("energy"))
-    return A.merge_batch(labels, batch, ["p1"], ["system"])
+        F.when(props_k() % 4 != 0, F.col("value")).alias("energy"), "event_id")
+    return A.merge_batch(labels, batch, ["p1"], ["system"], ["event_id"])
 
 
 def _plan(spark, d):
@@ -140,10 +141,25 @@ tr as (select system, seed_id, dim, t as trial,
     round(case t when 1 then least(greatest(p1 - 0.03e0, 0.02e0), 0.98e0) when 2 then least(greatest(p1 + 0.03e0, 0.02e0), 0.98e0) else p1 end, 6) as t1,
     round(case t when 3 then least(greatest(p2 - 0.03e0, 0e0), 0.52e0) when 4 then least(greatest(p2 + 0.03e0, 0e0), 0.52e0) else p2 end, 6) as t2
   from seeds, (values (0), (1), (2), (3), (4)) as v(t) where dim = 2 or t <= 2),
-outc as (select event_type as system, cast(json_extract_string(props, '$.k') as integer) / 100e0 as t1, case when user_id % 2 = 1 then 0.5e0 end as t2,
-  min(value) as energy from events where value < 2 group by 1, 2, 3),
-succ as (select * from (select tr.*, o.energy, row_number() over (partition by tr.system, seed_id order by trial) as r
-  from tr join outc o on o.system = tr.system and abs(o.t1 - tr.t1) < 1e-7 and coalesce(o.t2, 0) = coalesce(tr.t2, 0)) where r = 1)"""
+outc as (select list_extract(['view', 'click', 'error', 'signup', 'purchase'], cast(user_id % 5 + 1 as integer)) as system,
+  cast(json_extract_string(props, '$.k') as integer) / 100e0 as t1, case when user_id % 2 = 1 then 0.5e0 else 0e0 end as t2,
+  min(value) as energy from events where event_type <> 'error' group by 1, 2, 3),
+tried as (
+  select system, seed_id, row_number() over (partition by system order by seed_id) as i, list(o order by o.trial) as options
+  from (select tr.system, seed_id, {{'trial': trial, 'x': tr.t1, 'y': coalesce(tr.t2, 0), 't1': tr.t1, 't2': tr.t2, 'dim': dim, 'energy': o.energy}} as o
+    from tr join outc o on o.system = tr.system and abs(o.t1 - tr.t1) <= 1e-6 and abs(o.t2 - coalesce(tr.t2, 0)) <= 1e-6)
+  group by system, seed_id),
+walk as (
+  select distinct system, cast(0 as bigint) as i, cast(null as bigint) as seed_id,
+    list_filter([options[1]], lambda o: false) as taken, list_filter([options[1]], lambda o: false)[1] as pick
+  from tried where i = 1
+  union all
+  select t.system, t.i, t.seed_id, case when c.pick is null then taken else list_append(taken, c.pick) end, c.pick
+  from walk join tried t on t.system = walk.system and t.i = walk.i + 1,
+    lateral (select list_filter(options, lambda o: len(list_filter(
+      taken, lambda x: abs(x.x - o.x) <= 1e-6 and abs(x.y - o.y) <= 1e-6)) = 0)[1] as pick) c),
+succ as (select system, seed_id, pick.trial as trial, pick.t1 as t1, pick.t2 as t2, pick.dim as dim, pick.energy as energy
+  from walk where pick is not null)"""
 
 ORACLES = {
     "asm_reuse": f"""with {_REQ} select l_orderkey, l_linenumber, reuse_key, energy, case when energy is null then 1 else 0 end as is_missing
@@ -153,9 +169,9 @@ where not exists (select 1 from known where rk = reuse_key)""",
     "asm_referenced": """with s as (select l_orderkey, sum(l_extendedprice) as ref, count(*) as n from lineitem group by 1)
 select o_orderkey, round(case when o_orderpriority like '1%' then (o_totalprice - coalesce(ref, 0)) / n
   else o_totalprice - coalesce(ref, 0) end, 7) as value from orders left join s on l_orderkey = o_orderkey""",
-    "asm_seed_trials": f"with {_TRIALS} select seed_id, trial, t1, t2 from tr",
-    "asm_first_success": f"with {_TRIALS} select system, seed_id, trial, t1, energy from succ",
-    "asm_label_gate": f"""with {_TRIALS}, l as (select distinct system, dim, t1, coalesce(t2, 0) as t2 from succ where energy < 0.06e0)
+    "asm_seed_trials": f"with recursive {_TRIALS} select seed_id, trial, t1, t2 from tr",
+    "asm_first_success": f"with recursive {_TRIALS} select system, seed_id, trial, t1, energy from succ",
+    "asm_label_gate": f"""with recursive {_TRIALS}, l as (select distinct system, dim, t1, coalesce(t2, 0) as t2 from succ)
 select system, cast(dim as integer) as dim, count(*) as n_labels, case when count(*) >= case when dim = 1 then 3 else 5 end then 1 else 0 end as enough
 from l group by system, dim""",
     "asm_pair_distance": """
@@ -165,11 +181,18 @@ p as (select a.structure, min(sqrt(
   from m a join m b on a.structure = b.structure and a.i < b.i group by 1),
 c as (select structure, count(*) as n_members from m group by 1)
 select c.structure, n_members, case when d < 0.25e0 then 0 else 1 end as valid from c left join p on p.structure = c.structure""",
-    "asm_merge": f"""with lab as (select {_KIND} as system, p_size / 50e0 as p1, p_retailprice as energy from part),
-b as (select event_type as system, value / 100e0 as p1, min(value) as energy from events
-  where cast(json_extract_string(props, '$.k') as integer) % 4 <> 0 group by 1, 2)
+    "asm_merge": f"""with recursive lab as (select {_KIND} as system, p_size / 50e0 as p1, p_retailprice as energy from part),
+b as (select event_type as system, value / 100e0 as p1, value as energy, row_number() over (partition by event_type order by event_id) as i
+  from events where cast(json_extract_string(props, '$.k') as integer) % 4 <> 0
+  and not exists (select 1 from lab where lab.system = event_type and abs(lab.p1 - value / 100e0) <= 1e-6)),
+walk as (
+  select distinct system, cast(0 as bigint) as i, cast([] as double[]) as taken, false as kept from b
+  union all
+  select b.system, b.i, case when c.free then list_append(taken, p1) else taken end, c.free
+  from walk join b on b.system = walk.system and b.i = walk.i + 1,
+    lateral (select len(list_filter(taken, lambda x: abs(x - p1) <= 1e-6)) = 0 as free) c)
 select * from lab union all
-select * from b where not exists (select 1 from lab where lab.system = b.system and abs(lab.p1 - b.p1) <= 1e-6)""",
+select b.system, p1, energy from walk join b on b.system = walk.system and b.i = walk.i where kept""",
     "review_batch": """
 with s as (select p_brand, regexp_extract(p_brand, '(\\d+)', 1) as b, cast(min(p_size) as double) as lo, cast(max(p_size) as double) as hi from part group by 1),
 p as (select p.*, s.*, (p_partkey % 97) / 100e0 + 0.003e0 as f, row_number() over (partition by p.p_brand order by p_partkey) as n,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.operators import ranking as R
+from runsift.operators.near import drop_near_known
 from runsift.plans.inputs import CANDIDATES_SQL, candidates, table
 
 TOP = 25
@@ -106,7 +107,7 @@ def query_high_uncertainty(spark, d):
 
 
 def tolerance_antijoin(spark, d):
-    return R.drop_near_known(_points(spark, d), _known_points(spark, d), ["p1"], ["system"]).select(
+    return drop_near_known(_points(spark, d), _known_points(spark, d), ["p1"], ["system"]).select(
         "system", "point", "p1")
 
 
@@ -257,10 +258,17 @@ r as (select *, {_ranks("material_id")} from s)
 select material_id, candidate_id, cast(hr as integer) as has_risk, acquisition_score,
   case when failure_risk is null then 'ranked by original LCB; failure_risk missing'
     else 'ranked by failure-aware LCB soft penalty' end as selection_reason, rank, rank_without_failure_risk from r""",
-    "query_high_uncertainty": f"""with {_POINTS},
-r as (select *, row_number() over (partition by system order by uncertainty desc, point) as query_rank
-  from fresh where uncertainty > 0.5e0)
-select system, point, uncertainty, query_rank from r where query_rank <= 40""",
+    "query_high_uncertainty": f"""with recursive {_POINTS},
+turn as (select *, row_number() over (partition by system order by uncertainty desc, point) as i from fresh where uncertainty > 0.5e0),
+walk as (
+  select distinct system, cast(0 as bigint) as i, cast([] as double[]) as taken, false as kept from turn
+  union all
+  select t.system, t.i, case when c.free then list_append(taken, p1) else taken end, c.free
+  from walk join turn t on t.system = walk.system and t.i = walk.i + 1,
+    lateral (select len(list_filter(taken, lambda x: abs(x - p1) <= 1e-6)) = 0 as free) c
+  where len(taken) < 40)
+select t.system, point, uncertainty, row_number() over (partition by t.system order by t.i) as query_rank
+from walk join turn t on t.system = walk.system and t.i = walk.i where kept""",
     "tolerance_antijoin": f"with {_POINTS} select system, point, p1 from fresh",
     "grid_generate": f"with {_GRID} select system, dim, point_id, round(p1, 9) as p1, round(p2, 9) as p2 from grid",
     "grid_kernel_score": f"""with {_KERNEL} select g.system, g.point_id, k.predicted_value,

@@ -48,11 +48,14 @@ def test_overlap_screen_hot_structure(spark):
 
 
 def test_merge_batch_skips_near_and_null(spark):
+    """In batch order: the first of two close results stays, whatever its value."""
     labels = spark.createDataFrame([("s", 1.0, -1.0)], "system string, p1 double, energy double")
-    batch = spark.createDataFrame([("s", 1.0 + 5e-7, -9.0), ("s", 2.0, None), ("s", 3.0, -3.0), ("s", 3.0, -4.0), ("t", 1.0, -2.0)],
-                                  "system string, p1 double, energy double")
-    got = sorted(map(tuple, A.merge_batch(labels, batch, ["p1"], ["system"]).collect()))
-    assert got == [("s", 1.0, -1.0), ("s", 3.0, -4.0), ("t", 1.0, -2.0)]
+    batch = spark.createDataFrame(
+        [("s", 1.0 + 5e-7, -9.0, 0), ("s", 2.0, None, 1), ("s", 3.0, -3.0, 2), ("s", 3.0, -4.0, 3), ("t", 1.0, -2.0, 4),
+         ("s", 0.5000004, -5.0, 5), ("s", 0.5000006, -6.0, 6), ("s", 0.5000016, -7.0, 7)],
+        "system string, p1 double, energy double, position int")
+    got = sorted(map(tuple, A.merge_batch(labels, batch, ["p1"], ["system"], ["position"]).collect()))
+    assert got == [("s", 0.5000004, -5.0), ("s", 0.5000016, -7.0), ("s", 1.0, -1.0), ("s", 3.0, -3.0), ("t", 1.0, -2.0)]
 
 
 def test_referenced_value_per_member(spark):

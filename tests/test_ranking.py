@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from runsift.functions.numeric import general_text
+from runsift.operators import near
 from runsift.operators import ranking as R
 from runsift.schemas import RANKED_CANDIDATE
 from runsift.sources.sinks import fixed_columns
@@ -95,9 +96,9 @@ def test_tolerance_edges(spark):
     points = spark.createDataFrame([
         ("same", "s", 1.0, 2.0), ("near", "s", 1.0 + 9e-7, 2.0 - 9e-7), ("far", "s", 1.0 + 3e-6, 2.0), ("one", "s", 1.0, 2.1),
         ("other", "t", 1.0, 2.0)], "id string, system string, p1 double, p2 double")
-    left = R.drop_near_known(points, known, ["p1", "p2"], ["system"])
+    left = near.drop_near_known(points, known, ["p1", "p2"], ["system"])
     assert {r["id"] for r in left.collect()} == {"far", "one", "other"}
-    assert {r["id"] for r in R.keep_near_known(points, known, ["p1", "p2"], ["system"]).collect()} == {"same", "near"}
+    assert {r["id"] for r in near.keep_near_known(points, known, ["p1", "p2"], ["system"]).collect()} == {"same", "near"}
     assert "Cartesian" not in left._jdf.queryExecution().executedPlan().toString()
 
 
