@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from runsift.llm import frequent
 from runsift.llm import words as W
-from runsift.llm.storage import store
+from runsift.llm.storage import small_batches, store
 
 _U = np.uint64
-FLUSH = 3_000_000  # words gathered before equal grams are merged
+FLUSH = 2_000_000  # words gathered before equal grams are merged
 _SECOND = 0xC2B2AE3D27D4EB4F
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _WORD = bytes(b not in _BREAKS and b not in b" \t" for b in range(256))
@@ -37,22 +37,25 @@ _BREAK = bytes(b in _BREAKS for b in range(256))
 
 
 class _Run:
-    """Words of some texts, one after the other: hashes, group, place in ``text``, and whether the next word follows."""
+    """Words of some texts, one after the other: two hashes, group, place in ``text``, and whether the next word follows."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(7)]
         self.words = self.bytes = 0
         self.names: dict[str, int] = {}
+        self.salts = np.zeros((0, 2), _U)
 
     def add(self, batch: pa.RecordBatch) -> Iterator[None]:
         """Take in a batch; stops between chunks whenever enough words wait to be flushed."""
         groups = batch.column(1).dictionary_encode()
-        codes = np.array([self.names.setdefault(g, len(self.names)) for g in groups.dictionary.to_pylist()], np.int64)
+        codes = np.array([self.names.setdefault(g, len(self.names)) for g in groups.dictionary.to_pylist()], np.int32)
+        new = list(self.names)[len(self.salts):]
+        self.salts = np.concatenate([self.salts, np.array(
+            [np.frombuffer(blake2b(g.encode(), digest_size=16).digest(), _U) for g in new], _U).reshape(-1, 2)])
         group = codes[groups.indices.to_numpy()] if batch.num_rows else codes
         for chunk in W.chunks(batch.column(0)):
             found = W.words(chunk, _WORD)
-            n = len(found.hashes)
-            if n:
+            if len(found.hashes):
                 lowered = W.look_up(chunk.data, W.LOWER)
                 second = W.mix(W.span_hash(W.prefix_hash(lowered, _SECOND), found.starts, found.ends, _SECOND))
                 row = W.row_of(found)
@@ -62,18 +65,25 @@ class _Run:
                 at = np.cumsum(size + 1) - (size + 1)
                 text = lowered[np.minimum(np.repeat(found.starts - at, size + 1) + np.arange(int((size + 1).sum())), len(lowered) - 1)]
                 text[at + size] = 0x20
-                self.parts.append((found.hashes, second, group[row + chunk.first], at + self.bytes, at + size + self.bytes, follows, text))
-                self.words += n
+                own = group[row + chunk.first]
+                # The group is part of every word's hashes.
+                for column, values in zip(self.columns, (
+                        found.hashes + self.salts[own, 0], second ^ self.salts[own, 1], own, at + self.bytes, at + size + self.bytes,
+                        follows, text), strict=True):
+                    column.append(values)
+                self.words += len(size)
                 self.bytes += len(text)
             if self.words >= FLUSH:
                 yield
 
-    def take(self) -> tuple[np.ndarray, ...]:
-        """Everything gathered so far, each word's hashes mixed with its group's."""
-        first, second, group, starts, ends, follows, text = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        salts = np.array([np.frombuffer(blake2b(g.encode(), digest_size=16).digest(), _U) for g in self.names], _U)
-        self.parts, self.words, self.bytes = [], 0, 0
-        return first + salts[group, 0], second ^ salts[group, 1], group, starts, ends, follows, text
+    def take(self) -> list[np.ndarray]:
+        """Everything gathered so far."""
+        out = []
+        for column in self.columns:
+            out.append(np.concatenate(column))
+            column.clear()
+        self.words = self.bytes = 0
+        return out
 
 
 def _longer(hashes: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
@@ -183,6 +193,7 @@ def graph(docs: DataFrame, text: str = "text", group: str = "lang", max_words: i
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.col(group).cast("string"), F.lit("und")).alias("group"))
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     bits = frequent.bucket_bits(rows, F.col("text"))
     likely = frequent.Filter(bits)
     for known in range(1, max_words - 1):

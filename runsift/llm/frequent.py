@@ -1,9 +1,9 @@
 """Which keys occur often: counted by hash over all rows, kept as a filter of fixed size that never misses one.
 
-Tasks send their hashes as sorted blocks, one row per bucket with 32 bits and a small count per key. Buckets grow in
+Tasks send their hashes as sorted blocks, one row per bucket with 24 bits and a small count per key. Buckets grow in
 number with the input, so merging one stays small. The keys that reach the least count set bits in a table of
-``2 ** BITS`` bits (32 MB), whatever the input. The filter may let rare keys pass, more of them once some hundred
-million keys are frequent; callers count exactly behind it, so results never depend on that.
+``2 ** BITS`` bits (16 MB), whatever the input. The filter may let rare keys pass, more of them once some ten million
+keys and more are frequent; callers count exactly behind it, so results never depend on that.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from runsift.llm.words import mix
 
-BITS = 28
+BITS = 27
 PROBES = 3
 PAGE = 1 << 16  # bytes of the bit table that travel as one row
 BUCKET_BYTES = 8 << 20  # text per bucket, about
@@ -36,18 +36,29 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
 
 
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The last ``width`` bytes of whole numbers, all first bytes first: sorted or small numbers then compress well."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width:].T).tobytes()
+
+
+def from_planes(data, width: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, 8 - width:] = rows.T
+    return out.view(">u8").ravel().astype(_U)
+
+
 def pack(hashes: np.ndarray, bits: int, least: int) -> pa.RecordBatch:
     """Sorted blocks of the distinct hashes; counts stop at ``least``, which is all that the merge asks."""
-    short = np.sort(hashes >> _U(32 - bits))
+    short = np.sort(hashes >> _U(40 - bits))
     at = runs(short)
     counts = np.minimum(np.diff(np.append(at, len(short))), least).astype(np.uint8 if least < 256 else np.int32)
     short = short[at]
-    buckets = (short >> _U(32)).astype(np.int32)
+    buckets = (short >> _U(24)).astype(np.int32)
     cut = runs(buckets)
     ends = np.append(cut, len(short))[1:]
-    low = short.astype(np.uint32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(buckets[cut]), pa.array([low[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()),
+        [pa.array(buckets[cut]), pa.array([planes(short[a:b], 3) for a, b in zip(cut, ends, strict=True)], pa.binary()),
          pa.array([counts[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())],
         ["bucket", "keys", "counts"])
 
@@ -74,7 +85,7 @@ def _merge(least: int):
                 k = k[order]
                 at = runs(k)
                 often = k[at][np.add.reduceat(c[order].astype(np.int64), at) >= least]
-                _mark(table, (_U(now) << _U(32)) | often.astype(_U))
+                _mark(table, (_U(now) << _U(24)) | often)
             keys.clear()
             counts.clear()
 
@@ -83,7 +94,7 @@ def _merge(least: int):
                 if bucket.as_py() != now:
                     settle()
                     now = bucket.as_py()
-                keys.append(np.frombuffer(k.as_buffer(), np.uint32))
+                keys.append(from_planes(k.as_buffer(), 3))
                 counts.append(np.frombuffer(c.as_buffer(), np.uint8 if least < 256 else np.int32))
         settle()
         pages = table.reshape(-1, PAGE)
@@ -118,21 +129,21 @@ class Filter:
         self.bits, self.table = bits, np.zeros(1 << (BITS - 3), np.uint8)
 
     def likely(self, hashes: np.ndarray) -> np.ndarray:
-        short = hashes >> _U(32 - self.bits)
+        short = hashes >> _U(40 - self.bits)
         out = np.ones(len(hashes), bool)
         for where in _positions(short):
             out &= (self.table[(where >> _U(3)).astype(np.int64)] >> (where & _U(7)).astype(np.uint8)) & 1 == 1
         return out
 
     def put(self, hashes: np.ndarray) -> None:
-        _mark(self.table, hashes >> _U(32 - self.bits))
+        _mark(self.table, hashes >> _U(40 - self.bits))
 
     def add(self, other: Filter) -> Filter:
         self.table |= other.table
         return self
 
     def learn(self, blocks: DataFrame, least: int) -> Filter:
-        """Add the keys of ``blocks`` (rows of ``pack``) that occur ``least`` times or more. At most 32 MB reach the driver."""
+        """Add the keys of ``blocks`` (rows of ``pack``) that occur ``least`` times or more. At most 16 MB reach the driver."""
         merged = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(least), "page int, bytes binary")
         pages = merged.repartition("page").sortWithinPartitions("page").mapInArrow(_union, "page int, bytes binary").toArrow()
         for page, more in zip(pages["page"], pages["bytes"], strict=True):

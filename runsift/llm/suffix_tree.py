@@ -11,8 +11,8 @@ word distribution. A context stays when its gain in log likelihood over the shor
 word, and so do its suffixes. A word is scored in the longest state that its history ends with.
 
 Texts are turned once into slices of some million words with a dictionary each. Counting and asking then go by distinct
-keys of a slice, not by word, and keys that a filter of fixed size rules out are never sent. A model key is a hash of 64
-bits, a word's identity one of 128 bits.
+keys of a slice, not by word, and keys that a filter of fixed size rules out are never sent. Words and longer keys go by
+hashes of 64 bits: among a hundred million distinct words, two share one with a chance of 3 in 10,000.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runsift.llm import frequent
 from runsift.llm import words as W
-from runsift.llm.storage import store
+from runsift.llm.storage import small_batches, store
 
 _U = np.uint64
-SLICE_WORDS = 3_000_000
-_SECOND = 0xC2B2AE3D27D4EB4F
+SLICE_WORDS = 2_000_000
 START, END = _U(0x53F1D5A7C0B3E921), _U(0xA1E4C39B5D7F2867)
 _CONTEXT = _U(0x94D049BB133111EB)
 
@@ -46,33 +46,36 @@ def _expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _slicer(key_type: pa.DataType):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
-        keys, held, sizes, first, second, have = [], [], [], [], [], 0
+        keys, held, sizes, hashes, have = [], [], [], [], 0
 
         def settle() -> pa.RecordBatch:
-            one, two, n = np.concatenate(first), np.concatenate(second), np.concatenate(sizes)
-            out = np.concatenate(held)
+            one, n, out = (_joined(parts) for parts in (hashes, sizes, held))
             order = np.argsort(one, kind="stable")
-            a, b = one[order], two[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[:len(a)]
-            at = np.flatnonzero(new)
-            total = np.diff(np.append(at, len(a)))
+            one = one[order]
+            at = frequent.runs(one)
+            total = np.diff(np.append(at, len(one)))
             common = np.argsort(-total, kind="stable")  # frequent words get small numbers
             names = np.empty(len(at), np.int64)
             names[common] = np.arange(len(at))
-            tokens = np.empty(len(a), np.int64)
-            tokens[order] = names[np.cumsum(new) - 1]
-            seen = np.bincount(tokens[np.repeat(~out, n)], minlength=len(at)).astype(np.int32)
-            at = at[common]
-            cells = [_squeeze(tokens), n.astype(np.int32).tobytes(), out.tobytes(), a[at].tobytes(), b[at].tobytes(), seen.tobytes()]
+            tokens = np.empty(len(one), np.int64)
+            tokens[order] = np.repeat(names, total)
+            seen = np.bincount(tokens[np.repeat(~out, n)], minlength=len(at))
+            cells = [_squeeze(tokens), n.astype(np.int32).tobytes(), out.tobytes(), one[at[common]].tobytes(), _squeeze(seen)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(key_type)),
                  *[pa.array([c], pa.binary()) for c in cells]],
-                ["slice", "keys", "tokens", "sizes", "held", "one", "two", "seen"])
+                ["slice", "keys", "tokens", "sizes", "held", "one", "seen"])
 
         for batch in batches:
             for chunk in W.chunks(batch.column(1)):
@@ -80,14 +83,12 @@ def _slicer(key_type: pa.DataType):
                 keys.append(batch.column(0).slice(chunk.first, chunk.rows))
                 held.append(batch.column(2).slice(chunk.first, chunk.rows).to_numpy(zero_copy_only=False).astype(bool))
                 sizes.append(np.diff(found.rows))
-                first.append(found.hashes)
-                second.append(W.mix(W.span_hash(W.prefix_hash(W.look_up(chunk.data, W.LOWER), _SECOND), found.starts, found.ends, _SECOND)))
+                hashes.append(found.hashes)
                 have += len(found.hashes) + chunk.rows
                 if have >= SLICE_WORDS:
                     yield settle()
+                    keys.clear()
                     number, have = number + 1, 0
-                    for parts in (keys, held, sizes, first, second):
-                        parts.clear()
         if have:
             yield settle()
     return run
@@ -177,14 +178,60 @@ def _packed_keys(bits: int):
     return run
 
 
-def _dictionary(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_blocks(bits: int):
+    """The dictionary of a slice as sorted blocks, one per bucket, with the counts in training texts."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one, seen = np.frombuffer(batch.column("one")[row].as_py(), _U), _expand(batch.column("seen")[row].as_py())
+                order = np.argsort(one, kind="stable")
+                one, seen = one[order], seen[order]
+                buckets = (one >> _U(32) >> _U(32 - bits)).astype(np.int32)
+                cut = frequent.runs(buckets)
+                spans = list(zip(cut, np.append(cut, len(one))[1:], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets[cut]), pa.array(np.full(len(cut), batch.column("slice")[row].as_py(), np.int64)),
+                     pa.array([frequent.planes(one[a:b], 8) for a, b in spans], pa.binary()),
+                     pa.array([frequent.planes(seen[a:b], 8) for a, b in spans], pa.binary())], ["bucket", "slice", "words", "counts"])
+    return run
+
+
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts over all slices, bucket by bucket: a row with the words, and one per slice in the order of its own block."""
+    now, slices, words, counts = None, [], [], []
+
+    def settle() -> pa.RecordBatch:
+        distinct, at = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, at, np.concatenate(counts).astype(np.int64))
+        own = np.split(total[at], np.cumsum([len(w) for w in words])[:-1])
+        n = len(slices)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([now] * (n + 1), pa.int32()), pa.array([None, *slices], pa.int64()),
+             pa.array([frequent.planes(distinct, 8), *[None] * n], pa.binary()),
+             pa.array([frequent.planes(c, 8) for c in (total, *own)], pa.binary())], ["bucket", "slice", "words", "counts"])
+        for parts in (slices, words, counts):
+            parts.clear()
+        return out
+
     for batch in batches:
-        for row in range(batch.num_rows):
-            one, two = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in ("one", "two"))
-            seen = np.frombuffer(batch.column("seen")[row].as_py(), np.int32)
+        for bucket, number, block, seen in zip(*[batch.column(i) for i in range(4)], strict=True):
+            if bucket.as_py() != now and slices:
+                yield settle()
+            now = bucket.as_py()
+            slices.append(number.as_py())
+            words.append(frequent.from_planes(block.as_buffer(), 8))
+            counts.append(frequent.from_planes(seen.as_buffer(), 8))
+    if slices:
+        yield settle()
+
+
+def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, counts in zip(batch.column(0), batch.column(1), strict=True):
+            c = frequent.from_planes(counts.as_buffer(), 8).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(one), batch.column("slice")[row].as_py())), pa.array(np.arange(len(one))), pa.array(one),
-                 pa.array(two), pa.array(seen.astype(np.int64))], ["slice", "at", "one", "two", "c"])
+                [_long(frequent.from_planes(words.as_buffer(), 8)[c > 0]), pa.array(c[c > 0])], ["one", "c"])
 
 
 def _states(part: _Slice, likely: frequent.Filter, depth: int):
@@ -217,16 +264,21 @@ def _questions(shared, depth: int):
 def _scorer(shared, depth: int, key_type: pa.DataType, n_train: int, n_words: int, n_docs: int):
     """Word and text sums of a slice, from the counts of its words and the states it asked for."""
     def run(slices: pa.Table, answers: pa.Table) -> pa.Table:
-        kind, key, value = (answers.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("kind", "key", "value"))
+        model = answers.filter(pc.is_null(answers.column("counts")))
+        keys, logs = (model.column(c).to_numpy() for c in ("key", "value"))
+        keys = keys.view(_U)
+        order = np.argsort(keys, kind="stable")
+        keys, logs = keys[order], logs[order]
+        blocks = answers.filter(pc.is_valid(answers.column("counts"))).sort_by("key").column("counts")
         out = []
         for row in range(slices.num_rows):
             part = _Slice(*[slices.column(c)[row].as_py() for c in ("tokens", "sizes", "held", "one")])
-            counts = np.zeros(len(slices.column("one")[row].as_py()) // 8)
-            counts[key[kind == 0]] = value[kind == 0]
-            order = np.argsort(key[kind == 1].view(_U), kind="stable")
-            keys, logs = key[kind == 1].view(_U)[order], value[kind == 1][order]
+            one = np.frombuffer(slices.column("one")[row].as_py(), _U)
+            counts = np.zeros(len(one))
+            if len(one):
+                counts[np.argsort(one, kind="stable")] = np.concatenate([frequent.from_planes(b.as_buffer(), 8) for b in blocks])
 
-            def found(asked, keys=keys, logs=logs):
+            def found(asked):
                 if not len(keys):
                     return np.zeros(len(asked), bool), np.zeros(len(asked))
                 at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
@@ -262,9 +314,8 @@ def grow(slices: DataFrame, words: DataFrame, n_train: int, n_words: int, n_docs
          alpha: float, cutoff: float) -> DataFrame:
     """The tree: ``key``, ``value``; log10 of a next word's probability in its state, or of the mass a state hands on."""
     context = slices.sparkSession.sparkContext
-    one = words.groupBy("one").agg(F.sum("c").alias("c"))
-    likely = frequent.Filter(bits).learn(
-        one.where(F.col("c") >= least).select("one").mapInArrow(_packed_keys(bits), frequent.KEY_BLOCKS), 1)
+    often = store(words.where(F.col("c") >= least))  # no other word can follow a state or make one
+    likely = frequent.Filter(bits).learn(often.select("one").mapInArrow(_packed_keys(bits), frequent.KEY_BLOCKS), 1)
     likely.put(np.array([START, END]))
     texts = slices.select("tokens", "sizes", "held", "one")
     for size in range(2, depth + 2):
@@ -277,7 +328,7 @@ def grow(slices: DataFrame, words: DataFrame, n_train: int, n_words: int, n_docs
                   .groupBy("size", "gram", "context", "tail").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
     marks = slices.sparkSession.createDataFrame(
         [(int(START.view(np.int64)), n_docs), (int(END.view(np.int64)), n_docs)], "one long, c long")
-    above = one.union(marks).select(
+    above = often.union(marks).select(
         F.col("one").alias("gram"), "c", ((F.col("c") + 0.1) / (n_train + 0.1 * (n_words + 1))).alias("p"),
         F.lit(None).cast("long").alias("context"))
     levels = []
@@ -334,13 +385,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % held_out == 0, F.lit(False)).alias("held"))
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     arrow_key = docs.select(key).limit(0).toArrow().schema.field(0).type
     slices = store(rows.mapInArrow(
         _slicer(arrow_key), f"slice long, keys array<{key_type.simpleString()}>, tokens binary, sizes binary, held binary, one binary, "
-        "two binary, seen binary"))
+        "seen binary"))
     bits = frequent.bucket_bits(rows, F.col("text"))
-    listed = slices.select("slice", "one", "two", "seen").mapInArrow(_dictionary, "slice long, at long, one long, two long, c long")
-    words = store(listed.where("c > 0").groupBy("one", "two").agg(F.sum("c").alias("c")))
+    blocks = "bucket int, slice long, words binary, counts binary"
+    counted = store(slices.select("slice", "one", "seen").mapInArrow(_word_blocks(bits), blocks)
+                    .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_words, blocks))
+    words = counted.where("slice is null").select("words", "counts").mapInArrow(_word_rows, "one long, c long")
     n_docs = rows.where(~F.col("held")).count()
     n_words, total = words.agg(F.count("c"), F.sum("c")).first()
     n_train, n_words = (total or 0) + n_docs, n_words + (1 if n_docs else 0)
@@ -348,9 +402,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     known = frequent.Filter(bits).learn(tree.select("key").mapInArrow(_packed_keys(bits), frequent.KEY_BLOCKS), 1)
     shared = context.broadcast(known)
     asked = slices.select("slice", "tokens", "sizes", "held", "one").mapInArrow(_questions(shared, depth), "slice long, key long")
-    answers = listed.join(words.withColumnRenamed("c", "value"), ["one", "two"]).select(
-        "slice", F.lit(0).alias("kind"), F.col("at").alias("key"), F.col("value").cast("double").alias("value")).union(
-        asked.join(tree, "key").select("slice", F.lit(1), "key", "value"))
+    answers = counted.where("slice is not null").select(
+        "slice", F.col("bucket").cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "counts").union(
+        asked.join(tree, "key").select("slice", "key", "value", F.lit(None).cast("binary")))
     out = f"key {key_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = slices.select("slice", "keys", "tokens", "sizes", "held", "one").groupBy("slice").cogroup(
         answers.groupBy("slice")).applyInArrow(_scorer(shared, depth, arrow_key, n_train, n_words, n_docs), out)
