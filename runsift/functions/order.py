@@ -18,6 +18,7 @@ from runsift.session import materialize
 
 _POS, _SLICE, _FIRST, _BEFORE = "__pos", "__slice", "__first", "__before"
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def sorted_slices(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
@@ -37,9 +38,12 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], check_siz
     return left.join(small_side(named) if check_size else named, condition).drop(*[f"__on_{k}" for k in keys])
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow table only after counting that it is small; a larger one joins by exchange."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a narrow table only after counting its rows and the bytes of its texts; a larger one joins by exchange."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) for n, t in df.dtypes if t in ("string", "binary")]
+    width = reduce(lambda a, b: a + b, texts, F.lit(16 * len(df.columns)))
+    rows, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= limit_bytes else df
 
 
 def _with_slice_totals(placed: DataFrame, keys: Sequence[str], totals: Mapping[str, Column],
