@@ -200,7 +200,7 @@ def graph(docs: DataFrame, text: str = "text", group: str = "lang", max_words: i
         shared = context.broadcast(likely)
         likely = frequent.Filter(bits).add(likely).learn(
             rows.mapInArrow(_hashed(shared, known, bits, least), frequent.KEY_BLOCKS), least)
-        shared.unpersist()
+        shared.destroy()
     shared = context.broadcast(likely)
     level = store(rows.mapInArrow(_edges(shared, max_words), "group string, gram string, size int, f long")
                   .groupBy("group", "gram", "size").agg(F.sum("f").alias("f")))

@@ -8,6 +8,7 @@ keys and more are frequent; callers count exactly behind it, so results never de
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -128,6 +129,12 @@ class Filter:
     def __init__(self, bits: int):
         self.bits, self.table = bits, np.zeros(1 << (BITS - 3), np.uint8)
 
+    def __getstate__(self) -> tuple:
+        return self.bits, zlib.compress(self.table, 1)  # mostly zeros while few keys are frequent
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.table = state[0], np.frombuffer(zlib.decompress(state[1]), np.uint8)
+
     def likely(self, hashes: np.ndarray) -> np.ndarray:
         short = hashes >> _U(40 - self.bits)
         out = np.ones(len(hashes), bool)

@@ -32,6 +32,7 @@ from runsift.llm.storage import small_batches, store
 
 _U = np.uint64
 SLICE_WORDS = 3_000_000
+PART_WORDS = 400_000  # words of a slice that are looked at together
 START, END = _U(0x53F1D5A7C0B3E921), _U(0xA1E4C39B5D7F2867)
 _CONTEXT = _U(0x94D049BB133111EB)
 
@@ -43,7 +44,7 @@ def _squeeze(values: np.ndarray) -> bytes:
 
 def _expand(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -94,19 +95,18 @@ def _slicer(key_type: pa.DataType):
     return run
 
 
-class _Slice:
-    """Word hashes of a slice with a start and an end mark around each text; ``doc`` is the text of each place."""
+class _Part:
+    """Word hashes of some texts with a start and an end mark around each; ``doc`` is the text of each place."""
 
-    def __init__(self, tokens: bytes, sizes: bytes, held: bytes, one: bytes):
-        self.words, self.sizes = _expand(tokens), np.frombuffer(sizes, np.int32).astype(np.int64)
-        self.held = np.frombuffer(held, bool)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 2)
-        ends = np.cumsum(self.sizes + 2)
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, held: np.ndarray, one: np.ndarray):
+        self.words, self.sizes, self.held = words, sizes, held
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 2)
+        ends = np.cumsum(sizes + 2)
         self.hashes = np.empty(len(self.doc), _U)
-        self.hashes[ends - 1], self.hashes[ends - self.sizes - 2] = END, START
+        self.hashes[ends - 1], self.hashes[ends - sizes - 2] = END, START
         self.is_word = np.ones(len(self.doc), bool)
-        self.is_word[ends - 1] = self.is_word[ends - self.sizes - 2] = False
-        self.hashes[self.is_word] = np.frombuffer(one, _U)[self.words]
+        self.is_word[ends - 1] = self.is_word[ends - sizes - 2] = False
+        self.hashes[self.is_word] = one[words]
 
     def grams(self, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Hashes of the grams of 1, 2, ... words that begin at each place, and where such a gram lies in one text."""
@@ -121,13 +121,26 @@ class _Slice:
             yield k, hashes, inside
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[_Slice]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            yield _Slice(*[batch.column(c)[row].as_py() for c in ("tokens", "sizes", "held", "one")])
+def _parts(table, row: int) -> Iterator[_Part]:
+    """The texts of a slice, some at a time; a longer text is a part of its own."""
+    tokens, sizes, held, one = (table.column(c)[row].as_py() for c in ("tokens", "sizes", "held", "one"))
+    words, sizes = _expand(tokens), np.frombuffer(sizes, np.int32).astype(np.int64)
+    held, one = np.frombuffer(held, bool), np.frombuffer(one, _U)
+    at = np.append(0, np.cumsum(sizes))
+    steps = at + np.arange(len(at))  # each text counts one more, so empty ones fill a part too
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(steps, steps[low] + PART_WORDS, side="right")) - 1)
+        yield _Part(words[at[low]:at[high]], sizes[low:high], held[low:high], one)
+        low = high
+
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    keys = np.sort(np.concatenate([np.zeros(0, _U), *parts]))
+    return keys[frequent.runs(keys)]
 
-def _possible(part: _Slice, likely: frequent.Filter, size: int):
+
+def _possible(part: _Part, likely: frequent.Filter, size: int):
     """Grams of 2 to ``size`` words of training texts whose shorter grams all pass the filter: ``k, hashes, shorter hashes, where``."""
     shorter = may = None
     for k, hashes, inside in part.grams(size):
@@ -144,10 +157,15 @@ def _possible(part: _Slice, likely: frequent.Filter, size: int):
 
 def _hashed(shared, size: int, bits: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            for k, hashes, _, where in _possible(part, shared.value, size):
-                if k == size and len(where):
-                    yield frequent.pack(hashes[where], bits, least)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = [np.zeros(0, _U)]
+                for part in _parts(batch, row):
+                    found += [hashes[where] for k, hashes, _, where in _possible(part, shared.value, size) if k == size]
+                hashes = np.concatenate(found)
+                del found
+                if len(hashes):
+                    yield frequent.pack(hashes, bits, least)
     return run
 
 
@@ -155,18 +173,30 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Equal first columns made one row, last columns summed."""
+    first, *rest, counts = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(first, kind="stable")
+    at = frequent.runs(first[order])
+    total = np.add.reduceat(counts[order], at) if len(at) else counts
+    return (*[c[order[at]] for c in (first, *rest)], total)
+
+
 def _counted(shared, size: int):
     """Exact counts per slice of the grams that pass: the gram, its context, and the same next word after the shorter context."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
-            for k, hashes, shorter, where in _possible(part, shared.value, size):
-                where = where[shared.value.likely(hashes[where])]
-                where = where[np.argsort(hashes[where], kind="stable")]
-                at = frequent.runs(hashes[where])
-                counts, where = np.diff(np.append(at, len(where))), where[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(where), k, np.int32)), _long(hashes[where]), _long(shorter[where]),
-                     _long(shorter[where + 1]), pa.array(counts)], ["size", "gram", "context", "tail", "c"])
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found: dict[int, list] = {k: [] for k in range(2, size + 1)}
+                for part in _parts(batch, row):
+                    for k, hashes, shorter, where in _possible(part, shared.value, size):
+                        where = where[shared.value.likely(hashes[where])]
+                        found[k].append(_added([(hashes[where], shorter[where], shorter[where + 1], np.ones(len(where), np.int64))]))
+                for k, parts in found.items():
+                    gram, context, tail, counts = _added(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(gram), k, np.int32)), _long(gram), _long(context), _long(tail), pa.array(counts)],
+                        ["size", "gram", "context", "tail", "c"])
     return run
 
 
@@ -186,13 +216,14 @@ def _word_blocks(bits: int):
                 one, seen = np.frombuffer(batch.column("one")[row].as_py(), _U), _expand(batch.column("seen")[row].as_py())
                 order = np.argsort(one, kind="stable")
                 one, seen = one[order], seen[order]
-                buckets = (one >> _U(32) >> _U(32 - bits)).astype(np.int32)
-                cut = frequent.runs(buckets)
-                spans = list(zip(cut, np.append(cut, len(one))[1:], strict=True))
+                if not len(one):
+                    continue
+                buckets, blocks = _blocks(one, bits)
+                cells = np.split(seen, np.cumsum([len(b) for b in blocks])[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets[cut]), pa.array(np.full(len(cut), batch.column("slice")[row].as_py(), np.int64)),
-                     pa.array([frequent.planes(one[a:b], 8) for a, b in spans], pa.binary()),
-                     pa.array([frequent.planes(seen[a:b], 8) for a, b in spans], pa.binary())], ["bucket", "slice", "words", "counts"])
+                    [pa.array(buckets), pa.array(np.full(len(buckets), batch.column("slice")[row].as_py(), np.int64)),
+                     pa.array([frequent.planes(b, 8) for b in blocks], pa.binary()),
+                     pa.array([frequent.planes(c, 8) for c in cells], pa.binary())], ["bucket", "slice", "words", "counts"])
     return run
 
 
@@ -234,7 +265,7 @@ def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [_long(frequent.from_planes(words.as_buffer(), 8)[c > 0]), pa.array(c[c > 0])], ["one", "c"])
 
 
-def _states(part: _Slice, likely: frequent.Filter, depth: int):
+def _states(part: _Part, likely: frequent.Filter, depth: int):
     """For each depth: where the preceding words may be a state, its key, and the key of the word that follows there."""
     places, shorter = {}, None
     for k, hashes, inside in part.grams(depth + 1):
@@ -247,66 +278,122 @@ def _states(part: _Slice, likely: frequent.Filter, depth: int):
     return places
 
 
-def _questions(shared, depth: int):
+def _asked(part: _Part, likely: frequent.Filter, depth: int) -> np.ndarray:
+    keys = []
+    for _, contexts, grams in _states(part, likely, depth).values():
+        keys += [contexts, grams[likely.likely(grams)]]
+    return _distinct(keys)
+
+
+def _blocks(keys: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted keys cut at their first bits."""
+    buckets = (keys >> _U(32) >> _U(32 - bits)).astype(np.int32)
+    cut = frequent.runs(buckets)
+    return buckets[cut], np.split(keys, cut[1:])
+
+
+def _questions(shared, depth: int, bits: int):
+    """The keys that a slice asks for, as sorted blocks."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part in enumerate(_slices([batch])):
-                asked = [np.zeros(0, _U)]
-                for _, contexts, grams in _states(part, shared.value, depth).values():
-                    asked += [contexts, grams[shared.value.likely(grams)]]
-                keys = np.sort(np.concatenate(asked))
-                keys = keys[frequent.runs(keys)]
+            for row in range(batch.num_rows):
+                buckets, blocks = _blocks(_distinct([_asked(p, shared.value, depth) for p in _parts(batch, row)]), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), batch.column("slice")[row].as_py(), np.int64)), _long(keys)], ["slice", "key"])
+                    [pa.array(buckets), pa.array(np.full(len(buckets), batch.column("slice")[row].as_py(), np.int64)),
+                     pa.array([frequent.planes(b, 8) for b in blocks[:len(buckets)]], pa.binary()),
+                     pa.array([None] * len(buckets), pa.binary())], ["bucket", "slice", "keys", "values"])
     return run
 
 
+def _tree_blocks(bits: int):
+    """Some of the tree as sorted blocks with their values; a bucket may have several."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy()
+            order = np.argsort(keys, kind="stable")
+            if len(order):
+                buckets, blocks = _blocks(keys[order], bits)
+                cells = np.split(values[order], np.cumsum([len(b) for b in blocks])[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets), pa.array([None] * len(buckets), pa.int64()),
+                     pa.array([frequent.planes(b, 8) for b in blocks], pa.binary()),
+                     pa.array([c.tobytes() for c in cells], pa.binary())], ["bucket", "slice", "keys", "values"])
+    return run
+
+
+def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket, the tree's rows come first; then each slice's keys get their values, NaN where the tree has none."""
+    now, keys, values = None, [], []
+    for batch in batches:
+        for bucket, number, block, cells in zip(*[batch.column(i) for i in range(4)], strict=True):
+            if bucket.as_py() != now:
+                now, keys, values = bucket.as_py(), [np.zeros(0, _U)], [np.zeros(0)]
+            block = frequent.from_planes(block.as_buffer(), 8)
+            if not number.is_valid:
+                keys.append(block)
+                values.append(np.frombuffer(cells.as_buffer(), np.float64))
+                continue
+            if len(keys) > 1:
+                order = np.argsort(np.concatenate(keys), kind="stable")
+                keys, values = [np.concatenate(keys)[order]], [np.concatenate(values)[order]]
+            out = np.full(len(block), np.nan)
+            if len(keys[0]):
+                at = np.minimum(np.searchsorted(keys[0], block), len(keys[0]) - 1)
+                hit = keys[0][at] == block
+                out[hit] = values[0][at[hit]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number.as_py()]), pa.array([now], pa.int32()), pa.array([None], pa.binary()), pa.array([out.tobytes()], pa.binary())],
+                ["slice", "bucket", "counts", "values"])
+
+
 def _scorer(shared, depth: int, key_type: pa.DataType, n_train: int, n_words: int, n_docs: int):
     """Word and text sums of a slice, from the counts of its words and the states it asked for."""
     def run(slices: pa.Table, answers: pa.Table) -> pa.Table:
-        model = answers.filter(pc.is_null(answers.column("counts")))
-        keys, logs = (model.column(c).to_numpy() for c in ("key", "value"))
-        keys = keys.view(_U)
-        order = np.argsort(keys, kind="stable")
-        keys, logs = keys[order], logs[order]
-        blocks = answers.filter(pc.is_valid(answers.column("counts"))).sort_by("key").column("counts")
-        out = []
+        answers = answers.sort_by("bucket")
+        blocks = [b.as_buffer() for b in answers.filter(pc.is_valid(answers.column("counts"))).column("counts")]
+        cells = [b.as_buffer() for b in answers.filter(pc.is_valid(answers.column("values"))).column("values")]
+        names = ["held_out", "n_tokens", "n_known", "base_score", "score"]
+        out: list[pa.Table] = []
         for row in range(slices.num_rows):
-            part = _Slice(*[slices.column(c)[row].as_py() for c in ("tokens", "sizes", "held", "one")])
             one = np.frombuffer(slices.column("one")[row].as_py(), _U)
             counts = np.zeros(len(one))
             if len(one):
-                counts[np.argsort(one, kind="stable")] = np.concatenate([frequent.from_planes(b.as_buffer(), 8) for b in blocks])
-
-            def found(asked):
-                if not len(keys):
-                    return np.zeros(len(asked), bool), np.zeros(len(asked))
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                return keys[at] == asked, logs[at]
-
-            c = np.full(len(part.doc), float(n_docs))
-            c[part.is_word] = counts[part.words]
-            base = np.log10((c + 0.1) / (n_train + 0.1 * (n_words + 1)))
-            score = base.copy()
-            for _, (where, contexts, grams) in sorted(_states(part, shared.value, depth).items()):
-                is_state, rest = found(contexts)
-                where, rest, grams = where[is_state], rest[is_state], grams[is_state]
-                own, log = found(grams)
-                score[where] = np.where(own, log, rest + score[where])
-            counted = np.append(True, part.doc[1:] != part.doc[:-1])
-            counted = ~counted  # all but the start marks
-            n = len(part.sizes)
-
-            def per_text(values, part=part, counted=counted, n=n):
-                return np.bincount(part.doc[counted], values[counted], minlength=n)
-
-            out.append(pa.table({
-                "key": pa.array(slices.column("keys")[row].as_py(), key_type), "held_out": pa.array(part.held),
-                "n_tokens": pa.array(part.sizes + 1), "n_known": pa.array(per_text((c > 0).astype(float)).astype(np.int64)),
-                "base_score": pa.array(per_text(base)), "score": pa.array(per_text(score))}))
+                counts[np.argsort(one, kind="stable")] = np.concatenate([frequent.from_planes(b, 8) for b in blocks])
+            logs = np.concatenate([np.zeros(0), *[np.frombuffer(c, np.float64) for c in cells]])
+            keys = _distinct([_asked(p, shared.value, depth) for p in _parts(slices, row)])
+            columns: list[list[np.ndarray]] = [[] for _ in names]
+            for part in _parts(slices, row):
+                for column, values in zip(columns, _text_sums(part, counts, keys, logs), strict=True):
+                    column.append(values)
+            out.append(pa.table({"key": pa.array(slices.column("keys")[row].as_py(), key_type),
+                                 **{c: np.concatenate(v) for c, v in zip(names, columns, strict=True)}}))
         schema = pa.schema([("key", key_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                             ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else schema.empty_table()
+
+    def _text_sums(part: _Part, counts: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, ...]:
+        def found(asked: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.full(len(asked), np.nan)
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            return np.where(keys[at] == asked, logs[at], np.nan)
+
+        c = np.full(len(part.doc), float(n_docs))
+        c[part.is_word] = counts[part.words]
+        base = np.log10((c + 0.1) / (n_train + 0.1 * (n_words + 1)))
+        score = base.copy()
+        for _, (where, contexts, grams) in sorted(_states(part, shared.value, depth).items()):
+            rest = found(contexts)
+            is_state = ~np.isnan(rest)
+            where, rest = where[is_state], rest[is_state]
+            own = found(grams[is_state])
+            score[where] = np.where(np.isnan(own), rest + score[where], own)
+        counted = np.append(False, part.doc[1:] == part.doc[:-1])  # all but the start marks
+
+        def per_text(values: np.ndarray) -> np.ndarray:
+            return np.bincount(part.doc[counted], values[counted], minlength=len(part.sizes))
+
+        return part.held, part.sizes + 1, per_text((c > 0).astype(float)).astype(np.int64), per_text(base), per_text(score)
     return run
 
 
@@ -322,7 +409,7 @@ def grow(slices: DataFrame, words: DataFrame, n_train: int, n_words: int, n_docs
         shared = context.broadcast(likely)
         likely = frequent.Filter(bits).add(likely).learn(
             texts.mapInArrow(_hashed(shared, size, bits, least), frequent.KEY_BLOCKS), least)
-        shared.unpersist()
+        shared.destroy()
     shared = context.broadcast(likely)
     grams = store(texts.mapInArrow(_counted(shared, depth + 1), "size int, gram long, context long, tail long, c long")
                   .groupBy("size", "gram", "context", "tail").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
@@ -401,10 +488,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     tree = grow(slices, words, n_train, n_words, n_docs, bits, depth, least, alpha, cutoff)
     known = frequent.Filter(bits).learn(tree.select("key").mapInArrow(_packed_keys(bits), frequent.KEY_BLOCKS), 1)
     shared = context.broadcast(known)
-    asked = slices.select("slice", "tokens", "sizes", "held", "one").mapInArrow(_questions(shared, depth), "slice long, key long")
-    answers = counted.where("slice is not null").select(
-        "slice", F.col("bucket").cast("long").alias("key"), F.lit(None).cast("double").alias("value"), "counts").union(
-        asked.join(tree, "key").select("slice", "key", "value", F.lit(None).cast("binary")))
+    asking = "bucket int, slice long, keys binary, values binary"
+    asked = slices.select("slice", "tokens", "sizes", "held", "one").mapInArrow(_questions(shared, depth, bits), asking).union(
+        tree.mapInArrow(_tree_blocks(bits), asking))
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", F.col("slice").asc_nulls_first()).mapInArrow(
+        _answers, "slice long, bucket int, counts binary, values binary").union(
+        counted.where("slice is not null").select("slice", "bucket", "counts", F.lit(None).cast("binary")))
     out = f"key {key_type.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     scored = slices.select("slice", "keys", "tokens", "sizes", "held", "one").groupBy("slice").cogroup(
         answers.groupBy("slice")).applyInArrow(_scorer(shared, depth, arrow_key, n_train, n_words, n_docs), out)
