@@ -6,8 +6,6 @@ queries with one bounded block of references and returns one best distance per q
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -15,12 +13,9 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.order import quantile_within
+from runsift.operators.ball_tree import block_nearest, build_tree, search
 from runsift.session import materialize
 
-BLOCK_ROWS = 2048
-MAX_PIVOTS = 256
-SLACK = 1e-9
-
 
 def distinct_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """One row per different vector with its number of copies, so copies never fill a block."""
@@ -28,110 +23,18 @@ def distinct_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
         F.min(key).alias("ref_id"), F.count(F.lit(1)).alias("copies"))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
-
-
-def _pivot_rows(refs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded number of reference rows in hash order: their ids and vectors."""
-    count = min(MAX_PIVOTS, max(1, int(n ** 0.5 / 2)))
-    picked = refs.orderBy(F.md5(F.col("ref_id").cast("string")), "ref_id").limit(count).select("ref_id", "vec").collect()
-    return np.array([r["ref_id"] for r in picked]), np.array([r["vec"] for r in picked], dtype=float)
-
-
-def _to_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.stack([((vectors - p) ** 2).sum(axis=1) for p in pivots], axis=1))
-
-
-def _place(rows: DataFrame, key: str, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot of each row and the distance to it."""
-    @F.pandas_udf("cell int, gap double")
-    def nearest(vec: pd.Series) -> pd.DataFrame:
-        d = _to_pivots(_matrix(vec), pivots)
-        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "gap": d.min(axis=1)})
-
-    return rows.withColumn("__p", nearest("vec")).select(key, "vec", "__p.cell", "__p.gap")
-
-
-def _block_nearest(queries: DataFrame, refs: DataFrame, cells: list[str], skip_same: bool) -> DataFrame:
-    """Smallest distance per query among the references of its cells.
-
-    ``queries``: cells, query_id, vec. ``refs``: cells, ref_id, vec. Each cell is cut into blocks of
-    about BLOCK_ROWS rows on both sides, so a hot cell becomes many small groups.
-    """
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-
-    sizes = blocks(queries, "nq").join(blocks(refs, "nr"), cells)
-
-    def own(key: str, n: str):
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = queries.join(sizes, cells).select(*cells, "query_id", "vec", own("query_id", "nq").alias("bq"), every("nr").alias("br"))
-    right = refs.join(sizes, cells).select(*cells, "ref_id", "vec", own("ref_id", "nr").alias("br"), every("nq").alias("bq"))
-    by = [*cells, "bq", "br"]
-    id_type = dict(queries.dtypes)["query_id"]
-
-    def compare(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "distance": pd.Series(dtype=float)})
-        a, b = _matrix(q["vec"]), _matrix(r["vec"])
-        squares = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-        if skip_same:
-            squares[q["query_id"].to_numpy()[:, None] == r["ref_id"].to_numpy()[None, :]] = np.inf
-        at = squares.argmin(axis=1)
-        found = np.isfinite(squares[np.arange(len(a)), at])
-        # The expanded form only finds the neighbour; the distance itself is taken directly.
-        exact = np.sqrt(((a - b[at]) ** 2).sum(axis=1))
-        return pd.DataFrame({"query_id": q["query_id"][found], "distance": exact[found]})
-
-    best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, f"query_id {id_type}, distance double")
-    return best.groupBy("query_id").agg(F.min("distance").alias("distance"))
-
-
 def nearest_distances(queries: DataFrame, refs: DataFrame, skip_same: bool = False) -> DataFrame:
-    """Exact distance of each query to its nearest reference.
+    """Exact distance of each query to its nearest reference, and the number of references it was compared with.
 
-    ``queries``: query_id, vec. ``refs``: ref_id, vec, different vectors. References are grouped by
-    their nearest pivot. A query first looks in its own cell, then only in cells that the triangle
-    inequality cannot rule out.
+    ``queries``: query_id, vec. ``refs``: ref_id, vec, different vectors.
     """
-    n = refs.count()
-    pivot_ids, pivots = _pivot_rows(refs, n)
-    placed = materialize(_place(refs, "ref_id", pivots))
-    radius = np.full(len(pivots), -np.inf)
-    for row in placed.groupBy("cell").agg(F.max("gap").alias("r")).collect():
-        radius[row["cell"]] = row["r"]
-    asked = materialize(_place(queries, "query_id", pivots).drop("gap"))
-    first = _block_nearest(asked, placed, ["cell"], skip_same)
-
-    @F.pandas_udf("bound double, cells array<int>")
-    def reachable(key: pd.Series, vec: pd.Series, home: pd.Series, best: pd.Series) -> pd.DataFrame:
-        d = _to_pivots(_matrix(vec), pivots)
-        direct = d.copy()
-        if skip_same:
-            direct[key.to_numpy()[:, None] == pivot_ids[None, :]] = np.inf
-        bound = np.fmin(best.to_numpy(dtype=float), direct.min(axis=1))
-        near = d - radius[None, :] <= bound[:, None] + SLACK
-        near[np.arange(len(d)), home.to_numpy()] = False
-        return pd.DataFrame({"bound": bound, "cells": [np.flatnonzero(row).astype("int32") for row in near]})
-
-    joined = asked.join(first, "query_id", "left")
-    known = materialize(joined.withColumn("__r", reachable("query_id", "vec", "cell", "distance")).select(
-        "query_id", "vec", "__r.bound", "__r.cells"))
-    more = known.select("query_id", "vec", F.explode("cells").alias("cell"))
-    second = _block_nearest(more, placed, ["cell"], skip_same).withColumnRenamed("distance", "__d2")
-    return known.join(second, "query_id", "left").select(
-        "query_id", F.nullif(F.least("bound", "__d2"), F.lit(float("inf"))).alias("distance"))
+    return search(queries, build_tree(refs), skip_same)
 
 
 def test_distances(test: DataFrame, train: DataFrame, key: str, vector: str) -> DataFrame:
     """Distance of each test row to its nearest training row."""
     queries = test.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vec"))
-    return nearest_distances(queries, distinct_vectors(train, key, vector)).withColumnRenamed("query_id", key)
+    return nearest_distances(queries, distinct_vectors(train, key, vector)).select(F.col("query_id").alias(key), "distance")
 
 
 def train_distances(train: DataFrame, key: str, vector: str) -> DataFrame:
@@ -175,5 +78,5 @@ def approximate_distances(test: DataFrame, train: DataFrame, key: str, vector: s
         return materialize(hashed.select(key_name, "vec", F.posexplode(buckets).alias("table", "bucket")))
 
     left = spread(asked.withColumn("features", array_to_vector("vec")), "query_id")
-    best = _block_nearest(left, spread(refs, "ref_id"), ["table", "bucket"], False)
-    return asked.select("query_id").join(best, "query_id", "left").withColumnRenamed("query_id", key)
+    best = block_nearest(left, spread(refs, "ref_id"), ["table", "bucket"], False)
+    return asked.select("query_id").join(best, "query_id", "left").select(F.col("query_id").alias(key), "distance")

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from runsift.operators import ball_tree as T
 from runsift.operators import ood as O
 
 
@@ -26,7 +27,9 @@ def _brute(a, b):
 
 
 def test_exact_with_small_blocks(spark, data, monkeypatch):
-    monkeypatch.setattr(O, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(T, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(T, "FAN", 4)
+    monkeypatch.setattr(T, "PART_ROWS", 30)
     train, test = data
     got = O.test_distances(_frame(spark, test), _frame(spark, train), "id", "v").toPandas().sort_values("id")
     assert np.allclose(got["distance"], _brute(test, train).min(axis=1), atol=1e-9)
@@ -62,3 +65,26 @@ def test_approximate_is_an_upper_bound_with_good_recall(spark, data):
     found = got["distance"].notna().to_numpy()
     assert (got["distance"].to_numpy()[found] >= exact[found] - 1e-9).all()
     assert np.mean(np.isclose(got["distance"].fillna(np.inf), exact)[:50]) > 0.8
+
+
+def test_tree_looks_at_few_rows(spark, monkeypatch):
+    """Four times the references must not mean four times the comparisons."""
+    monkeypatch.setattr(T, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(4)
+    seen = {}
+    for n in (1500, 6000):
+        refs, asked = rng.normal(size=(n, 3)), rng.normal(size=(40, 3))
+        tree = T.build_tree(_frame(spark, refs).selectExpr("id as ref_id", "v as vec"))
+        assert tree.leaves.count() == n and len(tree.levels) > 1
+        assert tree.leaves.groupBy("cell").count().agg({"count": "max"}).first()[0] <= 64
+        got = T.search(_frame(spark, asked).selectExpr("id as query_id", "v as vec"), tree).toPandas().sort_values("query_id")
+        assert np.allclose(got["distance"], _brute(asked, refs).min(axis=1), atol=1e-9)
+        seen[n] = got["compared"].mean()
+    assert seen[1500] < 300 and seen[6000] < 3 * seen[1500]
+
+
+def test_no_references(spark, data):
+    _, test = data
+    none = _frame(spark, test).selectExpr("id as ref_id", "v as vec").limit(0)
+    got = T.search(_frame(spark, test).selectExpr("id as query_id", "v as vec"), T.build_tree(none)).toPandas()
+    assert len(got) == len(test) and got["distance"].isna().all()
