@@ -106,6 +106,13 @@ def log_grid_setting(spark, d):
         "event_id", L.mesh_setting(L.settings_text(F.col("input_text"), F.col("output_text"))).alias("kpoints"))
 
 
+def log_records(spark, d):
+    """The whole run record of every log; the map as canonical text."""
+    records = L.parse_runs(composed_logs(spark, d), "/data")
+    flags = {c: F.col(c).cast("int") for c in ("converged", "job_done")}
+    return records.withColumns({**flags, "energy_ev": F.round("energy_ev", 9), "pseudopotentials": canonical_json(F.col("pseudopotentials"))})
+
+
 def log_hash(spark, d):
     source = F.when(F.col("doc_id") % 3 != 0, F.concat_ws("/", "lang", "source"))
     return table(spark, d, "documents").select(
@@ -162,7 +169,7 @@ def quarantine_split(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    log_parse_core, log_failure_reason, log_iterations, log_species_map, log_grid_setting, log_hash, path_ids,
+    log_parse_core, log_failure_reason, log_iterations, log_species_map, log_grid_setting, log_records, log_hash, path_ids,
     log_sidecars, quarantine_split)}
 
 _E = "e as (select *, cast(json_extract_string(props, '$.k') as integer) as k from events)"
@@ -226,3 +233,45 @@ select '/runs/' || o_orderkey || '/espresso.pwo' as output_path,
     "quarantine_split": f"""with {LABELLED_SQL} select doc_id, source, failure_reason,
   case when coalesce(failure_reason, '') in ('job_not_completed', 'scf_not_converged') then 1 else 0 end as quarantined from rec""",
 }
+
+_TEXTS = f"""t as (
+  select *, list_extract({_LIST(SYMBOLS)}, cast(event_id % 7 + 1 as integer)) as s1,
+    list_extract({_LIST(SYMBOLS)}, cast((event_id + 1 + k % 5) % 7 + 1 as integer)) as s2,
+    list_extract({_LIST(SUFFIXES)}, k % 7 + 1) as f1, list_extract({_LIST(SUFFIXES)}, cast((k + event_id) % 7 + 1 as integer)) as f2 from e),
+texts as (
+  select event_id, user_id,
+    concat_ws(chr(10), '&SYSTEM', '  ecutwfc = 10', '  ECUTWFC = ' || (k + 20), '  ecutrho = ' || (8 * (k + 20)) || '.5',
+      '  smearing = ''' || list_extract(['mp', 'gaussian', 'm-v'], k % 3 + 1) || '''', '  mixing_beta=0.' || (k % 9 + 1),
+      case when event_id % 4 <> 0 then concat_ws(chr(10), 'ATOMIC_SPECIES', '  ' || s1 || '  1.0  stale.UPF', '  ' || s1 || '  1.0  ' || s1 || '.' || f1,
+        '  ' || s2 || '  2.0  ' || s2 || '.' || f2, '  short line', 'ATOMIC_POSITIONS angstrom', '  ' || s1 || '  0.0  0.0  0.0') end,
+      case when event_id % 3 = 0 then concat_ws(chr(10), 'K_POINTS automatic', ' ' || (k % 8 + 1) || '  4   ' || (event_id % 5 + 1) || ' 0 0 0',
+        'K_POINTS automatic', ' 9 9 9 0 0 0') end) as input_text,
+    concat_ws(chr(10),
+      case when event_id % 8 <> 0 then '     PseudoPot. # 1 for ' || s1 || ' read from file:' || chr(10) || '     ./pseudo/' || s1 || '.' || f1 end,
+      array_to_string(list_transform(range(1, k % 6 + 2), lambda i: '     iteration #  ' || i || '     ecut=    60.00 Ry'), chr(10)),
+      '     total energy              =     -' || value || ' Ry',
+      case when event_id % 2 = 0 then '!    total energy              =     -' || (k + 1) || '.25 Ry' || chr(10) || '!    total energy  =  -' || (k + 2) || '.5 Ry' end,
+      case when event_id % 5 <> 0 then '     Total force =     0.0' || k || '     Total SCF correction =     0.000001' end,
+      case when k % 2 = 0 then '          total   stress  (Ry/bohr**3)     P=     -' || k || '.5' end,
+      case when event_id % 6 = 0 then '     convergence has been achieved in  ' || (k % 6 + 1) || ' iterations' end,
+      case when event_id % 3 <> 0 then '     number of k points=    ' || (k + 1) end,
+      case event_id % 9
+        when 1 then '     convergence NOT achieved after 80 iterations: stopping' || chr(10) || '     JOB DONE.'
+        when 2 then ' could not find namelist &electrons' || chr(10) || ' Error in routine read_namelists (1):'
+        when 3 then ' atoms #   1 and #   2 overlap!' || chr(10) || ' Error in routine check_atoms (1):'
+        when 4 then ' atoms too close' || chr(10) when 5 then ' Error in routine davcio (10):'
+        when 6 then ' from readpp : error #         2' when 7 then ' stopped by the scheduler'
+        when 8 then ' from cdiaghg : no message' else '     JOB DONE.' end,
+      case when k % 4 <> 0 then '     PWSCF        :   ' || k || '.10s CPU     1m  ' || k || '.00s  WALL' end) as output_text
+  from t)"""
+
+ORACLES["log_records"] = f"""with {_E}, {_TEXTS}
+select cast(user_id as varchar) as material_id, cast(null as varchar) as qe_input_path,
+  'qe_runs_' || user_id || '/run' || texts.event_id || '/espresso.pwo' as qe_output_path, f.converged, f.job_done, i.scf_iterations,
+  c.final_energy_ry, c.energy_ev, c.max_force, c.pressure_kbar, c.wall_time, f.failure_reason, c.ecutwfc, c.ecutrho, g.kpoints, c.smearing,
+  c.mixing_beta, s.pseudo_family, s.files as pseudopotentials, sha256(input_text || output_text) as calculation_hash
+from texts join ({ORACLES["log_parse_core"]}) c on c.event_id = texts.event_id
+join ({ORACLES["log_failure_reason"]}) f on f.event_id = texts.event_id
+join ({ORACLES["log_iterations"]}) i on i.event_id = texts.event_id
+join ({ORACLES["log_species_map"]}) s on s.event_id = texts.event_id
+join ({ORACLES["log_grid_setting"]}) g on g.event_id = texts.event_id"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from runsift.functions.text import base_name, join_parts
 # File names of a run (fixed values); diagnostics are joined in this order.
 OUTPUT_NAME = "espresso.pwo"
 INPUT_NAME = "espresso.pwi"
+INPUT_SUFFIX = ".pwi"
 DIAGNOSTIC_NAMES = ("espresso.err", "CRASH")
 
 
@@ -31,36 +33,73 @@ def scan_text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFr
         F.make_valid_utf8("value").alias("text"))
 
 
+def _is_file(spark: SparkSession, root: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(path) and system.getFileStatus(path).isFile()
+
+
+def _empty_paths(spark: SparkSession, roots: Sequence[str], pattern: str, scanned: DataFrame) -> DataFrame:
+    """Listed files that the scan passes over, which are those of length zero.
+
+    The listing is the one that Spark makes for the scan, so the driver holds it anyway.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    listed = spark.createDataFrame([(p,) for p in reader.text(list(roots), wholetext=True).inputFiles()], "uri string")
+    return listed.select(plain_path(F.col("uri")).alias("path")).distinct().join(scanned.select("path"), "path", "left_anti")
+
+
 def scan_runs(spark: SparkSession, roots: Sequence[str], empty_outputs: DataFrame | None = None) -> DataFrame:
-    """All runs below the roots. The four file kinds come from one scan and meet in one exchange.
+    """All runs of the roots: folders are searched for output files, a file is an output whatever its name.
 
-    Spark's file listing leaves out files of length zero. Runs with an empty output are failures worth
-    keeping, so their paths can be given as ``empty_outputs`` (path), for example from a store inventory.
+    Each run comes with its sidecars, which lie beside the output: the input of the same stem, and the diagnostics.
+    Empty outputs are failures worth keeping and are found in the file listing; ``empty_outputs`` (path) names more of
+    them, for example from a store inventory.
     """
-    names = ",".join([OUTPUT_NAME, INPUT_NAME, *DIAGNOSTIC_NAMES])
-    files = scan_text(spark, roots, "{" + names + "}").select("path", "text")
+    named = [r for r in roots if _is_file(spark, r)]
+    folders = [r for r in roots if r not in named]
+    parts = []
+    if folders:
+        files = scan_text(spark, folders, "{" + ",".join([OUTPUT_NAME, INPUT_NAME, *DIAGNOSTIC_NAMES]) + "}").select("path", "text")
+        parts.append(files.withColumn("is_output", base_name(F.col("path")) == OUTPUT_NAME))
+        parts.append(_empty_paths(spark, folders, OUTPUT_NAME, files).select("path", F.lit("").alias("text"), F.lit(True).alias("is_output")))
+    if named:
+        files = scan_text(spark, named, "*").select("path", "text")
+        parts.append(files.withColumn("is_output", F.lit(True)))
+        parts.append(_empty_paths(spark, named, "*", files).select("path", F.lit("").alias("text"), F.lit(True).alias("is_output")))
+        beside = spark.read.option("pathGlobFilter", "{*" + INPUT_SUFFIX + "," + ",".join(DIAGNOSTIC_NAMES) + "}").text(
+            sorted({r.rsplit("/", 1)[0] or "/" for r in named}), wholetext=True)
+        parts.append(beside.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.make_valid_utf8("value").alias("text"),
+                                   F.lit(False).alias("is_output")))
     if empty_outputs is not None:
-        files = files.unionByName(empty_outputs.select("path", F.lit("").alias("text")))
+        parts.append(empty_outputs.select("path", F.lit("").alias("text"), F.lit(True).alias("is_output")))
+    files = reduce(DataFrame.unionByName, parts)
     return assemble_runs(files.select(
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run_dir"), base_name(F.col("path")).alias("file_name"), "text"))
+        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("run_dir"), base_name(F.col("path")).alias("file_name"), "text", "is_output"))
 
 
 def assemble_runs(files: DataFrame) -> DataFrame:
-    """From (run_dir, file_name, text) to one row per run that has an output file.
+    """From (run_dir, file_name, text, is_output) to one row per output file, with the sidecars of its folder.
 
-    A directory read through two overlapping roots still gives one run.
+    Without ``is_output``, files of the usual name are outputs. A file read through two overlapping roots gives one run.
     """
+    marked = files if "is_output" in files.columns else files.withColumn("is_output", F.col("file_name") == OUTPUT_NAME)
+
     def body(name: str) -> Column:
         return F.max(F.when(F.col("file_name") == name, F.col("text")))
 
-    runs = files.groupBy("run_dir").agg(
-        body(OUTPUT_NAME).alias("output_text"),
-        body(INPUT_NAME).alias("input_text"),
-        *[body(n).alias(f"d{i}") for i, n in enumerate(DIAGNOSTIC_NAMES)])
+    # A folder holds one output, or those that were named one by one.
+    named = F.struct("file_name", "text")
+    runs = marked.groupBy("run_dir").agg(
+        F.collect_set(F.when(F.col("is_output"), named)).alias("outputs"),
+        F.collect_set(F.when(F.col("file_name").endswith(INPUT_SUFFIX) & ~F.col("is_output"), named)).alias("inputs"),
+        *[body(n).alias(f"d{i}") for i, n in enumerate(DIAGNOSTIC_NAMES)]).withColumn("output", F.explode("outputs"))
+    wanted = F.concat(F.regexp_replace(F.col("output.file_name"), r"(?<=.)\.[^.]*$", ""), F.lit(INPUT_SUFFIX))
+    found = runs.withColumn("wanted", wanted).withColumn("input_text", F.try_element_at(
+        F.transform(F.filter("inputs", lambda x: x["file_name"] == F.col("wanted")), lambda x: x["text"]), F.lit(1)))
     diagnostics = join_parts(*[F.col(f"d{i}") for i in range(len(DIAGNOSTIC_NAMES))])
-    path = lambda name: F.concat(F.col("run_dir"), F.lit("/" + name))
-    return runs.where(F.col("output_text").isNotNull()).select(
-        path(OUTPUT_NAME).alias("output_path"),
-        F.when(F.col("input_text").isNotNull(), path(INPUT_NAME)).alias("input_path"),
+    return found.select(
+        F.concat_ws("/", "run_dir", "output.file_name").alias("output_path"),
+        F.when(F.col("input_text").isNotNull(), F.concat_ws("/", "run_dir", "wanted")).alias("input_path"),
         F.nullif("input_text", F.lit("")).alias("input_text"),
-        join_parts(F.col("output_text"), diagnostics).alias("output_text"))
+        join_parts(F.col("output.text"), diagnostics).alias("output_text"))

@@ -47,16 +47,39 @@ def test_overlapping_roots_and_file_roots_give_one_run(spark, tree):
     single = os.path.join(tree, "qe_runs/h2_r0p900000_pid1_attempt1/espresso.pwo")
     assert scan_runs(spark, [tree, os.path.join(tree, "qe_runs")]).count() == 2
     assert scan_runs(spark, [single]).count() == 1
+    assert scan_runs(spark, [single, tree]).count() == 2
 
 
-def test_empty_outputs_can_be_named(spark, tree, tmp_path):
+def test_file_roots_equal_folder_roots(spark, tree):
+    """A named output brings its input and its diagnostics."""
+    outputs = [r["output_path"] for r in scan_runs(spark, [tree]).collect()]
+    by_folder, by_file = (sorted(map(str, L.parse_runs(scan_runs(spark, roots), tree).collect())) for roots in ([tree], outputs))
+    assert by_folder == by_file and len(by_file) == 2
+
+
+def test_outputs_of_other_names_take_the_input_of_their_stem(spark, tree, tmp_path):
+    run = tmp_path / "qe_runs" / "mixed_pid2"
+    run.mkdir(parents=True)
+    for name, text in (("a.b.out", "JOB DONE."), ("log", "running"), ("a.b.pwi", "ecutwfc = 30"), ("log.pwi", ""), ("espresso.pwi", "ecutwfc = 99"),
+                       ("CRASH", "note")):
+        (run / name).write_text(text)
+    rows = {r["output_path"].rsplit("/", 1)[1]: r for r in scan_runs(spark, [str(run / "a.b.out"), str(run / "log")]).collect()}
+    assert set(rows) == {"a.b.out", "log"}
+    assert rows["a.b.out"]["input_text"] == "ecutwfc = 30" and rows["a.b.out"]["input_path"].endswith("/a.b.pwi")
+    assert rows["log"]["input_text"] is None and rows["log"]["output_text"] == "running\nnote"
+
+
+def test_empty_outputs_are_runs(spark, tree, tmp_path):
     empty = tmp_path / "qe_runs" / "mg_pid1" / "espresso.pwo"
     empty.parent.mkdir(parents=True)
     empty.write_text("")
     (empty.parent / "CRASH").write_text("Error in routine x")
-    named = spark.createDataFrame([(str(empty),)], "path string")
-    rows = {r["material_id"]: r for r in L.parse_runs(scan_runs(spark, [tree], named)).collect()}
+    rows = {r["material_id"]: r for r in L.parse_runs(scan_runs(spark, [tree])).collect()}
     assert rows["mg"]["failure_reason"] == "qe_error" and len(rows) == 3
+    assert L.parse_runs(scan_runs(spark, [str(empty)])).first()["failure_reason"] == "qe_error"
+    named = spark.createDataFrame([(str(empty),), ("/elsewhere/qe_runs/ca_pid1/espresso.pwo",)], "path string")
+    rows = {r["material_id"]: r for r in L.parse_runs(scan_runs(spark, [tree], named)).collect()}
+    assert rows["ca"]["failure_reason"] == "job_not_completed" and len(rows) == 4
 
 
 def test_csv_round_trip(spark, tree, tmp_path):
