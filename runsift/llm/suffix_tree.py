@@ -32,7 +32,7 @@ from runsift.llm.storage import small_batches, store
 
 _U = np.uint64
 SLICE_WORDS = 3_000_000
-PART_WORDS = 400_000  # words of a slice that are looked at together
+PART_WORDS = 200_000  # words of a slice that are looked at together
 START, END = _U(0x53F1D5A7C0B3E921), _U(0xA1E4C39B5D7F2867)
 _CONTEXT = _U(0x94D049BB133111EB)
 
@@ -135,9 +135,13 @@ def _parts(table, row: int) -> Iterator[_Part]:
         low = high
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
-    keys = np.sort(np.concatenate([np.zeros(0, _U), *parts]))
-    return keys[frequent.runs(keys)]
+def _distinct(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """Sorted different keys; parts are joined one by one, so that only one lies beside the result."""
+    keys = np.zeros(0, _U)
+    for part in parts:
+        keys = np.sort(np.concatenate([keys, part]))
+        keys = keys[frequent.runs(keys)]
+    return keys
 
 
 def _possible(part: _Part, likely: frequent.Filter, size: int):
@@ -191,7 +195,8 @@ def _counted(shared, size: int):
                 for part in _parts(batch, row):
                     for k, hashes, shorter, where in _possible(part, shared.value, size):
                         where = where[shared.value.likely(hashes[where])]
-                        found[k].append(_added([(hashes[where], shorter[where], shorter[where + 1], np.ones(len(where), np.int64))]))
+                        found[k].append((hashes[where], shorter[where], shorter[where + 1], np.ones(len(where), np.int64)))
+                        found[k] = [_added(found[k])]
                 for k, parts in found.items():
                     gram, context, tail, counts = _added(parts)
                     yield pa.RecordBatch.from_arrays(
@@ -297,7 +302,7 @@ def _questions(shared, depth: int, bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                buckets, blocks = _blocks(_distinct([_asked(p, shared.value, depth) for p in _parts(batch, row)]), bits)
+                buckets, blocks = _blocks(_distinct(_asked(p, shared.value, depth) for p in _parts(batch, row)), bits)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(buckets), pa.array(np.full(len(buckets), batch.column("slice")[row].as_py(), np.int64)),
                      pa.array([frequent.planes(b, 8) for b in blocks[:len(buckets)]], pa.binary()),
@@ -360,7 +365,7 @@ def _scorer(shared, depth: int, key_type: pa.DataType, n_train: int, n_words: in
             if len(one):
                 counts[np.argsort(one, kind="stable")] = np.concatenate([frequent.from_planes(b, 8) for b in blocks])
             logs = np.concatenate([np.zeros(0), *[np.frombuffer(c, np.float64) for c in cells]])
-            keys = _distinct([_asked(p, shared.value, depth) for p in _parts(slices, row)])
+            keys = _distinct(_asked(p, shared.value, depth) for p in _parts(slices, row))
             columns: list[list[np.ndarray]] = [[] for _ in names]
             for part in _parts(slices, row):
                 for column, values in zip(columns, _text_sums(part, counts, keys, logs), strict=True):
