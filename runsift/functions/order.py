@@ -67,6 +67,20 @@ def rank_within(df: DataFrame, order: Sequence[Column], name: str, keys: Sequenc
     return joined.withColumn(name, rank.cast("long")).drop(_POS, _SLICE, _FIRST, _BEFORE)
 
 
+def rank_measures(df: DataFrame, measures: Mapping[str, Column], unique: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Keys, ``unique`` and, per measure, the rank of its value inside the key: lowest first, ties by ``unique``.
+
+    All measures share one range exchange, in rows of (measure number, keys, value, ``unique``); only these narrow rows
+    are sorted and stored. Rows with the same keys and ``unique`` would get one common rank.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("m"), c.cast("double").alias("v")) for i, c in enumerate(measures.values())])
+    narrow = df.select(*keys, unique, F.explode(each).alias("__e")).select(
+        *keys, unique, F.col("__e.m").alias("__m"), F.col("__e.v").alias("__v"))
+    ranked = rank_within(narrow, [F.col("__v"), F.col(unique)], "__r", ["__m", *keys])
+    return ranked.groupBy(*keys, unique).agg(
+        *[F.max(F.when(F.col("__m") == i, F.col("__r"))).alias(n) for i, n in enumerate(measures)])
+
+
 def running_within(df: DataFrame, order: Sequence[Column], values: Mapping[str, tuple[str, Column]],
                    keys: Sequence[str] = ()) -> DataFrame:
     """Inclusive running values inside each key; ``values`` maps a name to (sum | min | max, column)."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import clean_risk, clip01, general_text
-from runsift.functions.order import match_keys, rank_within, top_rows
+from runsift.functions.order import match_keys, rank_measures, top_rows
 from runsift.operators.claims import first_at_point, settle_claims
 from runsift.operators.near import drop_near_known
 
@@ -86,12 +86,21 @@ def base_score(objective: str, beta: Column | float) -> Column:
     return lower_bound(mean, std, beta) if objective == "minimize" else mean + _col(beta) * std
 
 
+def soft_penalty(gamma: Column | float) -> Column:
+    return F.coalesce(_col(gamma) * F.col("failure_risk"), F.lit(0.0))
+
+
+def soft_total(base: Column, gamma: Column | float, objective: str = "minimize") -> Column:
+    """The base score made worse by the penalty."""
+    return base + soft_penalty(gamma) if objective == "minimize" else base - soft_penalty(gamma)
+
+
 def score_candidates(df: DataFrame, objective: str = "minimize", beta: Column | float = K.BETA,
                      gamma: Column | float = K.GAMMA, threshold: float = K.RISK_THRESHOLD) -> DataFrame:
     """Add the base score, penalty, total score, flag and reason to clean candidates."""
     base, risk = base_score(objective, beta), F.col("failure_risk")
-    penalty = F.coalesce(_col(gamma) * risk, F.lit(0.0))
-    total = base + penalty if objective == "minimize" else base - penalty
+    penalty = soft_penalty(gamma)
+    total = soft_total(base, gamma, objective)
     return df.withColumns({
         "base_lcb_score": base,
         "failure_penalty": penalty,
@@ -104,8 +113,12 @@ def score_candidates(df: DataFrame, objective: str = "minimize", beta: Column |
 
 def score_order(column: str, ordinal: str, objective: str) -> list[Column]:
     """Score order with the input position as tie-break, as a stable sort gives."""
-    score = F.col(column)
-    return [score.asc() if objective == "minimize" else score.desc(), F.col(ordinal).asc()]
+    return [rising(F.col(column), objective), F.col(ordinal).asc()]
+
+
+def rising(score: Column, objective: str) -> Column:
+    """The score so that the best comes first in rising order."""
+    return score if objective == "minimize" else -score
 
 
 def rank_candidates(df: DataFrame, keys: Sequence[str] = (), ordinal: str = "ordinal",
@@ -117,10 +130,11 @@ def rank_candidates(df: DataFrame, keys: Sequence[str] = (), ordinal: str = "ord
 
 
 def add_ranks(scored: DataFrame, keys: Sequence[str], ordinal: str, objective: str = "minimize") -> DataFrame:
-    base = rank_within(scored, score_order("base_lcb_score", ordinal, objective),
-                       "rank_without_failure_risk", keys)
-    full = rank_within(base, score_order("acquisition_score", ordinal, objective), "rank", keys)
-    return with_shift(full)
+    """Both ranks from one narrow sort, joined to the rows once. ``ordinal`` is unique within the keys."""
+    ranks = rank_measures(scored, {
+        "rank_without_failure_risk": rising(F.col("base_lcb_score"), objective),
+        "rank": rising(F.col("acquisition_score"), objective)}, ordinal, keys)
+    return with_shift(match_keys(scored.drop("rank_without_failure_risk", "rank"), ranks, [*keys, ordinal]))
 
 
 def with_shift(df: DataFrame) -> DataFrame:
@@ -149,17 +163,19 @@ def resolve_gamma(df: DataFrame, weight: str = "gamma", mode: str = "gamma_mode"
 
 def sweep_weights(df: DataFrame, weights: Sequence[tuple[str, float]], keys: Sequence[str] = (),
                   ordinal: str = "ordinal", beta: float = K.BETA) -> DataFrame:
-    """Rank the pool once per weight. The base rank does not depend on the weight, so it is found once."""
+    """Rank the pool once per weight.
+
+    The base rank and the ranks of all weights come from one narrow sort; the rows meet them once, and only then
+    are they repeated per weight.
+    """
     clean = clean_candidates(df).withColumn("base_lcb_score", base_score("minimize", beta))
-    based = rank_within(clean, score_order("base_lcb_score", ordinal, "minimize"),
-                        "rank_without_failure_risk", keys)
-    options = F.array(*[F.struct(F.lit(n).alias("mode"), F.lit(float(g)).alias("gamma")) for n, g in weights])
-    wide = based.withColumn("__w", F.explode(options)).select(
-        "*", F.col("__w.mode").alias("mode"), F.col("__w.gamma").alias("gamma")).drop("__w")
-    scored = score_candidates(wide, beta=beta, gamma=F.col("gamma"))
-    ranked = rank_within(scored, score_order("acquisition_score", ordinal, "minimize"), "rank",
-                         ["mode", *keys])
-    return with_shift(ranked)
+    totals = {f"__r{i}": soft_total(F.col("base_lcb_score"), F.lit(float(g))) for i, (_, g) in enumerate(weights)}
+    ranks = rank_measures(clean, {"rank_without_failure_risk": F.col("base_lcb_score"), **totals}, ordinal, keys)
+    options = F.array(*[F.struct(F.lit(n).alias("mode"), F.lit(float(g)).alias("gamma"), F.col(r).alias("rank"))
+                        for (n, g), r in zip(weights, totals)])
+    wide = match_keys(clean, ranks, [*keys, ordinal]).withColumn("__w", F.explode(options)).select(
+        "*", "__w.mode", "__w.gamma", "__w.rank").drop("__w", *totals)
+    return with_shift(score_candidates(wide, beta=beta, gamma=F.col("gamma")))
 
 
 def sweep_readout(ranked: DataFrame, failed: Column, k: int = 10) -> DataFrame:
