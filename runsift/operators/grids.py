@@ -1,17 +1,18 @@
 """Validation of search results against full grids.
 
-A case has at most two scanned variables, so a grid of n points per variable holds at most n*n
-rows per case: the fan-out is set by the case, not by the data.
+A point of a case is a mixed-radix number: its digit of place k is the step along the k-th scanned variable. Grids are
+counted out axis by axis, so no array is longer than one axis, and known points are found by number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runsift import constants as K
+from runsift.functions.order import top_rows
 
 
 def compatible_references(variables: DataFrame, references: DataFrame) -> DataFrame:
@@ -28,58 +29,95 @@ def compatible_references(variables: DataFrame, references: DataFrame) -> DataFr
     return checked
 
 
-def axis(lo: Column, hi: Column, n: Column) -> Column:
-    """n evenly spaced values, both ends included."""
-    step = (hi - lo) / (n - 1)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == n - 1, hi).otherwise(lo + i * step))
+def axis_value(a: Column, i: Column) -> Column:
+    """Value of step ``i`` on an axis of ``n`` evenly spaced values, both ends included."""
+    return F.when(i == a["n"] - 1, a["hi"]).otherwise(a["lo"] + i * ((a["hi"] - a["lo"]) / (a["n"] - 1)))
 
 
-def expected_points(cases: DataFrame, variables: DataFrame, references: DataFrame) -> DataFrame:
-    """Grid of each case. Variables that are not scanned sit at the reference best if compatible, else midway.
+def layouts(cases: DataFrame, variables: DataFrame, references: DataFrame) -> DataFrame:
+    """One row per case: case_id, axes (name, lo, hi, n, stride; in scan order) and fixed (key, value).
 
-    ``cases``: case_id, scan_variables, points_per_variable. The first scanned variable runs fastest.
+    Variables that are not scanned sit at the reference best if compatible, else midway. Cases without an axis are left
+    out. ``cases``: case_id, scan_variables, points_per_variable.
     """
-    n = F.col("points_per_variable")
+    n = F.col("points_per_variable").cast("long")
     flagged = variables.join(cases, "case_id").join(compatible_references(variables, references), "case_id").join(
         references.select("case_id", "best_params"), "case_id", "left")
     reference_value = F.when(F.col("compatible"), F.try_element_at("best_params", F.col("name")))
     fixed = F.coalesce(reference_value, (F.col("lo") + F.col("hi")) * 0.5)
     scanned = F.array_contains("scan_variables", F.col("name"))
     order = F.array_position("scan_variables", F.col("name"))
-    per_case = flagged.groupBy("case_id", "points_per_variable").agg(
-        F.collect_list(F.when(scanned, F.struct(order.alias("o"), "name", axis(F.col("lo"), F.col("hi"), n).alias("values"))))
-        .alias("axes"),
+    per_case = flagged.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.when(scanned, F.struct(order.alias("o"), "name", "lo", "hi", n.alias("n"))))).alias("axes"),
         F.collect_list(F.when(~scanned, F.struct(F.col("name").alias("key"), fixed.alias("value")))).alias("fixed"))
-    axes = F.array_sort("axes")
-    none = F.expr("cast(array(array()) as array<array<struct<key:string,value:double>>>)")
+    # Points per variable are the same on all axes of a case, so strides are their powers.
+    placed = F.transform("axes", lambda a, k: F.struct(
+        a["name"].alias("name"), a["lo"].cast("double").alias("lo"), a["hi"].cast("double").alias("hi"), a["n"].alias("n"),
+        F.pow(a["n"].cast("double"), k.cast("double")).cast("long").alias("stride")))
+    return per_case.where(F.size("axes") > 0).select("case_id", placed.alias("axes"), "fixed")
+
+
+def expected_points(cases: DataFrame, variables: DataFrame, references: DataFrame) -> DataFrame:
+    """Grid of each case: case_id, point_id (long), params. The first scanned variable runs fastest."""
+    layout = layouts(cases, variables, references)
+    deepest = layout.agg(F.max(F.size("axes"))).first()[0] or 0
+    points = layout.withColumn("point_id", F.lit(0).cast("long"))
+    for k in range(deepest):
+        axis = F.get("axes", F.lit(k))
+        steps = F.sequence(F.lit(0).cast("long"), F.coalesce(axis["n"], F.lit(1)) - 1)
+        points = points.withColumn("__i", F.explode(steps)).withColumn(
+            "point_id", F.col("point_id") + F.col("__i") * F.coalesce(axis["stride"], F.lit(0))).drop("__i")
+        if 0 < k < deepest - 1:
+            # The points of one large case go on over many tasks.
+            points = points.repartition("case_id", "point_id")
+    values = F.transform("axes", lambda a: F.struct(
+        a["name"].alias("key"), axis_value(a, F.floor(F.col("point_id") / a["stride"]) % a["n"]).alias("value")))
+    return points.select("case_id", "point_id", F.map_from_entries(F.concat(values, "fixed")).alias("params"))
+
+
+def point_numbers(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """The rows whose ``params`` are a point of their case's grid to ten digits, with its ``point_id``.
+
+    The names must be those of the case. On an axis without extent all steps are one place, and the row counts for the
+    first of them.
+    """
+    def value(name: Column) -> Column:
+        return F.try_element_at("params", name)
 
-    def with_axis(points: Column, a: Column) -> Column:
-        return F.flatten(F.transform(a["values"], lambda v: F.transform(points, lambda p: F.array_append(
-            p, F.struct(a["name"].alias("key"), v.cast("double").alias("value"))))))
+    def same(a: Column, b: Column) -> Column:
+        return F.coalesce(F.round(a, 10) == F.round(b, 10), F.lit(False))
 
-    points = F.when(F.size(axes) > 0, F.aggregate(axes, none, with_axis))
-    return per_case.select("case_id", "fixed", F.posexplode(points).alias("point_id", "p")).select(
-        "case_id", "point_id", F.map_from_entries(F.concat("p", "fixed")).alias("params"))
+    def step(a: Column) -> Column:
+        share = F.try_divide(value(a["name"]) - a["lo"], a["hi"] - a["lo"])
+        return F.coalesce(F.round(share * (a["n"] - 1)).try_cast("long"), F.lit(0).cast("long"))
 
+    on_axes = F.forall("axes", lambda a: step(a).between(0, a["n"] - 1) & same(axis_value(a, step(a)), value(a["name"])))
+    on_rest = F.forall("fixed", lambda f: same(f["value"], value(f["key"])))
+    names = F.size("params") == F.size("axes") + F.size("fixed")
+    number = F.aggregate("axes", F.lit(0).cast("long"), lambda s, a: s + step(a) * a["stride"])
+    return rows.join(layout, "case_id").where(names & on_axes & on_rest).withColumn("point_id", number).drop("axes", "fixed")
 
-def point_key(params: Column) -> Column:
-    """Parameter values rounded to ten digits, by name."""
-    return F.array_join(F.transform(
-        F.array_sort(F.map_entries(params)),
-        lambda e: F.concat(e["key"], F.lit("="), (F.round(e["value"], 10) + 0.0).cast("string"))), ";")
 
+def resume(expected: DataFrame, existing: DataFrame, layout: DataFrame, budget: int | None = None) -> DataFrame:
+    """Reuse rows that are ok; of the missing points the first ``budget`` per case are due, the rest not run.
 
-def resume(expected: DataFrame, existing: DataFrame, budget: int | None = None) -> DataFrame:
-    """Reuse rows that are ok; of the missing points the first ``budget`` per case are due, the rest not run."""
-    done = existing.where(F.col("status") == "ok").groupBy("case_id", point_key(F.col("params")).alias("__key")).agg(
-        F.min("energy").alias("energy"))
-    joined = expected.withColumn("__key", point_key(F.col("params"))).join(done, ["case_id", "__key"], "left")
+    ``layout`` is the table of ``layouts``; known rows are matched by point number.
+    """
+    done = point_numbers(existing.where(F.col("status") == "ok"), layout).groupBy("case_id", "point_id").agg(
+        F.min("energy").alias("energy")).withColumnRenamed("point_id", "__known")
+    flat = layout.select("case_id", F.filter("axes", lambda a: a["lo"] == a["hi"]).alias("__flat"))
+    # Steps along an axis without extent lie on its first one.
+    first = F.col("point_id") - F.aggregate("__flat", F.lit(0).cast("long"), lambda s, a: s + (
+        F.floor(F.col("point_id") / a["stride"]) % a["n"]) * a["stride"])
+    joined = expected.join(flat, "case_id").withColumn("__known", first).join(done, ["case_id", "__known"], "left").drop(
+        "__flat", "__known")
     missing = F.col("energy").isNull()
-    # A window holds the grid of one case.
-    nth = F.row_number().over(Window.partitionBy("case_id", missing).orderBy("point_id"))
-    due = F.lit(True) if budget is None else nth <= budget
-    return joined.withColumn(
-        "status", F.when(~missing, "ok").when(due, "due").otherwise("not_run")).drop("__key")
+    if budget is None:
+        return joined.withColumn("status", F.when(~missing, "ok").otherwise("due"))
+    # Spark trims each task to the budget before the exchange.
+    due = top_rows(joined.where(missing).select("case_id", "point_id"), [F.col("point_id")], budget, "__nth", ["case_id"])
+    return joined.join(due, ["case_id", "point_id"], "left").withColumn(
+        "status", F.when(~missing, "ok").when(F.col("__nth").isNotNull(), "due").otherwise("not_run")).drop("__nth")
 
 
 def summarise(cases: DataFrame, rows: DataFrame, variables: DataFrame, references: DataFrame) -> DataFrame:

@@ -145,6 +145,10 @@ def _expected(spark, d):
     return G.expected_points(_cases(spark, d), _variables(spark, d), _references(spark, d))
 
 
+def _layout(spark, d):
+    return G.layouts(_cases(spark, d), _variables(spark, d), _references(spark, d))
+
+
 def _xy(df):
     get = lambda n: F.round(F.try_element_at("params", F.lit(n)), 9).alias(n)
     return df.select("case_id", "point_id", get("x"), get("y"), *[c for c in df.columns if c not in ("case_id", "point_id", "params")])
@@ -155,11 +159,11 @@ def grid_expected(spark, d):
 
 
 def grid_resume(spark, d):
-    return _xy(G.resume(_expected(spark, d), _existing(spark, d), 10))
+    return _xy(G.resume(_expected(spark, d), _existing(spark, d), _layout(spark, d), 10))
 
 
 def _summary(spark, d):
-    done = G.resume(_expected(spark, d), _existing(spark, d))
+    done = G.resume(_expected(spark, d), _existing(spark, d), _layout(spark, d))
     return G.summarise(_cases(spark, d), done, _variables(spark, d), _references(spark, d))
 
 
@@ -236,11 +240,11 @@ comp as (select c.case_id, case when c.b % 11 <> 0 and rx between 0 and m - 1 an
   from cases c join ref on c.case_id = ref.case_id),
 steps as (select range as i from range(50)),
 expd as (
-  select c.case_id, cast(i.i as integer) as point_id, cast(i.i as double) as x,
+  select c.case_id, cast(i.i as bigint) as point_id, cast(i.i as double) as x,
     case when c.b % 2 = 0 then case when k.ok = 1 then r.ry else (m - 1) * 0.5e0 end end as y
   from cases c join comp k on k.case_id = c.case_id join ref r on r.case_id = c.case_id, steps i where dim = 1 and i.i < m
   union all
-  select c.case_id, cast(j.i * m + i.i as integer), cast(i.i as double), cast(j.i as double) from cases c, steps i, steps j
+  select c.case_id, cast(j.i * m + i.i as bigint), cast(i.i as double), cast(j.i as double) from cases c, steps i, steps j
   where dim = 2 and i.i < m and j.i < m),
 done as (select case_id, x, case when b % 2 = 0 then y end as y, min(energy) as energy from cells where p_partkey % 8 <> 0 group by 1, 2, 3),
 res as (select e.*, d.energy from expd e left join done d on d.case_id = e.case_id and d.x = e.x and d.y is not distinct from e.y),

@@ -87,7 +87,7 @@ def test_grid_status(spark, energy, extra, status):
     cases, variables, refs = _case(spark)
     done = [("c", {"x": 0.5, "w": 3.0}, energy, "ok")] + [("c", {"x": v, "w": 3.0}, 0.0, "ok") for v in (0.0, 1.0)[:extra]]
     existing = spark.createDataFrame(done, "case_id string, params map<string,double>, energy double, status string")
-    points = G.resume(G.expected_points(cases, variables, refs), existing, budget=1)
+    points = G.resume(G.expected_points(cases, variables, refs), existing, G.layouts(cases, variables, refs), budget=1)
     got = {r["case_id"]: r for r in G.summarise(cases, points, variables, refs).collect()}
     assert got["c"]["pass_fail"] == status and got["d"]["pass_fail"] == "no_compatible_al_reference"
     assert points.where("case_id = 'd' and status = 'due'").count() == 1

@@ -64,6 +64,27 @@ def test_draw_is_exact_when_the_first_bound_is_too_low(base):
     assert got == want and len(got) == 30
 
 
+def test_one_scan_gives_the_pools_of_the_single_draws(base):
+    sizes = P.class_sizes(base)
+    together = P.draw_strata(base, [*P._normal(sizes, 7, 42), *P._enriched(sizes, 7, 42), *P._top_uncertainty(base, sizes, 7, 42, "candidate_id"),
+                                    P.Stratum("none", F.lit(False), 1, 3, 0)], 3, "candidate_id")
+    keys = ["pool_mode", "trial_id", "seed", "draw", "candidate_id"]
+    alone = [f(base, 3, size=7) for f in (P.normal_pool, P.enriched_pool, P.top_uncertainty_pool)]
+    want = sorted(tuple(r) for part in alone for r in part.select(*keys).collect())
+    assert sorted(tuple(r) for r in together.select(*keys).collect()) == want and len(want) == 63
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 4])
+def test_among_first_with_ties_and_nulls(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(P, "QUANTILE_ACCURACY", accuracy)
+    values = [None, 1.0, 1.0, 1.0, 1.0, 0.5, 0.2, 3.0, None, 0.5]
+    frame = spark.createDataFrame(list(enumerate(values)), "k int, v double")
+    order = sorted(range(10), key=lambda i: (values[i] is None, -(values[i] or 0.0), i))
+    for top in (1, 3, 5, 7, 9, 10):
+        got = {r["k"] for r in frame.where(P.among_first(frame, "v", "k", top, 10)).collect()}
+        assert got == set(order[:top])
+
+
 def test_missing_risk_is_zero_and_only_ev_counts(spark):
     predictions = spark.createDataFrame(
         [(1, 0, 0.1, "m", "success", 0, "", 2.0), (1, 1, 0.1, "m", "success", 0, "0.9", 9.0), (2, 0, 0.1, "m", "qe_error", 1, "0.4", 4.0),
