@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import clean_risk, clip01, general_text
-from runsift.functions.order import match_keys, rank_measures, top_rows
+from runsift.functions.order import BROADCAST_BYTES, match_keys, rank_measures, small_side, top_rows
 from runsift.operators.claims import first_at_point, settle_claims
 from runsift.operators.near import drop_near_known
 
@@ -267,7 +267,9 @@ def grid_kernel_scores(systems: DataFrame, labels: DataFrame, system: str, lengt
     grid = candidate_grid(systems, n)
     # The grid row count per system is a constant, so it travels as one array on the system row.
     packed = grid.groupBy(system).agg(F.collect_list(F.struct("point_id", "p1", "p2")).alias("__grid"))
-    spread = merged.join(packed, system).withColumn("__g", F.explode("__grid"))
+    # Few systems may hold all labels, so the grids go to the labels while they fit the bound on bytes.
+    grids = small_side(packed, BROADCAST_BYTES // (64 * max(n, K.GRID_SIDE_MIN ** 2)))
+    spread = merged.join(grids, system).withColumn("__g", F.explode("__grid"))
     gap2 = F.coalesce(F.col("__g.p2") - F.col("x2"), F.lit(0.0))
     gap1 = F.col("__g.p1") - F.col("x1")
     kernel = F.exp(-(gap1 * gap1 + gap2 * gap2) / F.lit(2.0 * length * length))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runsift.functions.order import rank_within
 from runsift.operators import compare as C
 from runsift.operators import grids as G
 from runsift.operators import quality as Q
@@ -12,6 +13,7 @@ from runsift.sources.sinks import public_subset
 from runsift.sources.tables import grid_rows
 
 CONVENTIONAL = ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5")
+NAMED_CASES = ("Brand#11", "Brand#15", "Brand#23")
 
 
 def _dimension(spark, d):
@@ -71,8 +73,9 @@ def cmp_mean_savings(spark, d):
 
 
 def cmp_first_hit(spark, d):
+    """Points are numbered from 1 in the order of the part keys of a brand."""
     scan = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_retailprice") / 1e5).alias("y"))
-    return C.first_hit(scan, "p_brand", "p_partkey", "y")
+    return C.first_hit(rank_within(scan, [F.col("p_partkey")], "position", ["p_brand"]), "p_brand", "position", "y")
 
 
 def cmp_category_counts(spark, d):
@@ -186,6 +189,11 @@ def grid_cases(spark, d):
     return G.select_cases(_cases(spark, d)).select("case_id", "points_per_variable")
 
 
+def grid_cases_named(spark, d):
+    """Brands by name, one that is not public among them."""
+    return G.select_cases(_cases(spark, d), NAMED_CASES).select("case_id", "points_per_variable")
+
+
 def grid_gate(spark, d):
     return G.gate(_summary(spark, d))
 
@@ -212,7 +220,7 @@ def gate_checks(spark, d):
 QUERIES = {f.__name__: f for f in (
     cmp_left_dimension, cmp_errors, cmp_category_stats, cmp_high_errors, cmp_savings, cmp_mean_savings, cmp_first_hit,
     cmp_category_counts, cmp_bands, cmp_category_errors, grid_expected, grid_resume, grid_summary, grid_public,
-    grid_enrich, grid_cases, grid_gate, grid_preview, gate_checks)}
+    grid_enrich, grid_cases, grid_cases_named, grid_gate, grid_preview, gate_checks)}
 
 _ROWS = """
 dim as (select p_partkey as key, p_brand as category, p_size % 2 + 1 as dim,
@@ -273,8 +281,9 @@ from rows0 group by grouping sets ((category), (dim), ())""",
     "cmp_savings": f"with {_ROWS} select key, dim, grid_size, savings_abs, round(savings_pct, 6) as savings_pct from sav",
     "cmp_mean_savings": f"""with {_ROWS} select dim, round(avg(savings_pct), 6) as mean_savings_pct, count(savings_pct) as n_systems
 from sav group by rollup (dim)""",
-    "cmp_first_hit": """with s as (select p_brand, p_partkey, p_retailprice / 1e5 as y, min(p_retailprice / 1e5) over (partition by p_brand) as lo from part)
-select p_brand, count(*) as grid_size, coalesce(min(case when y <= lo + 0.001e0 then p_partkey end), count(*)) as n_to_minimum from s group by p_brand""",
+    "cmp_first_hit": """with s as (select p_brand, row_number() over (partition by p_brand order by p_partkey) as position, p_retailprice / 1e5 as y,
+  min(p_retailprice / 1e5) over (partition by p_brand) as lo from part)
+select p_brand, count(*) as grid_size, coalesce(min(case when y <= lo + 0.001e0 then position end), count(*)) as n_to_minimum from s group by p_brand""",
     "cmp_category_counts": "select p_brand as category, count(*) as n_systems from part group by 1",
     "cmp_bands": f"""with {_ROWS} select key, category, case when abs(b2 / lit2 - 1) <= 0.01e0 then 'within_1_percent'
   when abs(b2 / lit2 - 1) <= 0.02e0 then 'within_2_percent' else 'outside' end as band from rows0 where b2 / nullif(lit2, 0) is not null""",
@@ -291,6 +300,7 @@ select 'key_' || c.case_id as key, c.b, p.pass_fail as direct_grid_status, p.gri
   p.completed_grid_points as direct_grid_completed_points, round(p.grid_min_energy, 9) as direct_grid_min_energy,
   round(p.delta, 9) as direct_grid_delta from cases c left join p on p.case_id = c.case_id""",
     "grid_cases": f"with {_GRID} select case_id, m as points_per_variable from cases where b % 5 <> 0",
+    "grid_cases_named": f"with {_GRID} select case_id, m as points_per_variable from cases where case_id in {NAMED_CASES}",
     "grid_gate": f"""with {_GRID} select count(*) as n_rows, count(*) filter (where pass_fail <> 'pass') as n_not_passed,
   case when count(*) > 0 and count(*) filter (where pass_fail <> 'pass') = 0 then 1 else 0 end as passed from summ""",
     "grid_preview": f"""with {_GRID} select e.case_id, count(*) as n_points, arg_min(x, point_id) as first_x, arg_max(x, point_id) as last_x,

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from runsift.constants import RY_TO_EV
 from runsift.functions.text import canonical_json
 from runsift.operators import run_logs as L
 from runsift.plans.inputs import props_k, table
+from runsift.schemas import RUN_RECORD
+from runsift.session import ensure_checkpoint_dir
 from runsift.sources.runs import assemble_runs
-from runsift.sources.sinks import split_quarantine
+from runsift.sources.sinks import split_quarantine, write_fixed
+from runsift.sources.tables import text_columns, typed_records
 
 SYMBOLS = ("H", "Li", "O", "Mg", "Si", "Cu", "Mo")
 SUFFIXES = ("pbe-n-kjpaw_psl.1.0.0.UPF", "ONCV_PBE.upf", "sssp.UPF", "paw.upf", "rrkjus.UPF", "gth.UPF", "pbe-uspp.UPF")
@@ -108,11 +113,23 @@ def log_grid_setting(spark, d):
 
 def log_records(spark, d):
     """The whole run record of every log; the map as canonical text."""
-    records = L.parse_runs(composed_logs(spark, d), "/data")
+    return _shown(L.parse_runs(composed_logs(spark, d), "/data"))
+
+
+def _shown(records):
     flags = {c: F.col(c).cast("int") for c in ("converged", "job_done")}
     return records.withColumns({**flags, "energy_ev": F.round("energy_ev", 9), "pseudopotentials": canonical_json(F.col("pseudopotentials"))})
 
 
+def log_records_csv(spark, d):
+    """The run records, written as text columns and read back to their types."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    write_fixed(L.parse_runs(composed_logs(spark, d), "/data"), RUN_RECORD.names, path, "csv")
+    records = typed_records(text_columns(spark, path, RUN_RECORD.names))
+    return _shown(records)
+
+
 def log_hash(spark, d):
     source = F.when(F.col("doc_id") % 3 != 0, F.concat_ws("/", "lang", "source"))
     return table(spark, d, "documents").select(
@@ -169,7 +186,7 @@ def quarantine_split(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    log_parse_core, log_failure_reason, log_iterations, log_species_map, log_grid_setting, log_records, log_hash, path_ids,
+    log_parse_core, log_failure_reason, log_iterations, log_species_map, log_grid_setting, log_records, log_records_csv, log_hash, path_ids,
     log_sidecars, quarantine_split)}
 
 _E = "e as (select *, cast(json_extract_string(props, '$.k') as integer) as k from events)"
@@ -275,3 +292,4 @@ join ({ORACLES["log_failure_reason"]}) f on f.event_id = texts.event_id
 join ({ORACLES["log_iterations"]}) i on i.event_id = texts.event_id
 join ({ORACLES["log_species_map"]}) s on s.event_id = texts.event_id
 join ({ORACLES["log_grid_setting"]}) g on g.event_id = texts.event_id"""
+ORACLES["log_records_csv"] = ORACLES["log_records"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runsift import constants as K
+from runsift.functions.numeric import to_double
+from runsift.functions.order import match_keys
 from runsift.operators import ranking as R
 from runsift.operators.near import drop_near_known
 from runsift.plans.inputs import CANDIDATES_SQL, candidates, table
@@ -142,10 +144,39 @@ def candidate_ids(spark, d):
         "p_partkey", R.parameter_id("p_retailprice", "p_size").alias("candidate_id"))
 
 
+def candidate_fallback_ids(spark, d):
+    """Each quarter of the parts has another identifier, the last none but its position."""
+    kind, key = F.col("p_partkey") % 4, F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        key.alias("ordinal"), F.when(kind == 0, F.concat(F.lit("c"), key)).alias("candidate_id"),
+        F.when(kind <= 1, F.col("p_size")).alias("id"), F.when(kind <= 2, F.col("p_brand")).alias("record_id"))
+    return rows.select("ordinal", R.fallback_id(rows, "ordinal").alias("candidate_id"))
+
+
+def rank_risk_bounds(spark, d):
+    """Both penalised bounds of every candidate; without a risk there is no penalised bound."""
+    mean, std, risk = F.col("predicted_value"), F.col("uncertainty"), to_double(F.col("failure_risk"))
+    known = F.when(~F.isnan(risk), risk)
+    return candidates(spark, d).select(
+        "candidate_id", R.penalised_minimum(mean, std, known, 2.0, 0.5).alias("lower"),
+        R.penalised_maximum(mean, std, known, 1.0, 0.25).alias("upper"))
+
+
+def rank_external_scorer(spark, d):
+    """Risk from a scorer that joins the recorded share of failures of each user on."""
+    def scorer(df):
+        shares = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("material_id")).agg(
+            F.avg((F.col("event_type") == "error").cast("int")).alias("failure_risk"))
+        return match_keys(df.drop("failure_risk"), shares, ["material_id"])
+
+    return _ranked_columns(R.rank_candidates(R.apply_risk_scorer(candidates(spark, d), scorer), gamma=0.3))
+
+
 QUERIES = {f.__name__: f for f in (
     rank_lcb_topk, rank_soft_penalty_min, rank_soft_penalty_max, rank_target_match, rank_weight_sweep,
     sweep_readout, rank_mode_resolution, rank_zero_weight_equivalence, rank_grid_fallback,
-    query_high_uncertainty, tolerance_antijoin, grid_generate, grid_kernel_score, grid_proposal, candidate_ids)}
+    query_high_uncertainty, tolerance_antijoin, grid_generate, grid_kernel_score, grid_proposal, candidate_ids,
+    candidate_fallback_ids, rank_risk_bounds, rank_external_scorer)}
 
 
 def _scored_sql(gamma="1e0", beta="2e0", sign="+"):
@@ -282,4 +313,11 @@ select system, point_id, round(score, 5) as score, round(greatest(0e0, coarse_mi
 from b where r = 1""",
     "candidate_ids": """select p_partkey, printf('%.8g', p_retailprice) || '|' || printf('%.8g', cast(p_size as double))
   as candidate_id from part""",
+    "candidate_fallback_ids": """select p_partkey as ordinal, case p_partkey % 4 when 0 then 'c' || p_partkey
+  when 1 then cast(p_size as varchar) when 2 then p_brand else cast(p_partkey as varchar) end as candidate_id from part""",
+    "rank_risk_bounds": f"""with {CANDIDATES_SQL} select candidate_id, predicted_value - 2e0 * uncertainty + 0.5e0 * failure_risk as lower,
+  predicted_value + 1e0 * uncertainty - 0.25e0 * failure_risk as upper from cand""",
+    "rank_external_scorer": f"""with {CANDIDATES_SQL.replace("cand as (", "cand0 as (")},
+cand as (select * replace (avg(true_failure) over (partition by material_id) as failure_risk) from cand0),
+{_scored_sql("0.3e0")}, r as (select *, {_ranks()} from scored) select {_COLS} from r""",
 }
