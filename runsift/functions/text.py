@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space of Unicode text beside space, tab, line feed and carriage return. The first row also ends lines.
+LINE_BREAKS = "\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+OTHER_SPACES = "\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 NUMBER = r"[-+]?\d+(?:\.\d*)?(?:[Ee][-+]?\d+)?"
 
 
+def unix_lines(text: Column) -> Column:
+    """Every line end of the file as one line feed."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
+
+
+def plain_spaces(text: Column) -> Column:
+    """Unicode white space as characters that the patterns know: breaks become a vertical tab, the rest a space.
+
+    Texts without such characters, nearly all, are only looked through.
+    """
+    known = "\x0b" * len(LINE_BREAKS) + " " * len(OTHER_SPACES)
+    odd = "[" + LINE_BREAKS + OTHER_SPACES + "]"
+    return F.when(text.rlike(odd), F.translate(text, LINE_BREAKS + OTHER_SPACES, known)).otherwise(text)
+
+
 def all_matches(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:
     flags = "(?i)" if ignore_case else ""
     return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group))

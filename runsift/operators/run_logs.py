@@ -9,7 +9,7 @@ from runsift.constants import RY_TO_EV
 from runsift.functions.numeric import blank_to_null
 from runsift.functions.text import (
     NUMBER, all_matches, base_name, bind, first_match, first_of, join_parts, last_double, last_int, last_match,
-    last_wins_map, max_int, single_spaces,
+    last_wins_map, max_int, plain_spaces, single_spaces,
 )
 
 # Log patterns (fixed values).
@@ -19,7 +19,7 @@ FORCE = rf"Total force\s+=\s*({NUMBER})"
 PRESSURE = rf"P=\s*({NUMBER})"
 ACHIEVED = r"convergence has been achieved in\s+(\d+)\s+iterations"
 ITERATION = r"iteration\s+#\s*(\d+)"
-WALL = r"PWSCF\s*:\s*.*?CPU\s+([^\n]+?WALL)"
+WALL = r"PWSCF\s*:\s*[^\n]*?CPU\s+([^\n]+?WALL)"
 MESH = r"K_POINTS\s+automatic\s*\n\s*([0-9]+\s+[0-9]+\s+[0-9]+(?:\s+[0-9]+\s+[0-9]+\s+[0-9]+)?)"
 MESH_COUNT = r"number of k points=\s*(\d+)"
 SPECIES_LINE = r"PseudoPot\.\s+#\s*\d+\s+for\s+([A-Za-z][a-z]?)\s+read from file:\s+(\S+)"
@@ -80,7 +80,8 @@ def failure_reason(text: Column) -> Column:
 
 def _block_species(text: Column) -> Column:
     """Rows of the species blocks. A block ends at a blank line or the next card; rows need three tokens."""
-    body = F.array_join(F.regexp_extract_all(text, F.lit(SPECIES_BLOCK), F.lit(1)), "\n")
+    lines = F.replace(text, F.lit("\x0b"), F.lit("\n"))
+    body = F.array_join(F.regexp_extract_all(lines, F.lit(SPECIES_BLOCK), F.lit(1)), "\n")
     return bind(body, lambda b: F.zip_with(
         all_matches(b, SPECIES_ROW, 1, ignore_case=False), all_matches(b, SPECIES_ROW, 2, ignore_case=False),
         lambda s, f: F.struct(s.alias("symbol"), f.alias("file"))))
@@ -143,25 +144,28 @@ def display_path(path: Column, base: str | None) -> Column:
 
 
 def parse_runs(runs: DataFrame, base: str | None = None) -> DataFrame:
-    """Run records from (output_path, input_path, input_text, output_text); no exchange."""
-    out, whole = F.col("output_text"), F.col("__settings")
+    """Run records from (output_path, input_path, input_text, output_text); no exchange.
+
+    Flags and hash look at the text as it is, the patterns at its white space made plain.
+    """
+    raw, out, whole = F.col("output_text"), F.col("__out"), F.col("__settings")
     species = F.col("__species")
-    staged = runs.withColumn("__settings", settings_text(F.col("input_text"), out)).withColumn(
-        "__species", species_files(whole))
+    staged = runs.withColumn("__out", plain_spaces(raw)).withColumn(
+        "__settings", settings_text(plain_spaces(F.col("input_text")), out)).withColumn("__species", species_files(whole))
     energy = final_energy(out)
     return staged.select(
         blank_to_null(group_from_path(F.col("output_path"))).alias("material_id"),
         display_path(F.col("input_path"), base).alias("qe_input_path"),
         display_path(F.col("output_path"), base).alias("qe_output_path"),
-        converged(out).alias("converged"),
-        job_done(out).alias("job_done"),
+        converged(raw).alias("converged"),
+        job_done(raw).alias("job_done"),
         iterations(out).alias("scf_iterations"),
         energy.alias("final_energy_ry"),
         (energy * RY_TO_EV).alias("energy_ev"),
         last_double(out, FORCE).alias("max_force"),
         last_double(out, PRESSURE).alias("pressure_kbar"),
         wall_time(out).alias("wall_time"),
-        failure_reason(out).alias("failure_reason"),
+        failure_reason(raw).alias("failure_reason"),
         number_setting(whole, "ecutwfc").alias("ecutwfc"),
         number_setting(whole, "ecutrho").alias("ecutrho"),
         mesh_setting(whole).alias("kpoints"),
@@ -169,5 +173,5 @@ def parse_runs(runs: DataFrame, base: str | None = None) -> DataFrame:
         number_setting(whole, "mixing_beta").alias("mixing_beta"),
         family_label(species).alias("pseudo_family"),
         species.alias("pseudopotentials"),
-        content_hash(F.col("input_text"), out).alias("calculation_hash"),
+        content_hash(F.col("input_text"), raw).alias("calculation_hash"),
     )

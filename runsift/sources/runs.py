@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runsift.functions.text import base_name, join_parts
+from runsift.functions.text import base_name, join_parts, unix_lines
 
 # File names of a run (fixed values); diagnostics are joined in this order.
 OUTPUT_NAME = "espresso.pwo"
@@ -23,6 +23,11 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(decoded, r"^file:/+", "/")
 
 
+def file_text(value: str) -> Column:
+    """Valid text with one kind of line end."""
+    return unix_lines(F.make_valid_utf8(value))
+
+
 def scan_text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
     """Whole text files below the roots (files or folders), with path and modification time."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
@@ -30,7 +35,7 @@ def scan_text(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFr
     return scanned.select(
         plain_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_modification_time").alias("modified"),
-        F.make_valid_utf8("value").alias("text"))
+        file_text("value").alias("text"))
 
 
 def _is_file(spark: SparkSession, root: str) -> bool:
@@ -69,7 +74,7 @@ def scan_runs(spark: SparkSession, roots: Sequence[str], empty_outputs: DataFram
         parts.append(_empty_paths(spark, named, "*", files).select("path", F.lit("").alias("text"), F.lit(True).alias("is_output")))
         beside = spark.read.option("pathGlobFilter", "{*" + INPUT_SUFFIX + "," + ",".join(DIAGNOSTIC_NAMES) + "}").text(
             sorted({r.rsplit("/", 1)[0] or "/" for r in named}), wholetext=True)
-        parts.append(beside.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.make_valid_utf8("value").alias("text"),
+        parts.append(beside.select(plain_path(F.col("_metadata.file_path")).alias("path"), file_text("value").alias("text"),
                                    F.lit(False).alias("is_output")))
     if empty_outputs is not None:
         parts.append(empty_outputs.select("path", F.lit("").alias("text"), F.lit(True).alias("is_output")))

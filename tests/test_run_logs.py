@@ -1,5 +1,7 @@
 """Log facts on written fixtures."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,15 @@ def test_group_ids(spark):
     paths = ["/x/qe_runs_bulk_li2/run1/espresso.pwo", "/x/qe_runs/h2_r0p9_pid3_attempt1/espresso.pwo", "run/espresso.pwo", "/x/mat/run/espresso.pwo"]
     frame = spark.createDataFrame([(p,) for p in paths], "p string").select(L.group_from_path(F.col("p")).alias("g"))
     assert [r["g"] for r in frame.collect()] == ["bulk_li2", "h2_r0p9", "run", "mat"]
+
+
+def test_unicode_white_space(spark):
+    """Pages and no-break spaces: white space to the patterns, line ends to the species block, kept by hash and flags."""
+    source = "ATOMIC_SPECIES\x0c\xa0Mg\u20031.0 Mg.paw.UPF\x85 O 2.0\xa0O.paw.UPF\u2028\u2028 H 1.0 H.UPF\n ecutwfc\xa0=\u2009" + "30"
+    output = "!\xa0 total energy\u2003=\xa0-4.5\xa0Ry\n PWSCF : a\x85b CPU 1m\xa0" + "3.0s WALL\n atoms\xa0#\xa01 overlap JOB DONE"
+    runs = spark.createDataFrame([("/a/run/espresso.pwo", None, source, output)],
+                                 "output_path string, input_path string, input_text string, output_text string")
+    row = L.parse_runs(runs).first()
+    assert row["pseudopotentials"] == {"Mg": "Mg.paw.UPF", "O": "O.paw.UPF"}
+    assert (row["ecutwfc"], row["final_energy_ry"], row["wall_time"]) == (30.0, -4.5, "1m 3.0s WALL")
+    assert row["failure_reason"] is None and row["calculation_hash"] == hashlib.sha256((source + output).encode()).hexdigest()

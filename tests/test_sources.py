@@ -69,6 +69,21 @@ def test_outputs_of_other_names_take_the_input_of_their_stem(spark, tree, tmp_pa
     assert rows["log"]["input_text"] is None and rows["log"]["output_text"] == "running\nnote"
 
 
+def test_line_ends_do_not_change_a_record(spark, tmp_path):
+    source = "&SYSTEM\n ecutwfc = 30\n/\nATOMIC_SPECIES\n Mg 24.3 Mg.paw.UPF\n O 16.0 O.paw.UPF\n\nK_POINTS automatic\n 2 2 2 0 0 0\n"
+    output = "!    total energy   =   -4.5 Ry\n     PWSCF        :  1m 2.0s CPU   1m 3.0s WALL\nJOB DONE.\n"
+    for name, end in (("unix", "\n"), ("dos", "\r\n"), ("old", "\r")):
+        run = tmp_path / "qe_runs" / f"{name}_pid1"
+        run.mkdir(parents=True)
+        (run / "espresso.pwi").write_bytes(source.replace("\n", end).encode())
+        (run / "espresso.pwo").write_bytes(output.replace("\n", end).encode())
+    rows = L.parse_runs(scan_runs(spark, [str(tmp_path)])).drop("material_id", "qe_input_path", "qe_output_path").collect()
+    assert len(rows) == 3 and rows[0] == rows[1] == rows[2]
+    row = rows[0].asDict()
+    assert row["pseudopotentials"] == {"Mg": "Mg.paw.UPF", "O": "O.paw.UPF"} and row["kpoints"] == "2 2 2 0 0 0"
+    assert (row["wall_time"], row["ecutwfc"], row["final_energy_ry"]) == ("1m 3.0s WALL", 30.0, -4.5)
+
+
 def test_empty_outputs_are_runs(spark, tree, tmp_path):
     empty = tmp_path / "qe_runs" / "mg_pid1" / "espresso.pwo"
     empty.parent.mkdir(parents=True)
