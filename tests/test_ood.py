@@ -88,3 +88,27 @@ def test_no_references(spark, data):
     none = _frame(spark, test).selectExpr("id as ref_id", "v as vec").limit(0)
     got = T.search(_frame(spark, test).selectExpr("id as query_id", "v as vec"), T.build_tree(none)).toPandas()
     assert len(got) == len(test) and got["distance"].isna().all()
+
+
+def test_open_leaves_do_not_copy_vectors(spark, monkeypatch):
+    """In high dimensions nearly every leaf stays open; no stored table may hold a vector per query and leaf."""
+    monkeypatch.setattr(T, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(T, "BAND_BYTES", 100 * 24 * 8)
+    rng = np.random.default_rng(5)
+    refs, asked = rng.normal(size=(600, 24)), rng.normal(size=(150, 24))
+    tree = T.build_tree(_frame(spark, refs).selectExpr("id as ref_id", "v as vec"))
+    stored, keep = [], T.materialize
+
+    def counted(df):
+        out = keep(df)
+        stored.append(out.count() if "vec" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(T, "materialize", counted)
+    got = T.search(_frame(spark, asked).selectExpr("id as query_id", "v as vec"), tree).toPandas().sort_values("query_id")
+    assert np.allclose(got["distance"], _brute(asked, refs).min(axis=1), atol=1e-9)
+    assert tree.leaves.select("cell").distinct().count() > 20 and max(stored) <= 150
+    own = T.search(_frame(spark, refs).selectExpr("id as query_id", "v as vec"), tree, skip_same=True).toPandas().sort_values("query_id")
+    away = _brute(refs, refs)
+    np.fill_diagonal(away, np.inf)
+    assert np.allclose(own["distance"], away.min(axis=1), atol=1e-9)
