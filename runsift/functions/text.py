@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ def unix_lines(text: Column) -> Column:
 def plain_spaces(text: Column) -> Column:
     """Unicode white space as characters that the patterns know: breaks become a vertical tab, the rest a space.
 
-    Texts without such characters, nearly all, are only looked through.
+    Texts without such characters, nearly all, are only looked through; a text of one byte per character can hold
+    the ASCII ones alone, which are looked for byte by byte.
     """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    low = reduce(lambda a, b: a | b, [text.contains(c) for c in LINE_BREAKS + OTHER_SPACES if c < "\x80"])
     known = "\x0b" * len(LINE_BREAKS) + " " * len(OTHER_SPACES)
     odd = "[" + LINE_BREAKS + OTHER_SPACES + "]"
-    return F.when(text.rlike(odd), F.translate(text, LINE_BREAKS + OTHER_SPACES, known)).otherwise(text)
+    return F.when(F.when(ascii_only, low).otherwise(text.rlike(odd)), F.translate(text, LINE_BREAKS + OTHER_SPACES, known)).otherwise(text)
 
 
 def all_matches(text: Column, pattern: str, group: int = 1, ignore_case: bool = True) -> Column:

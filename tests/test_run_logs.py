@@ -5,7 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from runsift.functions.text import plain_spaces
 from runsift.operators import run_logs as L
+from runsift.plans import log_queries
 from runsift.schemas import RUN_RECORD
 from runsift.sources.sinks import split_quarantine
 
@@ -122,3 +124,18 @@ def test_unicode_white_space(spark):
     assert row["pseudopotentials"] == {"Mg": "Mg.paw.UPF", "O": "O.paw.UPF"}
     assert (row["ecutwfc"], row["final_energy_ry"], row["wall_time"]) == (30.0, -4.5, "1m 3.0s WALL")
     assert row["failure_reason"] is None and row["calculation_hash"] == hashlib.sha256((source + output).encode()).hexdigest()
+
+
+def test_odd_white_space_in_ascii_and_other_texts(spark):
+    texts = ["a\x0bb\x0cc\x1cd\x1de\x1ef\x1fg", "plain text\nonly\t\r", "é\x0b x", " a　b\x85c", "", None, "naïve"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(plain_spaces(F.col("t"))).collect()]
+    assert got == ["a\x0bb\x0bc\x0bd\x0be\x0bf g", "plain text\nonly\t\r", "é\x0b x", "\x0ba b\x0bc", "", None, "naïve"]
+
+
+def test_logs_of_one_row_group_are_parsed_by_all_cores(spark, tmp_path):
+    spark.range(400).selectExpr(
+        "id as event_id", "id % 9 as user_id", "'view' as event_type", "cast(id as double) as value", "'{\"k\": 3}' as props"
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    logs = log_queries.composed_logs(spark, str(tmp_path))
+    sizes = [r["count"] for r in logs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) >= min(4, spark.sparkContext.defaultParallelism)
