@@ -13,6 +13,8 @@ from runsift.operators.claims import first_at_point, settle_claims
 from runsift.operators.near import drop_near_known
 from runsift.session import materialize
 
+PLACED_ROWS = 250_000  # members whose cells one task counts
+
 
 def reuse_key(system: str, params: Sequence[str], settings: Sequence[str]) -> Column:
     """System, parameters with six digits, and settings."""
@@ -133,9 +135,11 @@ def overlap_screen(members: DataFrame, structure: str, limit: float = K.MIN_PAIR
             f"__c{a}", F.when(box.isNull(), F.floor(p / width)).otherwise(F.least(F.floor(p / width), many - 1)))
     cell = [f"__c{a}" for a in "xyz"]
     kept = [f"{p}{a}" for p in ("__p", "l") for a in "xyz"]
+    # Dealt before the rows are counted: most cells hold one row, so a task that reads much would keep all of it for nothing.
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, -(-members.count() // PLACED_ROWS))
     # Three steps read the cells, so they are stored once.
     per_cell = materialize(
-        staged.groupBy(structure, *cell).agg(F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in kept]))
+        staged.select(structure, *cell, *[f"{p}{a}" for p in ("__p", "l") for a in "xyz"]).repartition(tasks, structure, *cell).groupBy(structure, *cell).agg(F.count(F.lit(1)).alias("__m"), *[F.first(c).alias(c) for c in kept]))
     crowded = per_cell.groupBy(structure).agg(F.sum("__m").cast("long").alias("n_members"), F.max("__m").alias("__most"))
     single = per_cell.where("__m = 1")
     home, reach = {}, {}

@@ -158,3 +158,19 @@ def test_area_and_diagnosis(spark):
     assert says == {0: "threshold_selection", 1: "feature_or_data"}
     sweep = M.threshold_sweep(df, ["s"], "y", "r", [0.5]).orderBy("s").collect()
     assert (sweep[0]["tn"], sweep[0]["fp"], sweep[0]["fn"], sweep[0]["tp"], sweep[1]["precision"]) == (2, 1, 1, 2, 0.0)
+
+
+def test_cells_of_one_partition_are_counted_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(A, "PLACED_ROWS", 50)
+    stored, keep = [], A.materialize
+
+    def counted(df):
+        out = keep(df)
+        stored.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(A, "materialize", counted)
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame(rng.uniform(0, 30, size=(2000, 3)), columns=list("xyz")).assign(s=np.arange(2000) % 400, lx=9.0, ly=9.0, lz=9.0)
+    assert A.overlap_screen(spark.createDataFrame(frame).coalesce(1), "s").count() == 400
+    assert stored[0] >= 40
