@@ -18,7 +18,7 @@ from runsift.session import materialize
 
 
 QUANTILE_ACCURACY = 10_000
-SPREAD_ROWS = 10_000_000
+SPREAD_ROWS = 100_000  # rows of the strata that one task hashes
 
 
 def threshold_slice(predictions: DataFrame, threshold: float) -> DataFrame:
@@ -113,9 +113,10 @@ def _bound(share: float) -> str:
 
 
 def _spread(base: DataFrame, strata: Sequence[Stratum], key: str) -> DataFrame:
-    """Every row is hashed many times, so a table small enough to be one split is first dealt over the cores."""
+    """Every row is hashed many times, so the rows are first dealt over the cores, and over more tasks where there are many."""
     rows = sum(s.population for s in strata)
-    return base.repartition(base.sparkSession.sparkContext.defaultParallelism, key) if rows <= SPREAD_ROWS else base
+    tasks = max(base.sparkSession.sparkContext.defaultParallelism, -(-rows // SPREAD_ROWS))
+    return base.repartition(tasks, key)
 
 
 def draw(base: DataFrame, n_trials: int, first_seed: int, size: int, key: str,

@@ -110,3 +110,11 @@ def test_zero_span_and_single_trial_spread(spark, trials):
     one = E.summarise(trials.where("trial_id = 0"))
     assert one.where("std_failures_selected <> 0").count() == 0
     assert E.evidence(E.summarise(trials)).count() == 4 and len(K.POLICIES) == 5
+
+
+def test_rows_of_one_partition_are_hashed_by_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(P, "SPREAD_ROWS", 20)
+    base = spark.range(1000).coalesce(1).withColumnRenamed("id", "candidate_id")
+    strata = [P.Stratum("m", F.lit(True), 1, 5, 1000)]
+    assert P._spread(base, strata, "candidate_id").rdd.getNumPartitions() == 50
+    assert P.draw_strata(base, strata, 3, "candidate_id").count() == 15
