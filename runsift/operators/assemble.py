@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runsift import constants as K
 from runsift.functions.numeric import ratio
+from runsift.functions.order import small_side
 from runsift.operators.claims import first_at_point, settle_claims
 from runsift.operators.near import drop_near_known
 from runsift.session import materialize
@@ -73,12 +74,14 @@ def trial_outcomes(trials: DataFrame, outcomes: DataFrame, system: str, tol: flo
     near = done.withColumn("__s", F.explode(steps)).withColumns({
         "__n1": F.floor(F.col("__o1") / width) + F.col("__s.a"), "__n2": F.floor(F.col("__o2") / width) + F.col("__s.b")})
     gap = F.greatest(F.abs(at["t1"] - F.col("__o1")), F.abs(at["t2"] - F.col("__o2")))
-    # Trials meet outcomes by position, so seeds that share one ask once.
+    # Trials meet outcomes by position, so seeds that share one ask once; few places are sent to all tasks, as many trials
+    # at few places would be sorted by few tasks.
     places = trials.select(F.col(system).alias("__asks"), at["t1"].alias("t1"), at["t2"].alias("t2")).distinct().withColumns(cell)
     values = places.join(near, (F.col("__asks") == F.col("__system")) & (F.col("__c1") == F.col("__n1"))
                          & (F.col("__c2") == F.col("__n2")) & (gap <= tol)).groupBy("__asks", "t1", "t2").agg(
         F.min(F.struct(gap.alias("gap"), F.col("__energy").alias("energy")))["energy"].alias("energy")).select(
         "__asks", F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "energy")
+    values = small_side(materialize(values))
     return trials.join(values, (F.col(system) == F.col("__asks")) & (at["t1"] == F.col("__t1")) & (at["t2"] == F.col("__t2"))).drop(
         "__asks", "__t1", "__t2")
 

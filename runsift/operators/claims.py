@@ -23,6 +23,8 @@ from runsift import constants as K
 from runsift.operators.near import drop_near_known
 from runsift.session import materialize
 
+CLAIM_ROWS = 100_000  # options that one task holds
+
 
 def first_at_point(points: DataFrame, keys: Sequence[str], dims: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each exact position. Whatever bars it also bars the others there, so none of them can be taken."""
@@ -50,6 +52,10 @@ def settle_claims(options: DataFrame, keys: Sequence[str], claimant: str, trial:
     steps = F.array(*[F.array(*[F.lit(s) for s in step]) for step in product((-1, 0, 1), repeat=len(dims))])
     taken: list[DataFrame] = []
     rest = materialize(options)
+    tasks = -(-rest.count() // CLAIM_ROWS)
+    if tasks > 1:
+        # The options may come from one row group; each round sorts the rows that a task holds.
+        rest = materialize(rest.repartition(tasks, claimant))
     while not rest.isEmpty():
         firsts = rest.groupBy(*keys, claimant).agg(F.min_by(row, F.col(trial)).alias("__row")).select("__row.*")
         heads = firsts.select("*", alone, *place).groupBy(*keys, "__alone", *cells).agg(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runsift.operators import assemble as A
+from runsift.operators import claims as C
 from runsift.operators import ranking as R
 from runsift.operators.claims import settle_claims
 
@@ -80,3 +81,20 @@ def test_seeds_do_not_share_a_label(spark):
          ("t", 0.2, 0.1 + 2e-6, -5.0), ("t", 0.9, 0.1, -6.0)], "system string, t1 double, t2 double, energy double")
     got = sorted(map(tuple, A.first_successes(trials, outcomes, "system").select("system", "seed_id", "trial", "energy").collect()))
     assert got == [("s", 1, 0, -3.0), ("s", 2, 2, -2.0), ("t", 5, 0, -6.0)]
+
+
+def test_options_of_one_partition_are_dealt(spark, monkeypatch):
+    """A task sorts the options it holds, so their number per task is bounded."""
+    monkeypatch.setattr(C, "CLAIM_ROWS", 40)
+    rows = [("s", i, 0, float(i % 60), 0.0, "") for i in range(400)]
+    stored, keep = [], C.materialize
+
+    def counted(df):
+        out = keep(df)
+        stored.append(out.groupBy(F.spark_partition_id()).count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(C, "materialize", counted)
+    got = C.settle_claims(spark.createDataFrame(rows, SCHEMA).coalesce(1), ["system"], "seed_id", "trial", ["x", "y"])
+    assert sorted(map(tuple, got.collect()), key=str) == plain(rows)
+    assert stored[0] == 400 and stored[1] < 120
