@@ -30,6 +30,7 @@ from runsift.llm.storage import small_batches, store
 
 _U = np.uint64
 FLUSH = 2_000_000  # words gathered before equal grams are merged
+PIECE = 1 << 17  # words or grams of a flush looked at together; the text of a gram takes some hundred bytes of places
 _SECOND = 0xC2B2AE3D27D4EB4F
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _WORD = bytes(b not in _BREAKS and b not in b" \t" for b in range(256))
@@ -68,8 +69,8 @@ class _Run:
                 own = group[row + chunk.first]
                 # The group is part of every word's hashes.
                 for column, values in zip(self.columns, (
-                        found.hashes + self.salts[own, 0], second ^ self.salts[own, 1], own, at + self.bytes, at + size + self.bytes,
-                        follows, text), strict=True):
+                        found.hashes + self.salts[own, 0], second ^ self.salts[own, 1], own, (at + self.bytes).astype(np.uint32),
+                        (at + size + self.bytes).astype(np.uint32), follows, text), strict=True):
                     column.append(values)
                 self.words += len(size)
                 self.bytes += len(text)
@@ -89,7 +90,9 @@ class _Run:
 def _longer(hashes: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the grams of ``size`` words from those of one word less; the last ones mean nothing."""
     out = np.zeros_like(hashes)
-    out[:len(out) - size + 1] = W.mix(hashes[:len(out) - size + 1] * _U(0x9FB21C651E98DF25) + words[size - 1:] + _U(size))
+    for low in range(0, len(out) - size + 1, PIECE):
+        high = min(low + PIECE, len(out) - size + 1)
+        out[low:high] = W.mix(hashes[low:high] * _U(0x9FB21C651E98DF25) + words[low + size - 1:high + size - 1] + _U(size))
     return out
 
 
@@ -145,26 +148,32 @@ def _edges(shared, size: int):
 
         def flush():
             first, second, group, starts, ends, follows, text = gathered.take()
-            length, _ = _lengths(first, follows, shared.value, size - 1)
+            length = _lengths(first, follows, shared.value, size - 1)[0].astype(np.int32)
             one, two = first.copy(), second.copy()
             for k in range(2, size + 1):
-                here = np.flatnonzero(length >= k)
-                one[here] = W.mix(one[here] * _U(0x9FB21C651E98DF25) + first[here + k - 1] + _U(k))
-                two[here] = W.mix(two[here] * _U(0xE7037ED1A0B428DB) + second[here + k - 1] + _U(k))
+                for low in range(0, len(length), PIECE):
+                    here = np.flatnonzero(length[low:low + PIECE] >= k) + low
+                    one[here] = W.mix(one[here] * _U(0x9FB21C651E98DF25) + first[here + k - 1] + _U(k))
+                    two[here] = W.mix(two[here] * _U(0xE7037ED1A0B428DB) + second[here + k - 1] + _U(k))
+            del first, second, follows
             order = np.argsort(one, kind="stable")
-            one, two = one[order], two[order]
-            at = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            one = one[order]
+            differs = one[1:] != one[:-1]
+            one = two[order]
+            differs |= one[1:] != one[:-1]
+            at = np.flatnonzero(np.append(True, differs))
             rows, counts = order[at], np.diff(np.append(at, len(order)))
+            del one, two, differs, order, at
             names = pa.array(list(gathered.names))
-            for low in range(0, len(rows), 500_000):
-                part = rows[low:low + 500_000]
-                a, b = starts[part], ends[part + length[part] - 1]
+            for low in range(0, len(rows), PIECE):
+                part = rows[low:low + PIECE]
+                a, b = starts[part].astype(np.int64), ends[part + length[part] - 1].astype(np.int64)
                 offsets = np.append(0, np.cumsum(b - a))
                 picked = text[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
                 grams = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(offsets), pa.py_buffer(picked)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(group[part])), grams, pa.array(length[part].astype(np.int32)),
-                     pa.array(counts[low:low + 500_000])], ["group", "gram", "size", "f"])
+                     pa.array(counts[low:low + PIECE])], ["group", "gram", "size", "f"])
 
         for batch in batches:
             for _ in gathered.add(batch):

@@ -21,6 +21,7 @@ from runsift.llm.words import mix
 BITS = 27
 PROBES = 3
 PAGE = 1 << 16  # bytes of the bit table that travel as one row
+PIECE = 1 << 17  # keys looked up together
 BUCKET_BYTES = 8 << 20  # text per bucket, about
 KEY_BLOCKS = "bucket int, keys binary, counts binary"
 _U = np.uint64
@@ -136,10 +137,11 @@ class Filter:
         self.bits, self.table = state[0], np.frombuffer(zlib.decompress(state[1]), np.uint8)
 
     def likely(self, hashes: np.ndarray) -> np.ndarray:
-        short = hashes >> _U(40 - self.bits)
         out = np.ones(len(hashes), bool)
-        for where in _positions(short):
-            out &= (self.table[(where >> _U(3)).astype(np.int64)] >> (where & _U(7)).astype(np.uint8)) & 1 == 1
+        for low in range(0, len(hashes), PIECE):
+            own = out[low:low + PIECE]
+            for where in _positions(hashes[low:low + PIECE] >> _U(40 - self.bits)):
+                own &= (self.table[(where >> _U(3)).astype(np.int64)] >> (where & _U(7)).astype(np.uint8)) & 1 == 1
         return out
 
     def put(self, hashes: np.ndarray) -> None:
