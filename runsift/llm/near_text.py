@@ -10,24 +10,31 @@
    the hubs is paired in full, so a group of thousands of copies costs a few comparisons a member and no link between
    two components is lost.
 4. The union sketch of a pair estimates its similarity, from more values than are listed, since these cost no list
-   rows; what passes is compared on the full sets. In the last round the estimate is a condition of the join.
+   rows; what passes is compared on the full sets. In the last round 512 bits of parity per document are a condition of
+   the join: where more bits differ than the sketches may have values apart, the estimate would fail as well.
+5. Sketches and full sets are sent only for documents of a pair. These are picked by a filter of fixed size that all
+   tasks hold, so neither texts nor sets go through an exchange for pairs that they are not part of.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runsift.llm import frequent
 from runsift.llm import words as W
 from runsift.llm.links import components
 from runsift.llm.storage import store, without
 
 SKETCH = 64
 ESTIMATE = 256  # values of a union sketch
+MARKS = [f"g{j}" for j in range(8)]  # columns of 64 parity bits each
 SAFE = 4.5  # standard deviations that a bound lies below its mean
 HUBS = (1, 16)  # expected hubs of a list, round by round, before all that is left is paired
 
@@ -50,38 +57,82 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
 
 
-def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
+def _lists(arrays: list[np.ndarray], kind=np.int64) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def _marks(sketches: list[np.ndarray]) -> np.ndarray:
+    """For each sorted sketch, how many of its distinct values fall on each bit, modulo 2: eight words a row."""
+    width, out = 64 * len(MARKS), []
+    for low in range(0, len(sketches), 1024):
+        part = sketches[low:low + 1024]
+        flat = np.concatenate(part).astype(np.int64)
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        new = np.append(True, (flat[1:] != flat[:-1]) | (row[1:] != row[:-1]))[:len(flat)]
+        bit = (W.mix(flat.view(np.uint64)) % np.uint64(width)).astype(np.int64)
+        odd = np.bincount((row * width + bit)[new], minlength=len(part) * width) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, len(MARKS)))
+    return np.concatenate(out) if out else np.zeros((0, len(MARKS)), np.int64)
 
 
 def _sketcher(width: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, one, two, kept = [], [], [], []
+            sizes, one, two, kept, wide = [], [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 bits = own.view(np.uint64)
                 sizes.append(len(own))
                 one.append(int(W.mix(bits + np.uint64(0x51)).sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(W.mix(bits ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)))
                 kept.append(own[:k].copy())
+                wide.append((own[:ESTIMATE] >> 32).astype(np.int32))  # the upper 31 bits keep the order
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 _long_lists(kept)], ["id", "n", "f1", "f2", "sketch"])
+                 _lists(kept), _lists(wide, np.int32), *[pa.array(c) for c in _marks(wide).T.copy()]],
+                ["id", "n", "f1", "f2", "sketch", "wide", *MARKS])
+    return run
+
+
+def _id_hashes(ids: pa.Array) -> np.ndarray:
+    return W.mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def _packed_ids(bits: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield frequent.pack(_id_hashes(batch.column(0)), bits, 1)
     return run
 
 
-def _setter(width: int):
+def _passing(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield batch.filter(pa.array(shared.value.likely(_id_hashes(batch.column(0)))))
+    return run
+
+
+def _setter(shared, width: int):
+    only = _passing(shared)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in only(batches):
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), _long_lists(list(shingle_sets(part.column(1), width)))], ["id", "shingles"])
+                    [part.column(0), _lists(list(shingle_sets(part.column(1), width)))], ["id", "shingles"])
     return run
 
 
+def _members(pairs: DataFrame, bits: int):
+    """A filter of the ids of all pairs, as a broadcast. It may let a few others pass."""
+    ids = pairs.select("a").union(pairs.select("b"))  # each block holds an id once
+    learned = frequent.Filter(bits).learn(ids.mapInArrow(_packed_ids(bits), frequent.KEY_BLOCKS), 1)
+    return pairs.sparkSession.sparkContext.broadcast(learned)
+
+
 def _least_common(whole, largest, k: int, pct: int):
     """Of k smallest values, how many are common at the least if the similarity reaches ``pct`` per cent.
 
@@ -95,7 +146,7 @@ def _least_common(whole, largest, k: int, pct: int):
 
 
 def _listed(sketches: DataFrame, k: int, pct: int) -> DataFrame:
-    """The rarest values of each sketch that can decide a pair: value, id, n, and the values listed before it."""
+    """The rarest values of each sketch that can decide a pair: value, id, n, and 32 bits of the values listed before it."""
     rows = sketches.select("id", "n", F.explode("sketch").alias("value"))
     shared = store(rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     needed = _least_common(F.col("n"), F.floor(F.col("n") * 100 / pct), k, pct)
@@ -106,8 +157,9 @@ def _listed(sketches: DataFrame, k: int, pct: int) -> DataFrame:
         .where("take > 0")
         .withColumn("listed", F.transform(F.slice("common", F.lit(1), F.greatest("take", F.lit(0))), lambda c: c["value"]))
     )
-    return store(per_id.select("id", "n", "listed", F.posexplode("listed").alias("at", "value"))
-                 .select("value", "id", "n", F.slice("listed", F.lit(1), F.col("at")).alias("prior")))
+    short = F.transform("listed", lambda v: F.shiftright(F.shiftleft(v, 32), 32).cast("int"))
+    return store(per_id.select("id", "n", short.alias("short"), F.posexplode("listed").alias("at", "value"))
+                 .select("value", "id", "n", F.slice("short", F.lit(1), F.col("at")).alias("prior")))
 
 
 def _close_in_size(pct: int):
@@ -135,6 +187,13 @@ def _pairs_with_hub(lists: DataFrame, pct: int, number: int) -> DataFrame:
     return pairs.where(_close_in_size(pct)).distinct()
 
 
+def _marked(pairs: DataFrame, marks: DataFrame, pct: int) -> DataFrame:
+    """Pairs that their marks let pass."""
+    for side in "ab":
+        pairs = pairs.join(marks.select(F.col("id").alias(side), *[F.col(g).alias(g + side) for g in MARKS]), side)
+    return pairs.where(_may_be_likely(pct)).select("a", "b", "na", "nb")
+
+
 def _likely(pct: int):
     """Whether the union sketch of ``sa`` and ``sb`` lets a pair of sizes ``na`` and ``nb`` reach ``pct``."""
     both, largest = F.array_intersect("sa", "sb"), F.floor(F.least("na", "nb") * 100 / pct)
@@ -143,15 +202,26 @@ def _likely(pct: int):
     return possible & (F.size(F.array_intersect(union, both)) >= _least_common(F.size(union), largest, ESTIMATE, pct))
 
 
-def _pairs_across(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Likely pairs of one list whose members lie in different components, in the first list that they share."""
+def _may_be_likely(pct: int):
+    """Whether so few marks differ that the sketches of a pair may have as many values in common as ``_likely`` asks.
+
+    A value that only one sketch holds turns one bit, so no more bits differ than the sketches have values apart.
+    """
+    size_a, size_b = (F.least(n, F.lit(ESTIMATE)) for n in ("na", "nb"))
+    largest = F.floor(F.least("na", "nb") * 100 / pct)
+    apart = size_a + size_b - 2 * _least_common(F.greatest(size_a, size_b), largest, ESTIMATE, pct)
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(g + "a").bitwiseXOR(F.col(g + "b"))) for g in MARKS]) <= apart
+
+
+def _pairs_across(lists: DataFrame, marks: DataFrame, pct: int) -> DataFrame:
+    """Pairs of one list whose members lie in different components, in the first list that they share."""
     mixed = store(lists.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                   .where("lo < hi").select("value"))
-    wide = lists.join(mixed, "value", "left_semi").join(_sketches(sets), "id")
+    wide = lists.join(mixed, "value", "left_semi").join(marks, "id")
     sides = [wide.select("value", *[F.col(c).alias(new + side) for c, new in (
-        ("id", ""), ("n", "n"), ("root", "r"), ("prior", "p"), ("sketch", "s"))]) for side in "ab"]
+        ("id", ""), ("n", "n"), ("root", "r"), ("prior", "p"))], *[F.col(g).alias(g + side) for g in MARKS]) for side in "ab"]
     return (sides[0].join(sides[1], "value").where("a < b and ra <> rb").where(_close_in_size(pct))
-            .where(~F.arrays_overlap("pa", "pb")).where(_likely(pct)).select("a", "b"))
+            .where(_may_be_likely(pct)).where(~F.arrays_overlap("pa", "pb")).select("a", "b", "na", "nb"))
 
 
 def _across(lists: DataFrame) -> tuple[int, int]:
@@ -162,20 +232,17 @@ def _across(lists: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """The smallest hashes of each set by their upper 31 bits, which keep the order."""
-    return sets.select("id", F.transform(
-        F.slice("shingles", 1, ESTIMATE), lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
-
-
-def _estimated(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _estimated(pairs: DataFrame, made: DataFrame, pct: int, bits: int) -> DataFrame:
     """Pairs that their union sketches let pass."""
-    a, b = (_sketches(sets).select(F.col("id").alias(x), F.col("sketch").alias("s" + x)) for x in "ab")
+    shared = _members(pairs, bits)
+    wide = made.where("n > 0 and id is not null").select("id", "wide").mapInArrow(_passing(shared), "id long, wide array<int>")
+    a, b = (wide.select(F.col("id").alias(x), F.col("wide").alias("s" + x)) for x in "ab")
     return pairs.join(a, "a").join(b, "b").where(_likely(pct)).select("a", "b")
 
 
-def _links(likely: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _links(likely: DataFrame, texts: DataFrame, width: int, pct: int, bits: int) -> DataFrame:
     """Compare full sets."""
+    sets = store(texts.where("id is not null").mapInArrow(_setter(_members(likely, bits), width), "id long, shingles array<long>"))
     fa = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     fb = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -195,13 +262,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     if similarity_pct < 50:
         raise ValueError("similarity_pct must be 50 or more")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    made = store(texts.mapInArrow(_sketcher(width, k), "id long, n long, f1 long, f2 long, sketch array<long>"))
+    made = store(texts.mapInArrow(_sketcher(width, k), "id long, n long, f1 long, f2 long, sketch array<long>, wide array<int>, "
+                                  + ", ".join(f"{g} long" for g in MARKS)))
     classes = store(made.where("n > 0 and id is not null").groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")))
     sketches = store(made.join(classes.withColumnRenamed("rep", "id"), ["n", "f1", "f2", "id"]).select(
         "id", "n", "sketch"))
     listed = _listed(sketches, k, similarity_pct)
-    wanted = store(listed.select("id").distinct())
-    sets = store(texts.join(wanted, "id", "left_semi").mapInArrow(_setter(width), "id long, shingles array<long>"))
+    marks = made.where("n > 0 and id is not null").select("id", *MARKS)
+    bits = min(31, int((made.agg(F.sum("n")).first()[0] or 0) >> 20).bit_length())
 
     # Rows that share a key are one document, whatever their texts.
     several = made.where("n > 0 and id is not null").groupBy("id").agg(
@@ -215,9 +283,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
         if total == 0:
             break
         last = number is None or turn > 0 and total <= rows
-        likely = store(_pairs_across(lists, sets, similarity_pct) if last else _estimated(
-            store(_pairs_with_hub(lists, similarity_pct, number)), sets, similarity_pct))
-        edges = store(edges.union(_links(likely, sets, similarity_pct)).distinct())
+        pairs = store(_pairs_across(lists, marks, similarity_pct) if last else _marked(
+            _pairs_with_hub(lists, similarity_pct, number), marks, similarity_pct))
+        likely = store(_estimated(pairs, made, similarity_pct, bits))
+        edges = store(edges.union(_links(likely, texts, width, similarity_pct, bits)).distinct())
         roots = store(components(edges))
         if last:
             break

@@ -63,6 +63,31 @@ def test_near_duplicates(spark, width):
     assert near_text.near_duplicates(frame.limit(0), width=width).count() == 0
 
 
+def test_marks_never_rule_out_what_sketches_have_in_common():
+    """In the last round the sketches themselves, a kilobyte each, went along with every row of the lists."""
+    rng = np.random.default_rng(4)
+    sketches = [np.zeros(0, np.int32)]
+    for apart in range(0, 256, 5):
+        both = rng.integers(0, 2**31, 256 - apart)
+        sketches += [np.sort(np.append(both, rng.integers(0, 2**31, apart))).astype(np.int32) for _ in "ab"]
+    sketches.append(np.sort(np.append(sketches[1], sketches[1][:1])))  # two hashes of one set may share 31 bits
+    marks = near_text._marks(sketches)
+    assert marks.shape == (len(sketches), 8) and not marks[0].any() and (marks[1] == marks[-1]).all()
+    turned = lambda a, b: sum(int(x).bit_count() for x in (marks[a] ^ marks[b]).view(np.uint64))
+    for a in range(1, len(sketches) - 1, 2):
+        assert turned(a, a + 1) <= len(set(sketches[a].tolist()) ^ set(sketches[a + 1].tolist()))
+    assert turned(1, len(sketches) - 2) > 160  # more than a similarity of 0.8 allows
+
+
+def test_only_members_of_pairs_are_sent(spark):
+    """All listed documents' full sets were sent in every round."""
+    frame = spark.range(3000).selectExpr("id", "cast(id as string) text")
+    pairs = spark.createDataFrame([(3, 70), (70, 2999)], "a long, b long")
+    sets = frame.mapInArrow(near_text._setter(near_text._members(pairs, 0), 2), "id long, shingles array<long>")
+    got = {r["id"] for r in sets.collect()}
+    assert {3, 70, 2999} <= got and len(got) < 20
+
+
 def test_decontamination(spark):
     items = [(1, prose(14).replace("é", "e")), (2, "Only four words here"), (3, None), (4, ""), (None, prose(12)), (5, prose(30))]
     wordy = [t for _, t in items]
