@@ -30,7 +30,8 @@ from runsift.llm.storage import small_batches, store
 
 _U = np.uint64
 FLUSH = 2_000_000  # words gathered before equal grams are merged
-PIECE = 1 << 17  # words or grams of a flush looked at together; the text of a gram takes some hundred bytes of places
+PIECE = 1 << 17  # words of a flush looked at together
+WRITTEN = 1 << 14  # grams written together; the text of a gram takes some hundred bytes of places
 _SECOND = 0xC2B2AE3D27D4EB4F
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _WORD = bytes(b not in _BREAKS and b not in b" \t" for b in range(256))
@@ -38,9 +39,13 @@ _BREAK = bytes(b in _BREAKS for b in range(256))
 
 
 class _Run:
-    """Words of some texts, one after the other: two hashes, group, place in ``text``, and whether the next word follows."""
+    """Words of some texts, one after the other: two hashes, group, place in ``text``, and whether the next word follows.
 
-    def __init__(self):
+    With ``spelled`` false the first hash and the last column alone are kept.
+    """
+
+    def __init__(self, spelled: bool = True):
+        self.spelled = spelled
         self.columns: list[list[np.ndarray]] = [[] for _ in range(7)]
         self.words = self.bytes = 0
         self.names: dict[str, int] = {}
@@ -57,22 +62,29 @@ class _Run:
         for chunk in W.chunks(batch.column(0)):
             found = W.words(chunk, _WORD)
             if len(found.hashes):
-                lowered = W.look_up(chunk.data, W.LOWER)
-                second = W.mix(W.span_hash(W.prefix_hash(lowered, _SECOND), found.starts, found.ends, _SECOND))
                 row = W.row_of(found)
+                own = group[row + chunk.first]
                 piece = np.cumsum(W.look_up(chunk.data, _BREAK), dtype=np.int64)[found.starts]
                 follows = np.append((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]), False)
+                # The group is part of every word's hashes.
+                first = found.hashes + self.salts[own, 0]
+                self.words += len(first)
+                if not self.spelled:
+                    self.columns[0].append(first)
+                    self.columns[5].append(follows)
+                    if self.words >= FLUSH:
+                        yield
+                    continue
+                lowered = W.look_up(chunk.data, W.LOWER)
+                second = W.mix(W.span_hash(W.prefix_hash(lowered, _SECOND), found.starts, found.ends, _SECOND))
                 size = found.ends - found.starts
                 at = np.cumsum(size + 1) - (size + 1)
                 text = lowered[np.minimum(np.repeat(found.starts - at, size + 1) + np.arange(int((size + 1).sum())), len(lowered) - 1)]
                 text[at + size] = 0x20
-                own = group[row + chunk.first]
-                # The group is part of every word's hashes.
                 for column, values in zip(self.columns, (
-                        found.hashes + self.salts[own, 0], second ^ self.salts[own, 1], own, (at + self.bytes).astype(np.uint32),
+                        first, second ^ self.salts[own, 1], own, (at + self.bytes).astype(np.uint32),
                         (at + size + self.bytes).astype(np.uint32), follows, text), strict=True):
                     column.append(values)
-                self.words += len(size)
                 self.bytes += len(text)
             if self.words >= FLUSH:
                 yield
@@ -81,7 +93,7 @@ class _Run:
         """Everything gathered so far."""
         out = []
         for column in self.columns:
-            out.append(np.concatenate(column))
+            out.append(np.concatenate(column) if column else np.zeros(0, _U))
             column.clear()
         self.words = self.bytes = 0
         return out
@@ -106,16 +118,18 @@ def _inside(follows: np.ndarray, size: int) -> np.ndarray:
 
 
 def _lengths(first: np.ndarray, follows: np.ndarray, likely: frequent.Filter, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest gram from each word that can be frequent as far as sizes up to ``known`` tell, and hashes of ``known + 1`` words."""
+    """Longest gram from each word that can be frequent as far as sizes up to ``known`` tell, and hashes of ``known`` words."""
     n = len(first)
-    length, hashes, may = np.ones(n, np.int64), first, np.ones(n, bool)
+    length, hashes, may = np.ones(n, np.int8 if known < 127 else np.int32), first, np.ones(n, bool)
     for size in range(2, known + 2):
         here = _inside(follows, size) & may
         here[:-1] &= may[1:]
         here[n - 1:] = False
-        hashes = _longer(hashes, first, size) if n >= size else hashes
         if size <= known:
-            here[here] = likely.likely(hashes[here])
+            hashes = _longer(hashes, first, size) if n >= size else hashes
+            for low in range(0, n, PIECE):
+                own = here[low:low + PIECE]
+                own[own] = likely.likely(hashes[low:low + PIECE][own])
         length[here] = size
         may = here
     return length, hashes
@@ -124,11 +138,13 @@ def _lengths(first: np.ndarray, follows: np.ndarray, likely: frequent.Filter, kn
 def _hashed(shared, known: int, bits: int, least: int):
     """Blocks of the hashes of all grams of ``known + 1`` words that can be frequent."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Run()
+        gathered = _Run(spelled=False)
 
         def flush():
             first, _, _, _, _, follows, _ = gathered.take()
             length, hashes = _lengths(first, follows, shared.value, known)
+            if len(first) > known:
+                hashes = _longer(hashes, first, known + 1)
             hashes = hashes[length == known + 1]
             if len(hashes):
                 yield frequent.pack(hashes, bits, least)
@@ -148,32 +164,36 @@ def _edges(shared, size: int):
 
         def flush():
             first, second, group, starts, ends, follows, text = gathered.take()
-            length = _lengths(first, follows, shared.value, size - 1)[0].astype(np.int32)
-            one, two = first.copy(), second.copy()
-            for k in range(2, size + 1):
-                for low in range(0, len(length), PIECE):
-                    here = np.flatnonzero(length[low:low + PIECE] >= k) + low
-                    one[here] = W.mix(one[here] * _U(0x9FB21C651E98DF25) + first[here + k - 1] + _U(k))
-                    two[here] = W.mix(two[here] * _U(0xE7037ED1A0B428DB) + second[here + k - 1] + _U(k))
+            length = _lengths(first, follows, shared.value, size - 1)[0]
+            one, two = first, second
+            for low in range(0, len(length), PIECE):  # in place: a gram's hash takes no word that lies before it
+                a, b = first[low:low + PIECE + size - 1].copy(), second[low:low + PIECE + size - 1].copy()
+                for k in range(2, size + 1):
+                    here = np.flatnonzero(length[low:low + PIECE] >= k)
+                    one[here + low] = W.mix(one[here + low] * _U(0x9FB21C651E98DF25) + a[here + k - 1] + _U(k))
+                    two[here + low] = W.mix(two[here + low] * _U(0xE7037ED1A0B428DB) + b[here + k - 1] + _U(k))
             del first, second, follows
-            order = np.argsort(one, kind="stable")
+            order = np.argsort(one, kind="stable").astype(np.uint32)
+            new = np.ones(len(order), bool)
             one = one[order]
-            differs = one[1:] != one[:-1]
-            one = two[order]
-            differs |= one[1:] != one[:-1]
-            at = np.flatnonzero(np.append(True, differs))
-            rows, counts = order[at], np.diff(np.append(at, len(order)))
-            del one, two, differs, order, at
+            new[1:] = one[1:] != one[:-1]
+            del one
+            two = two[order]
+            new[1:] |= two[1:] != two[:-1]
+            del two
+            at = np.flatnonzero(new).astype(np.uint32)
+            rows, counts = order[at], np.diff(at, append=np.uint32(len(order)))
+            del new, order, at
             names = pa.array(list(gathered.names))
-            for low in range(0, len(rows), PIECE):
-                part = rows[low:low + PIECE]
+            for low in range(0, len(rows), WRITTEN):
+                part = rows[low:low + WRITTEN]
                 a, b = starts[part].astype(np.int64), ends[part + length[part] - 1].astype(np.int64)
                 offsets = np.append(0, np.cumsum(b - a))
                 picked = text[np.repeat(a - offsets[:-1], b - a) + np.arange(offsets[-1])]
                 grams = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(offsets), pa.py_buffer(picked)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [names.take(pa.array(group[part])), grams, pa.array(length[part].astype(np.int32)),
-                     pa.array(counts[low:low + PIECE])], ["group", "gram", "size", "f"])
+                     pa.array(counts[low:low + WRITTEN].astype(np.int64))], ["group", "gram", "size", "f"])
 
         for batch in batches:
             for _ in gathered.add(batch):
