@@ -112,3 +112,35 @@ def test_open_leaves_do_not_copy_vectors(spark, monkeypatch):
     away = _brute(refs, refs)
     np.fill_diagonal(away, np.inf)
     assert np.allclose(own["distance"], away.min(axis=1), atol=1e-9)
+
+
+def test_codes_stand_for_their_one_hot_vectors(spark, monkeypatch):
+    """Distances of numbers with category codes equal those of the long vectors, for unseen values, copies and many values."""
+    rng = np.random.default_rng(6)
+    values = 300
+
+    def rows(n, seen):
+        codes = np.stack([rng.integers(0, values, n), rng.integers(0, 3, n)], axis=1).astype(float)
+        codes[rng.random(n) < seen, 0] = -1.0
+        return np.hstack([rng.integers(0, 3, (n, 2)), codes])
+
+    def long(short):
+        out = np.zeros((len(short), 2 + values + 3))
+        out[:, :2] = short[:, :2]
+        for row, (a, b) in enumerate(short[:, 2:].astype(int)):
+            out[row, 2 + b + values] = 1.0
+            if a >= 0:
+                out[row, 2 + a] = 1.0
+        return out
+
+    train, test = rows(700, 0.1), rows(90, 0.5)
+    own = _brute(long(train), long(train))
+    np.fill_diagonal(own, np.inf)
+    near = _brute(long(test), long(train)).min(axis=1)
+    for block in (2048, 40):
+        monkeypatch.setattr(T, "BLOCK_ROWS", block)
+        monkeypatch.setattr(T, "BAND_BYTES", 50 * block)
+        got = O.flag_outliers(_frame(spark, test), _frame(spark, train), "id", "v", 2).toPandas().sort_values("id")
+        assert np.allclose(got["ood_distance"], near, atol=1e-9)
+        limit = np.quantile(own.min(axis=1), 0.95)
+        assert (got["ood_flag"].to_numpy() == (near > limit)).all()
